@@ -68,51 +68,59 @@ def smallest_per_group(
 
 def latest_before(
     left: DataFrame,
-    observations: DataFrame,
+    asked: DataFrame,
     key: str,
-    left_time: str,
-    value: str,
-    out: str,
+    time: str,
+    observations: dict[str, DataFrame],
     slice_by: str = "DAY",
 ) -> DataFrame:
-    """As-of join: the last observation at or before each row's time.
+    """As-of join: per kind, the last observation at or before each row's time.
 
-    ``observations`` has (key, observed_at, ``value`` struct).  Rows and
-    observations are cut into time slices per key; each slice starts with the
-    last value of the slices before it, so a hot key is spread over its slices
-    and no pair of rows is ever built.  Equal times take the greatest value.
+    ``observations`` maps an output column to (key, observed_at, value struct).
+    ``asked`` has at least the keys and times of ``left``; pass the table
+    ``left`` was made from, so that its plan is not run twice.
+
+    Rows and observations are cut into time slices per key; each slice starts
+    with the last values of the slices before it.  A hot key is thus spread
+    over its slices, and no pair of rows is ever built.  Of observations with
+    equal times the greatest value counts.
     """
     def cut(c: str) -> Column:
         return F.date_trunc(slice_by, F.col(c)).cast("timestamp_ntz")
 
-    obs = observations.select(
-        F.col(key).alias("_key"), F.col("observed_at").alias("_time"), cut("observed_at").alias("_slice"),
-        F.col(value).alias("_value"),
-    ).filter(F.col("_key").isNotNull())
-    rows = left.select(
-        F.col(key).alias("_key"), F.col(left_time).alias("_time"), cut(left_time).alias("_slice"),
-        F.struct(*left.columns).alias("_row"),
+    outs = list(observations)
+    seen: DataFrame | None = None
+    for out, table in observations.items():
+        part = table.filter(F.col("key").isNotNull()).select(
+            F.col("key").alias("_key"), F.col("observed_at").alias("_time"), cut("observed_at").alias("_slice"),
+            F.lit(1).alias("_kind"), F.col("value").alias(out),
+        )
+        seen = part if seen is None else seen.unionByName(part, allowMissingColumns=True)
+    newest = seen.groupBy("_key", "_slice").agg(*[
+        F.max(F.when(F.col(out).isNotNull(), F.struct("_time", F.col(out).alias("value")))).alias(out) for out in outs
+    ])
+    slices = (
+        asked.filter(F.col(key).isNotNull())
+        .select(F.col(key).alias("_key"), cut(time).alias("_slice")).distinct().withColumn("_asked", F.lit(True))
     )
-    newest = obs.groupBy("_key", "_slice").agg(F.max(F.struct("_time", "_value")).alias("_newest"))
-    slices = rows.filter(F.col("_key").isNotNull()).groupBy("_key", "_slice").agg(F.lit(1).alias("_asked"))
     earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         slices.join(newest, ["_key", "_slice"], "full_outer")
-        .withColumn("_value", F.last("_newest._value", ignorenulls=True).over(earlier))
-        .filter(F.col("_asked").isNotNull() & F.col("_value").isNotNull())
-        .select("_key", F.col("_slice").alias("_time"), "_slice", "_value", F.lit(0).alias("_kind"))
+        .select("_key", "_slice", "_asked", *[F.last(f"{out}.value", ignorenulls=True).over(earlier).alias(out) for out in outs])
+        .filter("_asked")
+        .select("_key", F.col("_slice").alias("_time"), "_slice", F.lit(0).alias("_kind"), *outs)
     )
-    merged = (
-        obs.withColumn("_kind", F.lit(1))
-        .unionByName(carried)
-        .unionByName(rows.withColumn("_kind", F.lit(2)), allowMissingColumns=True)
+    rows = left.select(
+        F.col(key).alias("_key"), F.col(time).alias("_time"), cut(time).alias("_slice"), F.lit(2).alias("_kind"),
+        F.struct(*left.columns).alias("_row"),
     )
+    merged = seen.unionByName(carried).unionByName(rows, allowMissingColumns=True)
     running = (
-        Window.partitionBy("_key", "_slice").orderBy("_time", "_kind", "_value")
+        Window.partitionBy("_key", "_slice").orderBy("_time", "_kind", *outs)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        merged.withColumn("_last", F.last("_value", ignorenulls=True).over(running))
+        merged.select("_kind", "_row", *[F.last(out, ignorenulls=True).over(running).alias(out) for out in outs])
         .filter(F.col("_kind") == 2)
-        .select("_row.*", F.col("_last").alias(out))
+        .select("_row.*", *outs)
     )

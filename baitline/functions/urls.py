@@ -6,7 +6,7 @@ are normal in this domain.  One regular expression splits any string.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed
 
@@ -65,48 +65,32 @@ def registry_host(url: Column) -> Column:
 
 def suffix_labels(host_: Column) -> Column:
     """How many trailing labels of ``host_`` form the public suffix (0, 1 or 2)."""
-    labels = F.size(F.split(host_, r"\."))
     last_two = F.lower(F.substring_index(host_, ".", -2))
     return (
-        F.when((labels < 2) | is_ipv4(host_), 0)
-        .when((labels >= 2) & last_two.isin(fixed.SUFFIXES_TWO_LABELS), 2)
+        F.when(~host_.contains(".") | is_ipv4(host_), 0)
+        .when(last_two.isin(fixed.SUFFIXES_TWO_LABELS), 2)
         .otherwise(1)
     )
 
 
-def public_suffix(host_: Column) -> Column:
-    n = suffix_labels(host_)
-    return (
-        F.when(n == 0, "")
-        .when(n == 2, F.substring_index(host_, ".", -2))
-        .otherwise(F.substring_index(host_, ".", -1))
-    )
-
+def split_host(df: DataFrame, host_: str, label: str, suffix: str, subdomains: str) -> DataFrame:
+    """Add the registrable label, the public suffix and the number of subdomains.
 
-def domain_label(host_: Column) -> Column:
-    """The label left of the public suffix (the whole host for an IP address)."""
-    n = suffix_labels(host_)
-    labels = F.split(host_, r"\.")
+    An IP address is its own label, without suffix and subdomains.
+    """
+    name = F.col(host_)
+    staged = df.withColumn("_nsuffix", suffix_labels(name)).withColumn("_labels", F.split(name, r"\."))
+    n, labels = F.col("_nsuffix"), F.col("_labels")
     at = F.size(labels) - n - 1
-    return (
-        F.when(is_ipv4(host_), host_)
-        .when(at < 0, "")
-        .otherwise(F.coalesce(F.get(labels, at), F.lit("")))
+    numeric = is_ipv4(name)
+    return staged.select(
+        *df.columns,
+        F.when(numeric, name).otherwise(F.coalesce(F.get(labels, at), F.lit(""))).alias(label),
+        F.when(n == 0, "").otherwise(F.array_join(F.slice(labels, at + 2, n), ".")).alias(suffix),
+        F.when(numeric, 0).otherwise(F.greatest(F.lit(0), at)).alias(subdomains),
     )
 
 
-def registered_domain(host_: Column) -> Column:
-    """``label.suffix``, empty when either part is missing."""
-    label, suffix = domain_label(host_), public_suffix(host_)
-    return F.when((label == "") | (suffix == ""), "").otherwise(F.concat_ws(".", label, suffix))
-
-
-def subdomain_count(host_: Column) -> Column:
-    labels = F.size(F.split(host_, r"\."))
-    n = suffix_labels(host_)
-    return F.when(is_ipv4(host_), 0).otherwise(F.greatest(F.lit(0), labels - n - 1))
-
-
 def contains_any(text: Column, words: list[str]) -> Column:
     """True when one of ``words`` occurs; one scan of the text for the whole list."""
     return text.rlike("|".join(_quote(w) for w in words))
@@ -139,19 +123,36 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def nearest_name(label: Column, names: list[str], within: int) -> Column:
-    """struct(distance, ordinal) of the closest of ``names``, NULL beyond ``within``.
+    """The closest of ``names`` as distance * 1000 + place in the list.
 
-    Built-in ``levenshtein`` with a threshold stops early.  The list is fixed,
-    so the look-up stays inside the row: no join and no shuffle.
+    NULL for a name of the list itself and beyond ``within``.  Built-in
+    ``levenshtein`` with a threshold gives up early and says -1, which sorts
+    last here.  The list is part of the plan: no join and no shuffle.
     """
     lowered = F.lower(label)
-    candidates = []
-    for ordinal, name in enumerate(names):
-        distance = F.levenshtein(lowered, F.lit(name), within)
-        candidates.append(
-            F.when(distance >= 0, F.struct(distance.alias("distance"), F.lit(ordinal).alias("ordinal")))
-        )
-    return F.when(~lowered.isin(names), F.array_min(F.array(*candidates)))
+    ranks = [
+        F.pmod(F.levenshtein(lowered, F.lit(name), within), F.lit(100)) * 1000 + place
+        for place, name in enumerate(names)
+    ]
+    return F.when(~lowered.isin(names), F.nullif(F.least(F.lit(99_000), *ranks), F.lit(99_000)))
+
+
+def name_distance(nearest: Column) -> Column:
+    return F.coalesce(F.floor(nearest / 1000).cast("int"), F.lit(0))
+
+
+def name_at(nearest: Column, names: list[str]) -> Column:
+    return F.get(F.array(*[F.lit(f"{n}.com") for n in names]), nearest % 1000)
+
+
+def computed_once(value: Column) -> Column:
+    """Mark a costly column so that Spark keeps it in its own projection.
+
+    A later filter on something derived from the column would otherwise be
+    pushed below it, with the whole expression copied into the condition once
+    per reference.  The condition is always true; Spark just cannot move it.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def variants(url: Column) -> Column:

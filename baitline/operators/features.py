@@ -46,13 +46,7 @@ def _without_work(df: DataFrame) -> DataFrame:
 
 
 def _split_host(df: DataFrame) -> DataFrame:
-    name = F.col("_registry_host")
-    return df.select(
-        "*",
-        U.domain_label(name).alias("_label"),
-        U.public_suffix(name).alias("_suffix"),
-        U.subdomain_count(name).alias("_subdomains"),
-    )
+    return U.split_host(df, "_registry_host", "_label", "_suffix", "_subdomains")
 
 
 def _brand_misused(text: Column, host: Column, brands: list[str]) -> Column:
@@ -84,7 +78,6 @@ def feat_core(urls: DataFrame) -> DataFrame:
         F.lower(F.when(F.col("_ip"), F.col("_host")).otherwise(registered)).alias("_owner"),
         F.when(~F.col("_ip"), U.nearest_name(F.col("_label"), fixed.SQUAT_NAMES_CORE, 2)).alias("_near"),
     )
-    names = F.array(*[F.lit(f"{n}.com") for n in fixed.SQUAT_NAMES_CORE])
     keywords = ~F.col("_owner").isin(fixed.TRUSTED_CORE) & (
         U.contains_any(F.col("_lower"), fixed.KEYWORDS_CORE)
         | _brand_misused(F.col("_lower"), F.col("_owner"), fixed.BRANDS_CORE)
@@ -96,8 +89,8 @@ def feat_core(urls: DataFrame) -> DataFrame:
         F.col("_ssl_issuer").alias("ssl_issuer"),
         F.col("_redirect_count").alias("redirect_count"),
         F.col("_redirect_chain").alias("redirect_chain"),
-        F.get(names, F.col("_near.ordinal")).alias("typosquat_target"),
-        F.coalesce(F.col("_near.distance"), F.lit(0)).alias("typosquat_distance"),
+        U.name_at(F.col("_near"), fixed.SQUAT_NAMES_CORE).alias("typosquat_target"),
+        U.name_distance(F.col("_near")).alias("typosquat_distance"),
         F.col("_ip").alias("has_ip_address"),
         F.length("url").alias("url_length"),
         U.path_depth(F.col("_path")).alias("path_depth"),
@@ -156,7 +149,7 @@ def feat_lexical17(urls: DataFrame) -> DataFrame:
         F.col("_ip").alias("has_ip_address"),
         F.lower("_suffix").isin(fixed.TLDS_LEXICAL17).alias("suspicious_tld"),
         U.contains_any(F.col("_lower"), fixed.KEYWORDS_LEXICAL17).alias("has_suspicious_keywords"),
-        F.coalesce(near["distance"], F.lit(0)).alias("typosquat_distance"),
+        U.name_distance(near).alias("typosquat_distance"),
         U.ratio(U.digits(url), n).alias("digit_ratio"),
         U.ratio(U.specials(url), n).alias("special_char_ratio"),
         clip(F.length("_path"), 200).alias("path_length"),
@@ -273,13 +266,12 @@ def join_typosquat(urls: DataFrame, names: list[str] = fixed.SQUAT_NAMES_CORE, m
     The list is part of the plan, so the nearest-neighbour look-up is a narrow
     projection; ``levenshtein`` with a threshold gives up early.
     """
-    staged = urls.withColumn("label", U.domain_label(U.registry_host(F.col("url"))))
+    staged = U.split_host(urls.withColumn("_host", U.registry_host(F.col("url"))), "_host", "label", "_suffix", "_n")
     staged = staged.withColumn("_near", U.nearest_name(F.col("label"), names, max_distance))
-    targets = F.array(*[F.lit(f"{n}.com") for n in names])
     return staged.select(
         *urls.columns, "label",
-        F.get(targets, F.col("_near.ordinal")).alias("typosquat_target"),
-        F.coalesce(F.col("_near.distance"), F.lit(0)).alias("typosquat_distance"),
+        U.name_at(F.col("_near"), names).alias("typosquat_target"),
+        U.name_distance(F.col("_near")).alias("typosquat_distance"),
     )
 
 
@@ -309,25 +301,20 @@ def join_asof_enrich(
     Registrations and certificates belong to a domain, redirects to a URL.
     """
     domain = U.registry_host(F.col("url"))
-    regs = registrations.select(
-        domain.alias("domain"), "observed_at", F.struct("registered_at").alias("registration")
-    )
-    certs = certificates.select(
-        domain.alias("domain"), "observed_at", F.struct("ssl_valid", "ssl_issuer").alias("certificate")
-    )
+    regs = registrations.select(domain.alias("key"), "observed_at", F.struct("registered_at").alias("value"))
+    certs = certificates.select(domain.alias("key"), "observed_at", F.struct("ssl_valid", "ssl_issuer").alias("value"))
     # A probe follows a bounded number of hops, so a chain is a short list.
     probes = (
         redirects.groupBy("url", "observed_at")
         .agg(F.array_sort(F.collect_list(F.struct("hop", "target"))).alias("hops"))
-        .select("url", "observed_at", F.struct(
+        .select(F.col("url").alias("key"), "observed_at", F.struct(
             F.size("hops").alias("redirect_count"), F.col("hops.target").alias("redirect_chain"),
-        ).alias("probe"))
+        ).alias("value"))
     )
     keep = [c for c in scans.columns if c not in NETWORK_DEFAULTS]
-    rows = scans.select(*keep).withColumn("_domain", domain)
-    rows = latest_before(rows, regs.withColumnRenamed("domain", "_domain"), "_domain", time, "registration", "_r", slice_by)
-    rows = latest_before(rows, certs.withColumnRenamed("domain", "_domain"), "_domain", time, "certificate", "_c", slice_by)
-    rows = latest_before(rows, probes, "url", time, "probe", "_p", slice_by)
+    base = scans.select(*keep).withColumn("_domain", domain)
+    rows = latest_before(base, base, "_domain", time, {"_r": regs, "_c": certs}, slice_by)
+    rows = latest_before(rows, base, "url", time, {"_p": probes}, slice_by)
     age = F.datediff(F.col(time), F.col("_r.registered_at"))
     return rows.select(
         *keep,

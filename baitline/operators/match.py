@@ -107,10 +107,8 @@ def join_feed_verdict(urls: DataFrame, indicators: DataFrame) -> DataFrame:
 
 
 def split_public_suffix(urls: DataFrame) -> DataFrame:
-    """Subdomain, domain and suffix by the shipped suffix list, within the row."""
-    host = U.registry_host(F.col("url"))
-    staged = urls.withColumn("host", host)
-    return staged.withColumn("suffix", U.public_suffix(F.col("host"))).withColumn("domain", U.domain_label(F.col("host")))
+    """Domain, suffix and subdomain count by the shipped suffix list, within the row."""
+    return U.split_host(urls.withColumn("host", U.registry_host(F.col("url"))), "host", "domain", "suffix", "subdomains")
 
 
 def join_public_suffix(urls: DataFrame, suffixes: DataFrame) -> DataFrame:

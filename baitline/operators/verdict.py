@@ -45,16 +45,15 @@ def score_combine(rated: DataFrame, ml_weight: float = 0.6) -> DataFrame:
     )
 
 
-def rule_importance(rules: Column) -> Column:
-    """Map of the 11 features to their share of the rule scores, greatest = 1."""
+def rule_importance(scores: Column) -> Column:
+    """The 11 features' shares of the rule scores (a map by rule name)."""
     totals = []
     for feature in fixed.VECTOR11:
-        total = F.lit(0.0)
-        for rule, names in fixed.RULE_FEATURES.items():
-            if feature in names:
-                scores = F.filter(rules, lambda r, rule=rule: (r["rule_name"] == rule) & r["triggered"])
-                total = total + F.aggregate(scores, F.lit(0.0), lambda a, r: a + r["score"]) / len(names)
-        totals.append(total)
+        shares = [
+            F.coalesce(F.try_element_at(scores, F.lit(rule)), F.lit(0.0)) / len(names)
+            for rule, names in fixed.RULE_FEATURES.items() if feature in names
+        ]
+        totals.append(sum(shares, F.lit(0.0)))
     return F.array(*totals)
 
 
@@ -66,7 +65,9 @@ def _scaled(values: Column) -> Column:
 def with_importance(rated: DataFrame, ml_importance: dict[str, float] | None = None, ml_weight: float = 0.6) -> DataFrame:
     """Add the map ``feature_importance``; needs ``rules``."""
     names = list(fixed.VECTOR11)
-    staged = rated.withColumn("_w", rule_importance(F.col("rules"))).withColumn("_w", _scaled(F.col("_w")))
+    scores = F.map_from_arrays(F.col("rules.rule_name"), F.col("rules.score"))
+    staged = rated.withColumn("_scores", scores).withColumn("_w", rule_importance(F.col("_scores")))
+    staged = staged.drop("_scores").withColumn("_w", _scaled(F.col("_w")))
     if ml_importance:
         names += [n for n in ml_importance if n not in names]
         mixed = [
@@ -85,7 +86,7 @@ def score_importance(
     """One row per URL and feature."""
     key = [c for c in ("page_id", "scan_id", "url") if c in rated.columns]
     explained = with_importance(rated, ml_importance, ml_weight)
-    return explained.select(*key, F.explode("feature_importance").alias("feature", "importance"))
+    return explained.select(*key, F.explode_outer("feature_importance").alias("feature", "importance"))
 
 
 def analyze_urls(
