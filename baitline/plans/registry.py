@@ -29,7 +29,7 @@ def query(key: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from . import queries_scans, queries_urls  # noqa: F401
+    from . import queries_feeds, queries_jobs, queries_scans, queries_urls  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -192,6 +192,23 @@ FROM {corpus_urls}""",
     "domain_reports": f"""
 SELECT url, concat('{{{{"total":', CAST(p % 40 AS STRING), ',"results":[', {_scan_results()}, ']}}}}') AS report
 FROM {{corpus_urls}}""",
+    "samples": """
+SELECT u.page_id AS page_id, u.url AS url, CASE WHEN i.url IS NULL THEN 0 ELSE 1 END AS label
+FROM {url_corpus} u LEFT JOIN (SELECT DISTINCT url FROM {threat_indicators_raw}) i ON i.url = u.url""",
+    "distinct_samples": """
+SELECT url, label, min(page_id) AS page_id FROM {samples} GROUP BY url, label""",
+    "ranked_domains": """
+SELECT page_id + 1 AS rank, concat('site', CAST(page_id AS STRING), '.', CASE page_id % 3 WHEN 0 THEN 'com' WHEN 1 THEN 'org' ELSE 'co.uk' END) AS domain
+FROM {pages}""",
+    "pasted_lines": """
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat('  ', url, '  ') WHEN 1 THEN concat('site', CAST(page_id AS STRING), '.com/x')
+ WHEN 2 THEN concat('10.0.0.', CAST(page_id % 256 AS STRING), '/a') WHEN 3 THEN concat('not a url ', CAST(page_id AS STRING))
+ WHEN 4 THEN '' ELSE concat('HTTP://Example', CAST(page_id AS STRING), '.org') END AS line
+FROM {url_corpus}""",
+    "labeled_lines": """
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(replace(url, 'https://', ''), 'http://', '') ELSE url END AS url,
+ CASE page_id % 6 WHEN 0 THEN 'bad' WHEN 1 THEN 'Good' WHEN 2 THEN 'phishing' WHEN 3 THEN 'benign' WHEN 4 THEN 'unknown' ELSE 'defacement' END AS label
+FROM {url_corpus}""",
     "replies": """
 SELECT doc_id, CASE doc_id % 6
  WHEN 0 THEN concat('{{"summary":"s', CAST(doc_id AS STRING), '","explanation":"e","risk_factors":["a","b"],"severity":"high","recommended_action":"Block","target_brand":"PayPal"}}')

@@ -70,27 +70,33 @@ def src_line_feed(
 
 
 def src_phishtank_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """CSV dump with a header; rows without a URL are dropped."""
+    """CSV dump with a header; rows without a URL are dropped, empty fields are NULL."""
     rows = (
         spark.read.schema(PHISHTANK_SCHEMA)
         .option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
         .csv(path)
     )
-    return _first(rows.filter(F.coalesce("url", F.lit("")) != ""), limit)
+    fields = [F.nullif(F.col(c), F.lit("")).alias(c) for c in rows.columns]
+    return _first(rows.select(*fields).filter(F.col("url").isNotNull()), limit)
 
 
-def src_phishtank_json(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """JSON array of entries (one array per file)."""
-    return _first(spark.read.schema(PHISHTANK_SCHEMA).option("multiLine", True).json(path), limit)
+def src_phishtank_json(
+    spark: SparkSession, path: str, limit: int | None = None, multi_line: bool = True
+) -> DataFrame:
+    """JSON arrays of entries: one array per file, or per line without ``multi_line``.
+
+    A file with one array cannot be split; land large dumps one array per line.
+    """
+    return _first(spark.read.schema(PHISHTANK_SCHEMA).option("multiLine", multi_line).json(path), limit)
 
 
 def src_urlhaus_json(
-    spark: SparkSession, path: str, tag: str | None = None, limit: int | None = None
+    spark: SparkSession, path: str, tag: str | None = None, limit: int | None = None, multi_line: bool = True
 ) -> DataFrame:
-    """Envelope ``{"urls": [...]}`` to rows, optionally only those with ``tag``."""
+    """Envelopes ``{"urls": [...]}`` to rows, optionally only those with ``tag``."""
     envelope = T.StructType([T.StructField("urls", T.ArrayType(URLHAUS_SCHEMA))])
     rows = (
-        spark.read.schema(envelope).option("multiLine", True).json(path)
+        spark.read.schema(envelope).option("multiLine", multi_line).json(path)
         .select(F.explode("urls").alias("row")).select("row.*")
     )
     if tag is not None:
