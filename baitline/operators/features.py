@@ -51,10 +51,10 @@ def _split_host(df: DataFrame) -> DataFrame:
 
 def _brand_misused(text: Column, host: Column, brands: list[str]) -> Column:
     """A brand occurs in ``text`` and ``host`` is not that brand's own."""
-    found = F.lit(False)
-    for brand in brands:
-        found = found | (text.contains(brand) & ~host.isin(brand, f"{brand}.com"))
-    return found
+    return F.exists(
+        F.array(*[F.lit(b) for b in brands]),
+        lambda b: text.contains(b) & (host != b) & (host != F.concat(b, F.lit(".com"))),
+    )
 
 
 def feat_core(urls: DataFrame) -> DataFrame:
@@ -69,14 +69,14 @@ def feat_core(urls: DataFrame) -> DataFrame:
         (F.coalesce(F.col(c), F.expr(default)) if c in urls.columns else F.expr(default)).alias(f"_{c}")
         for c, default in NETWORK_DEFAULTS.items()
     ]
-    staged = _split_host(_parsed(urls.select(*own, *network)))
+    staged = _split_host(_parsed(urls.select(*own, *network))).withColumn("_name", F.lower("_label"))
     registered = F.when((F.col("_label") == "") | (F.col("_suffix") == ""), F.col("_netloc")).otherwise(
         F.concat_ws(".", "_label", "_suffix")
     )
     staged = staged.select(
         "*",
         F.lower(F.when(F.col("_ip"), F.col("_host")).otherwise(registered)).alias("_owner"),
-        F.when(~F.col("_ip"), U.nearest_name(F.col("_label"), fixed.SQUAT_NAMES_CORE, 2)).alias("_near"),
+        F.when(~F.col("_ip"), U.nearest_name(F.col("_name"), fixed.SQUAT_NAMES_CORE, 2)).alias("_near"),
     )
     keywords = ~F.col("_owner").isin(fixed.TRUSTED_CORE) & (
         U.contains_any(F.col("_lower"), fixed.KEYWORDS_CORE)
@@ -127,9 +127,8 @@ def feat_vector11(features: DataFrame) -> DataFrame:
 
 def feat_lexical17(urls: DataFrame) -> DataFrame:
     """17 features of the string alone, clipped."""
-    staged = _split_host(_parsed(urls))
-    names = fixed.SQUAT_NAMES_LEXICAL17
-    near = F.when(F.col("_label") != "", U.nearest_name(F.col("_label"), names, 3))
+    staged = _split_host(_parsed(urls)).withColumn("_name", F.lower("_label"))
+    near = F.when(F.col("_name") != "", U.nearest_name(F.col("_name"), fixed.SQUAT_NAMES_LEXICAL17, 3))
     registered = F.lower(
         F.when((F.col("_label") == "") | (F.col("_suffix") == "") | U.is_ipv4(F.col("_registry_host")), F.col("_netloc"))
         .otherwise(F.concat_ws(".", "_label", "_suffix"))
@@ -213,9 +212,10 @@ def feat_lexical32(urls: DataFrame) -> DataFrame:
         _drop_first(url, F.when(F.col("_https"), "https://").otherwise("http://")).alias("_rest"),
     )
     host, label = F.col("_host"), F.col("_label")
-    squats = F.lit(False)
-    for name in fixed.SQUAT_NAMES_LEXICAL32:
-        squats = squats | (label.contains(name) & (label != name)) | (F.levenshtein(label, F.lit(name), 2) >= 0)
+    squats = F.exists(
+        F.array(*[F.lit(n) for n in fixed.SQUAT_NAMES_LEXICAL32]),
+        lambda n: (label.contains(n) & (label != n)) | (F.levenshtein(label, n, 2) >= 0),
+    )
 
     def flag(condition: Column) -> Column:
         return F.when(condition, 1).otherwise(0)
@@ -267,7 +267,8 @@ def join_typosquat(urls: DataFrame, names: list[str] = fixed.SQUAT_NAMES_CORE, m
     projection; ``levenshtein`` with a threshold gives up early.
     """
     staged = U.split_host(urls.withColumn("_host", U.registry_host(F.col("url"))), "_host", "label", "_suffix", "_n")
-    staged = staged.withColumn("_near", U.nearest_name(F.col("label"), names, max_distance))
+    staged = staged.withColumn("_name", F.lower("label"))
+    staged = staged.withColumn("_near", U.nearest_name(F.col("_name"), names, max_distance))
     return staged.select(
         *urls.columns, "label",
         U.name_at(F.col("_near"), names).alias("typosquat_target"),
