@@ -56,7 +56,7 @@ def smallest_per_group(
         .filter(F.col("_before") < F.col("quota"))
         .select(group, "_prefix", "_before", "_n", "quota")
     )
-    if groups is not None and groups <= 16:
+    if groups is not None and groups <= 4:
         bounds = F.broadcast(bounds)
     placed = hashed.join(bounds, [group, "_prefix"])
     straddles = F.col("_before") + F.col("_n") > F.col("quota")
@@ -72,7 +72,7 @@ def latest_before(
     key: str,
     time: str,
     observations: dict[str, DataFrame],
-    slice_by: str = "DAY",
+    slice_by: str = "HOUR",
 ) -> DataFrame:
     """As-of join: per kind, the last observation at or before each row's time.
 
@@ -82,8 +82,9 @@ def latest_before(
 
     Rows and observations are cut into time slices per key; each slice starts
     with the last values of the slices before it.  A hot key is thus spread
-    over its slices, and no pair of rows is ever built.  Of observations with
-    equal times the greatest value counts.
+    over its slices, and no pair of rows is ever built.  Pick ``slice_by`` so
+    that the busiest key's slice fits a task; the result does not depend on it.
+    Of observations with equal times the greatest value counts.
     """
     def cut(c: str) -> Column:
         return F.date_trunc(slice_by, F.col(c)).cast("timestamp_ntz")

@@ -52,7 +52,7 @@ def _split_host(df: DataFrame) -> DataFrame:
 def _brand_misused(text: Column, host: Column, brands: list[str]) -> Column:
     """A brand occurs in ``text`` and ``host`` is not that brand's own."""
     return F.exists(
-        F.array(*[F.lit(b) for b in brands]),
+        U.word_array(brands),
         lambda b: text.contains(b) & (host != b) & (host != F.concat(b, F.lit(".com"))),
     )
 
@@ -213,7 +213,7 @@ def feat_lexical32(urls: DataFrame) -> DataFrame:
     )
     host, label = F.col("_host"), F.col("_label")
     squats = F.exists(
-        F.array(*[F.lit(n) for n in fixed.SQUAT_NAMES_LEXICAL32]),
+        U.word_array(fixed.SQUAT_NAMES_LEXICAL32),
         lambda n: (label.contains(n) & (label != n)) | (F.levenshtein(label, n, 2) >= 0),
     )
 
@@ -292,7 +292,7 @@ def join_asof_enrich(
     certificates: DataFrame,
     redirects: DataFrame,
     time: str = "created_at",
-    slice_by: str = "DAY",
+    slice_by: str = "HOUR",
 ) -> DataFrame:
     """Domain age, certificate and redirects as last observed when scanned.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -127,23 +129,52 @@ _TABLE = (
 )
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole (feed, slice) groups out of sorted batches; holds one group at a time."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        changed = (batch["source"] != batch["source"].shift()) | (batch["slice"] != batch["slice"].shift())
+        starts = np.flatnonzero(changed.to_numpy()).tolist()
+        if held and held[-1]["source"].iloc[-1] == batch["source"].iloc[0] and held[-1]["slice"].iloc[-1] == batch["slice"].iloc[0]:
+            starts = starts[1:]
+            first = starts[0] if starts else len(batch)
+            held.append(batch.iloc[:first])
+        for start, end in zip(starts, [*starts[1:], len(batch)]):
+            if held:
+                yield pd.concat(held) if len(held) > 1 else held[0]
+            held = [batch.iloc[start:end]]
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
 def win_circuit_breaker(
-    attempts: DataFrame, max_errors: int = 5, recovery_s: int = 300, slice_by: str = "DAY"
+    attempts: DataFrame, max_errors: int = 5, recovery_s: int = 300, slice_by: str = "HOUR"
 ) -> DataFrame:
-    """Per attempt: skipped by the breaker?, failures in a row, breaker open afterwards?"""
+    """Per attempt: skipped by the breaker?, failures in a row, breaker open afterwards?
+
+    ``slice_by`` sets how finely a feed's log is cut; the result does not depend on it.
+    """
     recovery = recovery_s * 1_000_000
     cut = attempts.select(
         "attempt_id", "source", "attempted_at", (F.col("status") != "healthy").alias("failed"),
         F.date_trunc(slice_by, "attempted_at").cast("timestamp_ntz").alias("slice"),
     )
 
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(["attempted_at", "attempt_id"], kind="stable")
+    def in_order(df: DataFrame) -> DataFrame:
+        return df.repartition("source", "slice").sortWithinPartitions("source", "slice", "attempted_at", "attempt_id")
 
-    def tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = ordered(pdf)
-        table = _Slice(_micros(pdf["attempted_at"]), pdf["failed"].to_numpy(), max_errors, recovery).transitions()
-        return pd.DataFrame([{"source": pdf["source"].iloc[0], "slice": pdf["slice"].iloc[0], **table}])
+    def tabulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for part in _slices(batches):
+            table = _Slice(_micros(part["attempted_at"]), part["failed"].to_numpy(), max_errors, recovery).transitions()
+            rows.append({"source": part["source"].iloc[0], "slice": part["slice"].iloc[0], **table})
+            if len(rows) == 1000:
+                yield pd.DataFrame(rows)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("slice", kind="stable")
@@ -157,28 +188,30 @@ def win_circuit_breaker(
                 count, opened = int(row.resume_count[at]), int(row.resume_open[at])
         return pd.DataFrame(rows, columns=["source", "slice", "count", "open_since"])
 
-    def replay(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        pdf = ordered(pdf)
-        count, opened = int(entry["count"].iloc[0]), int(entry["open_since"].iloc[0])
-        skipped, counts, is_open = [], [], []
-        for at, failed in zip(_micros(pdf["attempted_at"]), pdf["failed"]):
-            skip = opened != NONE and at <= opened + recovery
-            if not skip:
-                if opened != NONE:
-                    count, opened = 0, NONE
-                count = count + 1 if failed else 0
-                if count >= max_errors:
-                    opened = int(at)
-            skipped.append(skip)
-            counts.append(count)
-            is_open.append(opened != NONE)
-        return pdf[["attempt_id", "source", "attempted_at"]].assign(
-            skipped=skipped, failures_in_row=counts, circuit_open=is_open
-        )
-
-    tables = cut.groupBy("source", "slice").applyInPandas(tabulate, _TABLE)
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, count, opened = None, 0, NONE
+        for pdf in batches:
+            rows = []
+            for source, cut_at, at, failed, entry_count, entry_open in zip(
+                pdf["source"], pdf["slice"], _micros(pdf["attempted_at"]), pdf["failed"], pdf["count"], pdf["open_since"]
+            ):
+                if (source, cut_at) != current:
+                    current, count, opened = (source, cut_at), int(entry_count), int(entry_open)
+                skip = opened != NONE and at <= opened + recovery
+                if not skip:
+                    if opened != NONE:
+                        count, opened = 0, NONE
+                    count = count + 1 if failed else 0
+                    if count >= max_errors:
+                        opened = int(at)
+                rows.append((skip, count, opened != NONE))
+            outcome = pd.DataFrame(rows, columns=["skipped", "failures_in_row", "circuit_open"], index=pdf.index)
+            yield pdf[["attempt_id", "source", "attempted_at"]].join(outcome)
+
+    tables = in_order(cut).mapInPandas(tabulate, _TABLE)
+    # One row per slice: the calendar bounds what a feed's chain holds.
     entries = tables.groupBy("source").applyInPandas(chain, f"{_KEYS}, count int, open_since bigint")
-    return cut.groupBy("source", "slice").cogroup(entries.groupBy("source", "slice")).applyInPandas(
+    return in_order(cut.join(entries, ["source", "slice"])).mapInPandas(
         replay,
         "attempt_id bigint, source string, attempted_at timestamp_ntz, "
         "skipped boolean, failures_in_row int, circuit_open boolean",

@@ -55,7 +55,7 @@ def join_matched_variant(urls: DataFrame, indicators: DataFrame) -> DataFrame:
 
 def source_ordinal(source: Column, order: list[str] = fixed.FEED_ORDER) -> Column:
     """Place of a feed in the fixed order; unknown feeds come last."""
-    place = F.array_position(F.array(*[F.lit(s) for s in order]), source)
+    place = F.array_position(U.word_array(order), source)
     return F.when(place == 0, len(order) + 1).otherwise(place).cast("int")
 
 

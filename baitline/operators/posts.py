@@ -48,9 +48,13 @@ def post_keyword_search(posts: DataFrame, keywords: list[str], min_score: int =
 
 
 def _dotted_names() -> Column:
-    """Names such as ``site.example.com`` in link, title and body, without ``www.``."""
+    """Names such as ``site.example.com`` in link, title and body, without ``www.``.
+
+    The look-behind and the possessive quantifiers keep the search linear: a
+    word without a dot is given up once and not tried again from its middle.
+    """
     text = F.lower(F.concat_ws(" ", "title", "selftext", "url"))
-    names = F.regexp_extract_all(text, F.lit(r"[a-z0-9_-]+(?:\.[a-z0-9_-]+)+"), F.lit(0))
+    names = F.regexp_extract_all(text, F.lit(r"(?<![a-z0-9_-])[a-z0-9_-]++(?:\.[a-z0-9_-]++)+"), F.lit(0))
     return F.transform(names, lambda n: F.replace(n, F.lit("www."), F.lit("")))
 
 

@@ -6,7 +6,7 @@ from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import fixed
+from ..functions import fixed, urls as U
 from . import features as feat, match, rules as R
 
 
@@ -45,16 +45,16 @@ def score_combine(rated: DataFrame, ml_weight: float = 0.6) -> DataFrame:
     )
 
 
-def rule_importance(scores: Column) -> Column:
-    """The 11 features' shares of the rule scores (a map by rule name)."""
+def rule_importance(scores: str) -> Column:
+    """The 11 features' shares of the rule scores (``scores``: a map column by rule name)."""
     totals = []
     for feature in fixed.VECTOR11:
         shares = [
-            F.coalesce(F.try_element_at(scores, F.lit(rule)), F.lit(0.0)) / len(names)
+            f"coalesce(try_element_at({scores}, '{rule}'), 0D) / {len(names)}"
             for rule, names in fixed.RULE_FEATURES.items() if feature in names
         ]
-        totals.append(sum(shares, F.lit(0.0)))
-    return F.array(*totals)
+        totals.append(" + ".join(shares) or "0D")
+    return F.expr(f"array({', '.join(totals)})")
 
 
 def _scaled(values: Column) -> Column:
@@ -66,7 +66,7 @@ def with_importance(rated: DataFrame, ml_importance: dict[str, float] | None = N
     """Add the map ``feature_importance``; needs ``rules``."""
     names = list(fixed.VECTOR11)
     scores = F.map_from_arrays(F.col("rules.rule_name"), F.col("rules.score"))
-    staged = rated.withColumn("_scores", scores).withColumn("_w", rule_importance(F.col("_scores")))
+    staged = rated.withColumn("_scores", scores).withColumn("_w", rule_importance("_scores"))
     staged = staged.drop("_scores").withColumn("_w", _scaled(F.col("_w")))
     if ml_importance:
         names += [n for n in ml_importance if n not in names]
@@ -76,7 +76,7 @@ def with_importance(rated: DataFrame, ml_importance: dict[str, float] | None = N
             for i, n in enumerate(names)
         ]
         staged = staged.withColumn("_w", F.array(*mixed)).withColumn("_w", _scaled(F.col("_w")))
-    keys = F.array(*[F.lit(n) for n in names])
+    keys = U.word_array(names)
     return staged.withColumn("feature_importance", F.map_from_arrays(keys, F.col("_w"))).drop("_w")
 
 
@@ -147,9 +147,14 @@ def batch_report(results: DataFrame) -> DataFrame:
 
 
 def batch_ranked(results: DataFrame) -> DataFrame:
-    """Most urgent first: phishing, error, suspicious, safe."""
+    """Most urgent first: phishing, error, suspicious, safe.
+
+    The other columns break ties, so that a URL scanned very often can still be
+    spread over several sorted partitions.
+    """
     rank = (
         F.when(F.col("verdict") == "phishing", 0).when(F.col("verdict") == "error", 1)
         .when(F.col("verdict") == "suspicious", 2).when(F.col("verdict") == "safe", 3).otherwise(9)
     )
-    return results.withColumn("urgency", rank).orderBy("urgency", "url")
+    rest = [c for c, kind in results.dtypes if c != "url" and not kind.startswith("map")]
+    return results.withColumn("urgency", rank).orderBy("urgency", "url", *rest)
