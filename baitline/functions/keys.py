@@ -33,37 +33,45 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return ranked.filter(F.col("_rank") == 1).drop("_rank")
 
 
-def smallest_per_group(
-    df: DataFrame, group: str, quota: DataFrame, identity: list[Column], seed: int, groups: int | None = None
+def mark_smallest(
+    df: DataFrame, group: str, quota: DataFrame, identity: list[str], seed: int, out: str, groups: int | None = None
 ) -> DataFrame:
-    """Exactly ``quota`` rows of each group, picked by a hash of ``identity``.
-
-    ``quota`` has one row per group: (group, quota).  ``groups`` is the number
-    of groups where the caller knows it.  The rows are counted by a
-    four-digit hash prefix; whole prefixes are kept or left out by running
-    totals, and only the rows of the one prefix that straddles the quota are
-    ranked.  Few groups with very many rows each therefore need no group-wide
-    sort.  The running totals have at most 65,536 rows per group; they are
-    broadcast only when ``groups`` bounds them, and joined by shuffle otherwise.
+    """Add ``out``: true for exactly ``quota`` rows of each group, by a hash of ``identity``.
+
+    ``quota`` has one row per group: (group, quota).  ``identity`` is unique
+    within a group.  ``groups`` is the number of groups where the caller knows it.
+
+    Rows are counted by a four-digit hash prefix; running totals over at most
+    65,536 prefixes per group show in which prefix the quota ends, and only the
+    rows of that one prefix are ranked to find the last hash taken.  The rows
+    are then marked by comparison, so few groups with very many rows each need
+    neither a group-wide sort nor a shuffle of the rows.  The one cut-off per
+    group is broadcast only when ``groups`` bounds it.
     """
+    def small(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if groups is not None and groups <= 1000 else table
+
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), *identity))
-    hashed = df.withColumn("_hash", key).withColumn("_prefix", F.substring("_hash", 1, 4))
-    per_prefix = hashed.groupBy(group, "_prefix").agg(F.count("*").alias("_n"))
-    so_far = Window.partitionBy(group).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    bounds = (
-        per_prefix.withColumn("_before", F.coalesce(F.sum("_n").over(so_far), F.lit(0)))
+    hashed = df.withColumn("_place", F.struct(key.alias("hash"), *identity))
+    prefixed = hashed.withColumn("_prefix", F.substring("_place.hash", 1, 4))
+    per_prefix = prefixed.groupBy(group, "_prefix").agg(F.count("*").alias("_n"))
+    in_order = Window.partitionBy(group).orderBy("_prefix")
+    ends = (
+        per_prefix.withColumn("_upto", F.sum("_n").over(in_order))
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy(group)))
         .join(quota, group)
-        .filter(F.col("_before") < F.col("quota"))
-        .select(group, "_prefix", "_before", "_n", "quota")
+        .withColumn("_need", F.least("quota", "_total") - (F.col("_upto") - F.col("_n")))
+        .filter((F.col("_need") > 0) & (F.col("_need") <= F.col("_n")))
+        .select(group, "_prefix", "_need")
+    )
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("_place"))
+    last_taken = (
+        prefixed.join(small(ends), [group, "_prefix"])
+        .withColumn("_rank", rank).filter(F.col("_rank") == F.col("_need"))
+        .select(group, F.col("_place").alias("_last"))
     )
-    if groups is not None and groups <= 4:
-        bounds = F.broadcast(bounds)
-    placed = hashed.join(bounds, [group, "_prefix"])
-    straddles = F.col("_before") + F.col("_n") > F.col("quota")
-    rank = F.row_number().over(Window.partitionBy(group, "_prefix").orderBy("_hash", *identity))
-    ranked = placed.filter(straddles).withColumn("_rank", rank).filter(F.col("_before") + F.col("_rank") <= F.col("quota"))
-    whole = placed.filter(~straddles)
-    return whole.select(*df.columns).unionByName(ranked.select(*df.columns))
+    marked = hashed.join(small(last_taken), group, "left")
+    return marked.select(*df.columns, F.coalesce(F.col("_place") <= F.col("_last"), F.lit(False)).alias(out))
 
 
 def latest_before(

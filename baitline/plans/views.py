@@ -20,6 +20,10 @@ BASE_TABLES = (
 _PAGE_OF_EVENT = """(SELECT e0.*, e0.event_id % (SELECT count(*) FROM {pages}) AS page_no FROM {events} e0)"""
 
 
+# A probe of kind k follows k redirects.
+_HOPS = " UNION ALL ".join(f"SELECT {k} AS probe, {h} AS hop" for k in range(1, 7) for h in range(1, k + 1))
+
+
 def _engine_results() -> str:
     parts = []
     for i in range(8):
@@ -174,8 +178,7 @@ WHERE e.event_type = 'purchase'""",
 SELECT u.url AS url, e.event_id AS obs_id, e.ts AS observed_at, h.hop AS hop,
  concat('https://hop', CAST(h.hop AS STRING), '.example/', CAST(e.event_id AS STRING)) AS target
 FROM {_PAGE_OF_EVENT} e JOIN {{url_corpus}} u ON u.page_id = e.page_no
-JOIN (SELECT 1 AS hop UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) h
- ON h.hop <= e.event_id % 7
+JOIN ({_HOPS}) h ON h.probe = e.event_id % 7
 WHERE e.event_type = 'purchase'""",
     "corpus_urls": """
 SELECT url, min(page_id) AS p FROM {url_corpus} GROUP BY url""",

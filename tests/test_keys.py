@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from baitline.functions.keys import latest_before, smallest_per_group, top_per_key
+from baitline.functions.keys import latest_before, mark_smallest, top_per_key
 from baitline.operators import feeds, training
 
 START = datetime(2024, 1, 1)
@@ -37,13 +37,14 @@ def test_latest_before_does_not_depend_on_slices(spark, slice_by):
         assert got[i] == (max(earlier)[1] if earlier else None)
 
 
-def test_smallest_per_group_is_exact(spark):
-    rows = [(i % 2, f"u{i}") for i in range(1000)] + [(0, f"v{i}") for i in range(500)]
+def test_mark_smallest_is_exact(spark):
+    rows = [(i % 3, f"u{i}") for i in range(1000)] + [(0, f"v{i}") for i in range(500)]
     df = spark.createDataFrame(rows, "g INT, u STRING")
-    quota = spark.createDataFrame([(0, 37), (1, 500)], "g INT, quota BIGINT")
-    for groups in (2, None):
-        picked = smallest_per_group(df, "g", quota, [F.col("u")], 42, groups)
-        assert {r.g: r["count"] for r in picked.groupBy("g").count().collect()} == {0: 37, 1: 500}
+    quota = spark.createDataFrame([(0, 37), (1, 5000), (2, 0)], "g INT, quota BIGINT")
+    for groups in (3, None):
+        marked = mark_smallest(df, "g", quota, ["u"], 42, "taken", groups)
+        got = {r.g: (r.taken, r.n) for r in marked.groupBy("g").agg(F.count_if("taken").alias("taken"), F.count("*").alias("n")).collect()}
+        assert got == {0: (37, 834), 1: (333, 333), 2: (0, 333)}
 
 
 def test_balance_and_split_sizes(spark):
