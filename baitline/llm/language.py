@@ -184,6 +184,27 @@ def identify(docs: DataFrame, coder: Coder | None, id_col: str = "doc_id", text_
     return asked.mapInArrow(score, f"{id_col} {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
+def keep_identified(docs: DataFrame, coder: Coder | None, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, columns unchanged, whose text gets a language; ``und`` goes.
+
+    Decided row by row where the row lies, so nothing is shuffled and rows
+    without an id, or repeating one, need no rule of their own.
+    """
+    marked = docs.withColumn("_letters", F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)))
+    asked = marked.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+
+    def choose(batches):
+        for batch in batches:
+            letters = batch.column("_letters").to_numpy(zero_copy_only=False)
+            lang = np.full(len(letters), "und", object)
+            if coder is not None and len(lang):
+                best = decode(coder, _margins(coder, batch.column("_text")))[0]
+                lang[letters] = np.array(coder.languages, object)[best][letters]
+            yield batch.select(batch.schema.names[:-2]).filter(pa.array(lang != "und"))
+
+    return asked.mapInArrow(choose, docs.schema)
+
+
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, train(docs))

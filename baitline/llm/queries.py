@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe
+from .decontaminate import OP1_SQL, op1_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language import op3_language_id
+from .quality import op8_quality
+from .simhash import op6_simhash
+from .toxicity import op9_toxicity
+from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_language_id": op3_language_id,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_simhash": op6_simhash,
+    "op7_warc": op7_warc,
+    "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES = {"op5_exact_dedup": OP5_SQL}
+ORACLES = {
+    "op1_decontamination": OP1_SQL,
+    "op5_exact_dedup": OP5_SQL,
+    "op7_warc": OP7_SQL,
+}

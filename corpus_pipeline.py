@@ -13,21 +13,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from baitline.llm.bpe import encode
+from baitline.llm.decontaminate import contaminated
 from baitline.llm.exact_dedup import exact_dedup
-from baitline.llm.language import identify, train
+from baitline.llm.language import keep_identified, train
+from baitline.llm.simhash import near_duplicates
 from baitline.llm.store import stored
 
 
+def _of(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+    """Documents with (or without) an id among the chosen; a null id equals a null id."""
+    ids = chosen.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without any letter go."""
-    told = identify(docs, train(docs)).where(F.col("lang_pred") != "und").select("doc_id").distinct()
-    return docs.join(told, "doc_id", "left_semi")
+    return keep_identified(docs, train(docs))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    kept = exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each group of equal texts; rows that repeat its id stay with it."""
+    return _of(docs, exact_dedup(docs).where("kept"), "left_semi")
+
+
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of close fingerprints."""
+    return _of(docs, near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_semi")
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is contained."""
+    return _of(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "left_anti")
 
 
 def byte_pair_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,6 +54,8 @@ def byte_pair_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 STAGES = [
     ("language_id", language_id),
     ("exact_dedup", exact_duplicates),
+    ("simhash_dedup", near_duplicate_groups),
+    ("decontamination", benchmark_decontamination),
     ("byte_bpe", byte_pair_encoding),
 ]
 
