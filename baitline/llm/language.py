@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_sample, fold
+from .store import bounded_sample, fold, fresh
 from .words import LOWER, blocks
 
 #: Texts per language that the classifiers are fitted on.
@@ -190,15 +190,16 @@ def keep_identified(docs: DataFrame, coder: Coder | None, text_col: str = "text"
     Decided row by row where the row lies, so nothing is shuffled and rows
     without an id, or repeating one, need no rule of their own.
     """
-    marked = docs.withColumn("_letters", F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)))
-    asked = marked.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    letters_col, own_col = fresh("_letters", docs.columns), fresh("_text", docs.columns)
+    marked = docs.withColumn(letters_col, F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)))
+    asked = marked.withColumn(own_col, F.coalesce(F.col(text_col), F.lit("")))
 
     def choose(batches):
         for batch in batches:
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False)
+            letters = batch.column(letters_col).to_numpy(zero_copy_only=False)
             lang = np.full(len(letters), "und", object)
             if coder is not None and len(lang):
-                best = decode(coder, _margins(coder, batch.column("_text")))[0]
+                best = decode(coder, _margins(coder, batch.column(own_col)))[0]
                 lang[letters] = np.array(coder.languages, object)[best][letters]
             yield batch.select(batch.schema.names[:-2]).filter(pa.array(lang != "und"))
 

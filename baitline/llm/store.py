@@ -21,6 +21,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def fold(id_col: str, folds: int, held: int) -> Column:
     """Whether a row's id falls into the held-out fold; a null id never does."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held, F.lit(False))

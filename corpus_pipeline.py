@@ -17,13 +17,14 @@ from baitline.llm.decontaminate import contaminated
 from baitline.llm.exact_dedup import exact_dedup
 from baitline.llm.language import keep_identified, train
 from baitline.llm.simhash import near_duplicates
-from baitline.llm.store import stored
+from baitline.llm.store import fresh, stored
 
 
 def _of(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
     """Documents with (or without) an id among the chosen; a null id equals a null id."""
-    ids = chosen.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+    name = fresh("_id", docs.columns)
+    ids = chosen.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(name)), how)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
