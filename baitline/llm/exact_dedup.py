@@ -61,7 +61,7 @@ def directory(contents: DataFrame, capacity: int, max_depth: int) -> DataFrame:
     full = levels.groupBy("depth", "bucket").agg(F.sum("n").alias("load"))
     fits = full.where((F.col("load") <= capacity) | (F.col("depth") == max_depth))
     return (
-        levels.join(fits, ["depth", "bucket"]).groupBy("cell")
+        levels.join(F.broadcast(fits), ["depth", "bucket"]).groupBy("cell")  # at most 2 ** (max_depth + 1) rows
         .agg(F.min(F.struct("depth", "bucket")).alias("at")).select("cell", "at.depth", "at.bucket")
     )
 
