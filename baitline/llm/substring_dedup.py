@@ -190,7 +190,10 @@ def _search(batches):
 def matches(rows: DataFrame, crowd: int = CROWD, shard_words: int = SHARD) -> DataFrame:
     """Runs of windows to remove: ord, body, start, n (as windows of that row)."""
     every = stored(_occurrences(rows), "substring-segments")
-    common = every.groupBy("anchor").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").select("anchor")
+    # stored, so that the join below reads two plain shuffles and a hot anchor's side can be split
+    common = stored(
+        every.groupBy("anchor").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b").select("anchor"), "substring-anchors"
+    )
     shared = stored(every.join(common, "anchor"), "substring-shared")
     distinct = shared.groupBy("anchor", "segment").agg(
         F.min(F.struct("ord", "body", "start", "n")).alias("at")
