@@ -34,23 +34,19 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 
 def mark_smallest(
-    df: DataFrame, group: str, quota: DataFrame, identity: list[str], seed: int, out: str, groups: int | None = None
+    df: DataFrame, group: str, quota: DataFrame, identity: list[str], seed: int, out: str
 ) -> DataFrame:
     """Add ``out``: true for exactly ``quota`` rows of each group, by a hash of ``identity``.
 
     ``quota`` has one row per group: (group, quota).  ``identity`` is unique
-    within a group.  ``groups`` is the number of groups where the caller knows it.
+    within a group.
 
     Rows are counted by a four-digit hash prefix; running totals over at most
     65,536 prefixes per group show in which prefix the quota ends, and only the
     rows of that one prefix are ranked to find the last hash taken.  The rows
     are then marked by comparison, so few groups with very many rows each need
-    neither a group-wide sort nor a shuffle of the rows.  The one cut-off per
-    group is broadcast only when ``groups`` bounds it.
+    no group-wide sort.  Spark broadcasts the one cut-off per group by its size.
     """
-    def small(table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if groups is not None and groups <= 1000 else table
-
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), *identity))
     hashed = df.withColumn("_place", F.struct(key.alias("hash"), *identity))
     prefixed = hashed.withColumn("_prefix", F.substring("_place.hash", 1, 4))
@@ -66,70 +62,82 @@ def mark_smallest(
     )
     rank = F.row_number().over(Window.partitionBy(group).orderBy("_place"))
     last_taken = (
-        prefixed.join(small(ends), [group, "_prefix"])
+        prefixed.join(ends, [group, "_prefix"])
         .withColumn("_rank", rank).filter(F.col("_rank") == F.col("_need"))
         .select(group, F.col("_place").alias("_last"))
     )
-    marked = hashed.join(small(last_taken), group, "left")
+    marked = hashed.join(last_taken, group, "left")
     return marked.select(*df.columns, F.coalesce(F.col("_place") <= F.col("_last"), F.lit(False)).alias(out))
 
 
 def latest_before(
     left: DataFrame,
     asked: DataFrame,
-    key: str,
+    owner: str,
     time: str,
-    observations: dict[str, DataFrame],
+    observations: dict[str, tuple[list[str], DataFrame]],
     slice_by: str = "HOUR",
 ) -> DataFrame:
     """As-of join: per kind, the last observation at or before each row's time.
 
-    ``observations`` maps an output column to (key, observed_at, value struct).
-    ``asked`` has at least the keys and times of ``left``; pass the table
-    ``left`` was made from, so that its plan is not run twice.
+    ``observations`` maps an output column to (levels, table): the columns that,
+    with ``owner``, an observation belongs to, and a table of (owner, levels...,
+    observed_at, value struct).  An owner holds all rows of its levels, so one
+    exchange by (owner, time slice) serves every kind; each kind is then a
+    window within it.  A null owner or level has no observations.  ``asked`` has
+    at least the owners, levels and times of ``left``; only these are read of it.
 
-    Rows and observations are cut into time slices per key; each slice starts
-    with the last values of the slices before it.  A hot key is thus spread
+    Rows and observations are cut into time slices per owner; each slice starts
+    with the last values of the slices before it.  A hot owner is thus spread
     over its slices, and no pair of rows is ever built.  Pick ``slice_by`` so
-    that the busiest key's slice fits a task; the result does not depend on it.
+    that the busiest owner's slice fits a task; the result does not depend on it.
     Of observations with equal times the greatest value counts.
     """
     def cut(c: str) -> Column:
         return F.date_trunc(slice_by, F.col(c)).cast("timestamp_ntz")
 
-    outs = list(observations)
-    seen: DataFrame | None = None
-    for out, table in observations.items():
-        part = table.filter(F.col("key").isNotNull()).select(
-            F.col("key").alias("_key"), F.col("observed_at").alias("_time"), cut("observed_at").alias("_slice"),
-            F.lit(1).alias("_kind"), F.col("value").alias(out),
-        )
-        seen = part if seen is None else seen.unionByName(part, allowMissingColumns=True)
-    newest = seen.groupBy("_key", "_slice").agg(*[
-        F.max(F.when(F.col(out).isNotNull(), F.struct("_time", F.col(out).alias("value")))).alias(out) for out in outs
-    ])
-    slices = (
-        asked.filter(F.col(key).isNotNull())
-        .select(F.col(key).alias("_key"), cut(time).alias("_slice")).distinct().withColumn("_asked", F.lit(True))
-    )
-    earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        slices.join(newest, ["_key", "_slice"], "full_outer")
-        .select("_key", "_slice", "_asked", *[F.last(f"{out}.value", ignorenulls=True).over(earlier).alias(out) for out in outs])
-        .filter("_asked")
-        .select("_key", F.col("_slice").alias("_time"), "_slice", F.lit(0).alias("_kind"), *outs)
+    levels = list(dict.fromkeys(c for cols, _ in observations.values() for c in cols))
+    held = {c: f"_level_{c}" for c in levels}
+    finest = (
+        asked.filter(F.col(owner).isNotNull())
+        .select(F.col(owner).alias("_key"), cut(time).alias("_slice"), *[F.col(c).alias(held[c]) for c in levels]).distinct()
     )
+    merged: DataFrame | None = None
+    for out, (cols, table) in observations.items():
+        own = [held[c] for c in cols]
+        present = F.col("owner").isNotNull()
+        for c in cols:
+            present = present & F.col(c).isNotNull()
+        seen = table.filter(present).select(
+            F.col("owner").alias("_key"), F.col("observed_at").alias("_time"), cut("observed_at").alias("_slice"),
+            F.lit(1).alias("_kind"), *[F.col(c).alias(held[c]) for c in cols], F.col("value").alias(out),
+        )
+        newest = seen.groupBy("_key", "_slice", *own).agg(F.max(F.struct("_time", F.col(out).alias("value"))).alias(out))
+        slices = finest.select("_key", "_slice", *own).distinct().withColumn("_asked", F.lit(True))
+        earlier = Window.partitionBy("_key", *own).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = (
+            slices.join(newest, ["_key", "_slice", *own], "full_outer")
+            .select("_key", "_slice", *own, "_asked", F.last(f"{out}.value", ignorenulls=True).over(earlier).alias(out))
+            .filter(F.col("_asked") & F.col(out).isNotNull())
+            .select("_key", F.col("_slice").alias("_time"), "_slice", F.lit(0).alias("_kind"), *own, out)
+        )
+        part = seen.unionByName(carried)
+        merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
+    # rows without an owner meet no observation; spread them
+    alone = F.concat(F.lit("\u0001"), F.xxhash64(*[F.col(c) for c in left.columns if _hashable(left, c)]).cast("string"))
     rows = left.select(
-        F.col(key).alias("_key"), F.col(time).alias("_time"), cut(time).alias("_slice"), F.lit(2).alias("_kind"),
-        F.struct(*left.columns).alias("_row"),
-    )
-    merged = seen.unionByName(carried).unionByName(rows, allowMissingColumns=True)
-    running = (
-        Window.partitionBy("_key", "_slice").orderBy("_time", "_kind", *outs)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        merged.select("_kind", "_row", *[F.last(out, ignorenulls=True).over(running).alias(out) for out in outs])
-        .filter(F.col("_kind") == 2)
-        .select("_row.*", *outs)
+        F.coalesce(F.col(owner), alone).alias("_key"), F.col(time).alias("_time"), cut(time).alias("_slice"),
+        F.lit(2).alias("_kind"), *[F.col(c).alias(held[c]) for c in levels], F.struct(*left.columns).alias("_row"),
     )
+    merged = merged.unionByName(rows, allowMissingColumns=True)
+    filled = merged.repartition("_key", "_slice")
+    for out, (cols, _) in observations.items():
+        running = (
+            Window.partitionBy("_key", "_slice", *[held[c] for c in cols]).orderBy("_time", "_kind", out)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        known = F.lit(True)
+        for c in cols:
+            known = known & F.col(held[c]).isNotNull()
+        filled = filled.withColumn(f"_last_{out}", F.when(known, F.last(out, ignorenulls=True).over(running)))
+    return filled.filter(F.col("_kind") == 2).select("_row.*", *[F.col(f"_last_{out}").alias(out) for out in observations])

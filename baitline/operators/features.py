@@ -299,23 +299,30 @@ def join_asof_enrich(
     registrations: (url, observed_at, registered_at)
     certificates:  (url, observed_at, ssl_valid, ssl_issuer)
     redirects:     (url, observed_at, hop, target), one row per hop
-    Registrations and certificates belong to a domain, redirects to a URL.
+    A registration belongs to the registered domain, so that every host below
+    it is as old; a certificate to a host, and it counts for https alone; a
+    redirect chain to a URL, with which it starts.  A URL without a host has none.
     """
-    domain = U.registry_host(F.col("url"))
-    regs = registrations.select(domain.alias("key"), "observed_at", F.struct("registered_at").alias("value"))
-    certs = certificates.select(domain.alias("key"), "observed_at", F.struct("ssl_valid", "ssl_issuer").alias("value"))
+    regs = _owned(registrations).select("owner", "observed_at", F.struct("registered_at").alias("value"))
+    certs = _owned(certificates).select(
+        "owner", F.col("_host").alias("_https_host"), "observed_at", F.struct("ssl_valid", "ssl_issuer").alias("value")
+    )
     # A probe follows a bounded number of hops, so a chain is a short list.
-    probes = (
+    probes = _owned(
         redirects.groupBy("url", "observed_at")
         .agg(F.array_sort(F.collect_list(F.struct("hop", "target"))).alias("hops"))
-        .select(F.col("url").alias("key"), "observed_at", F.struct(
-            F.size("hops").alias("redirect_count"), F.col("hops.target").alias("redirect_chain"),
+        .select("url", "observed_at", F.struct(
+            F.size("hops").alias("redirect_count"),
+            F.concat(F.array("url"), F.col("hops.target")).alias("redirect_chain"),
         ).alias("value"))
-    )
+    ).select("owner", "url", "observed_at", "value")
     keep = [c for c in scans.columns if c not in NETWORK_DEFAULTS]
-    base = scans.select(*keep).withColumn("_domain", domain)
-    rows = latest_before(base, base, "_domain", time, {"_r": regs, "_c": certs}, slice_by)
-    rows = latest_before(rows, base, "url", time, {"_p": probes}, slice_by)
+    base = _owned(scans.select(*keep)).withColumn(
+        "_https_host", F.when(F.lower("url").startswith("https://"), F.col("_host"))
+    ).drop("_host")
+    rows = latest_before(
+        base, base, "owner", time, {"_r": ([], regs), "_c": (["_https_host"], certs), "_p": (["url"], probes)}, slice_by
+    )
     age = F.datediff(F.col(time), F.col("_r.registered_at"))
     return rows.select(
         *keep,
@@ -327,6 +334,15 @@ def join_asof_enrich(
     )
 
 
+def _owned(df: DataFrame) -> DataFrame:
+    """Add ``owner``, the registered domain (an address or single name: itself), and ``_host``."""
+    host = F.nullif(F.lower(U.registry_host(F.col("url"))), F.lit(""))
+    staged = df.withColumn("_host", U.computed_once(host))
+    labels = U.suffix_labels(F.col("_host"))
+    own = F.when(labels == 1, F.substring_index("_host", ".", -2)).when(labels == 2, F.substring_index("_host", ".", -3))
+    return staged.withColumn("owner", U.computed_once(F.coalesce(own, F.col("_host"))))
+
+
 def fit_scaler(features: DataFrame) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of each vector entry (one small row)."""
     columns = {c: F.col(c).cast("double") for c in fixed.VECTOR11}

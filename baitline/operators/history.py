@@ -23,6 +23,8 @@ def _equal(df: DataFrame, **wanted: str | None) -> DataFrame:
 
 
 def _newest(df: DataFrame, time: str, key: str, limit: int, offset: int = 0) -> DataFrame:
+    if limit < 1 or offset < 0:
+        raise ValueError("limit must be 1 or more, offset 0 or more")
     ordered = df.orderBy(F.desc(time), F.desc(key))
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
@@ -34,8 +36,9 @@ def top_recent_scans(
 
 
 def _like(column: str, text: str) -> Column:
-    """Case-insensitive; ``%`` and ``_`` in the text act as wildcards."""
-    return F.lower(column).like(f"%{text.lower()}%")
+    """Case-insensitive; ``%`` and ``_`` in the text act as wildcards, a backslash as itself."""
+    escaped = text.lower().replace("\\", "\\\\")
+    return F.lower(column).like(f"%{escaped}%")
 
 
 def top_search_scans(scans: DataFrame, text: str, limit: int = 20) -> DataFrame:
@@ -76,7 +79,7 @@ def top_indicators(
 
 def top_recent_phish(entries: DataFrame, limit: int = 100, include_offline: bool = False) -> DataFrame:
     rows = entries if include_offline else entries.filter(F.col("online") == "yes")
-    return _newest(rows, "submission_time", "phish_id", max(1, min(limit, 1000)))
+    return _newest(rows, "submission_time", "phish_id", limit)
 
 
 def top_phish_by_target(entries: DataFrame, target: str, limit: int = 50, verified_only: bool = True) -> DataFrame:
@@ -86,7 +89,7 @@ def top_phish_by_target(entries: DataFrame, target: str, limit: int = 50, verifi
     rows = entries.filter(F.lower("target").contains(wanted))
     if verified_only:
         rows = rows.filter(F.col("verified") == "yes")
-    return _newest(rows, "submission_time", "phish_id", max(1, min(limit, 500)))
+    return _newest(rows, "submission_time", "phish_id", limit)
 
 
 def top_phish_by_date(entries: DataFrame, start: str, end: str, limit: int = 100) -> DataFrame:
@@ -96,7 +99,7 @@ def top_phish_by_date(entries: DataFrame, start: str, end: str, limit: int = 100
         raise ValueError("Invalid date format. Use YYYY-MM-DD") from error
     if first > last:
         raise ValueError("Start date must be before end date")
-    return _newest(join_range_dates(entries, start, end), "submission_time", "phish_id", max(1, min(limit, 500)))
+    return _newest(join_range_dates(entries, start, end), "submission_time", "phish_id", limit)
 
 
 def get_scan(scans: DataFrame, scan_id: int) -> DataFrame:
@@ -108,7 +111,10 @@ def get_indicator(indicators: DataFrame, url: str, source: str | None = None) ->
     return _newest(_equal(indicators, url=url, source=source), "last_seen", "id", 1)
 
 
-def get_phish(entries: DataFrame, phish_id: int) -> DataFrame:
+def get_phish(entries: DataFrame, phish_id: int | DataFrame) -> DataFrame:
+    """The entry of an id, or those of a table of ids (column phish_id)."""
+    if isinstance(phish_id, DataFrame):
+        return entries.join(phish_id.select("phish_id").distinct(), "phish_id", "left_semi")
     return entries.filter(F.col("phish_id") == phish_id).limit(1)
 
 

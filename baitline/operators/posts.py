@@ -34,15 +34,27 @@ def post_urls_training(posts: DataFrame, min_score: int = 5) -> DataFrame:
     return rows.filter(U.is_absolute(F.col("url")))
 
 
-def post_keyword_search(posts: DataFrame, keywords: list[str], min_score: int = 10) -> DataFrame:
+def _since(posts: DataFrame, as_of: str | None, days: int) -> DataFrame:
+    """Posts of the ``days`` before ``as_of``; all without it."""
+    if as_of is None:
+        return posts
+    end = F.unix_timestamp(F.lit(as_of).cast("timestamp"))
+    return posts.filter((F.col("created_utc") > end - days * 86400) & (F.col("created_utc") <= end))
+
+
+def post_keyword_search(
+    posts: DataFrame, keywords: list[str], min_score: int = 10, as_of: str | None = None, days: int = 7
+) -> DataFrame:
     """URLs of posts with any keyword; each URL once, from its first post.
 
+    With ``as_of`` only posts of the week (``days``) before it.
+
     Keyword order is search order, so the first post of a URL is the one with
     the earliest keyword, then the lowest id.
     """
     text = F.lower(F.concat_ws(" ", "title", "selftext"))
     place = F.coalesce(*[F.when(text.contains(k.lower()), F.lit(i)) for i, k in enumerate(keywords)])
-    matching = posts.filter(F.col("score") >= min_score).withColumn("_place", place).filter(F.col("_place").isNotNull())
+    matching = _since(posts, as_of, days).filter(F.col("score") >= min_score).withColumn("_place", place).filter(F.col("_place").isNotNull())
     rows = _exploded(matching, fixed.POST_URL_PATTERN)
     return first_per_key(rows, ["url"], [F.col("_place"), F.col("post_id")]).drop("_place")
 
@@ -63,47 +75,55 @@ def post_mentions(
     domains: DataFrame,
     min_score: int = 3,
     strong_score: int = 50,
-    per_subreddit: int = 5,
-    shown: int = 3,
+    subreddits: list[str] = fixed.MENTION_SUBREDDITS,
+    per_subreddit: int | None = None,
+    as_of: str | None = None,
+    days: int = 365,
 ) -> DataFrame:
     """Domains that posts report as malicious.
 
     posts: post_id, title, score, subreddit, selftext, url; domains: domain.
     The dotted names in a post are taken out of its text, so the match is an
     equi-join on the name and not a search of every post for every domain.
-    Of each subreddit the best-rated five posts per
-    domain count.  Strong: score >= 50, a threat word and no impersonation
-    word in the first 100 characters of the title.  Found from two strong ones.
+    Posts score ``min_score`` or more; with ``per_subreddit`` only the
+    best-rated so many of each subreddit and domain count, chosen before low
+    scores go; with ``as_of`` only the year (``days``) before it.  Strong:
+    score >= 50, a threat word and no impersonation word in the title.  Found
+    from two strong ones; ``mentions`` has all of them with their details.
     """
     named = (
-        posts.filter((F.col("score") >= min_score) & F.col("subreddit").isin(fixed.MENTION_SUBREDDITS))
+        _since(posts, as_of, days).filter(F.col("subreddit").isin(subreddits))
         .select(
-            "post_id", "subreddit", "score", F.substring("title", 1, 100).alias("title"),
+            "post_id", "subreddit", "score", "title", "created_utc", "permalink",
             F.explode(F.array_distinct(_dotted_names())).alias("domain"),
         )
         .join(domains.select("domain").distinct(), "domain", "left_semi")
     )
-    best = top_per_key(named, ["domain", "subreddit"], [F.desc("score"), F.col("post_id")], per_subreddit)
+    best = named if per_subreddit is None else top_per_key(
+        named, ["domain", "subreddit"], [F.desc("score"), F.col("post_id")], per_subreddit)
+    best = best.filter(F.col("score") >= min_score)
     title = F.lower("title")
     strong = (
         (F.col("score") >= strong_score)
         & U.contains_any(title, fixed.MENTION_THREAT_WORDS)
         & ~U.contains_any(title, fixed.MENTION_IMPERSONATION_WORDS)
     )
-    # At most five posts in each of the three subreddits are left per domain.
-    order = F.array_position(F.array(*[F.lit(s) for s in fixed.MENTION_SUBREDDITS]), F.col("subreddit"))
+    order = F.array_position(F.array(*[F.lit(s) for s in subreddits]), F.col("subreddit"))
     return (
         best.filter(strong).groupBy("domain")
         .agg(
             F.count("*").alias("total_mentions"),
             F.array_sort(F.collect_list(F.struct(
-                order.alias("place"), (-F.col("score")).alias("rank"), "post_id", "title"
+                order.alias("place"), (-F.col("score")).alias("rank"), "post_id", "title", "score", "permalink", "created_utc"
             ))).alias("_all"),
         )
         .filter(F.col("total_mentions") >= 2)
         .select(
             "domain", "total_mentions", F.lit("reported").alias("threat_type"),
-            F.slice("_all.post_id", 1, shown).alias("mentions"),
+            F.transform("_all", lambda m: F.struct(
+                m["post_id"].alias("post_id"), m["title"].alias("title"), m["score"].alias("score"),
+                m["permalink"].alias("permalink"), m["created_utc"].alias("created_utc"),
+            )).alias("mentions"),
         )
     )
 

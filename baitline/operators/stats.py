@@ -101,12 +101,21 @@ def agg_top_brands(scans: DataFrame, as_of: str, days: int | None = None, limit:
         recent(scans, as_of, days).filter((F.col("verdict") == "phishing") & F.col("target_brand").isNotNull())
         .groupBy("target_brand").agg(F.count("*").alias("count"))
     )
-    shares = per.withColumn("percentage", _percent(F.col("count"), F.sum("count").over(Window.partitionBy())))
-    return shares.orderBy(F.desc("count"), "target_brand").limit(limit)
+    # one row; its sum is formed within tasks first
+    total = per.agg(F.sum("count").alias("_total"))
+    top = per.orderBy(F.desc("count"), "target_brand").limit(limit)
+    shares = top.join(F.broadcast(total)).withColumn("percentage", _percent(F.col("count"), F.col("_total")))
+    return shares.drop("_total").orderBy(F.desc("count"), "target_brand")
+
+
+def _at_least_one(**numbers: int) -> None:
+    for name, value in numbers.items():
+        if value < 1:
+            raise ValueError(f"{name} must be 1 or more")
 
 
 def agg_phish_stats(entries: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    days = max(1, min(days, 30))
+    _at_least_one(days=days)
     return recent(entries, as_of, days, "submission_time").agg(
         F.count("*").alias("total_phish"),
         F.count_if(F.col("verified") == "yes").alias("total_verified"),
@@ -117,7 +126,7 @@ def agg_phish_stats(entries: DataFrame, as_of: str, days: int = 7) -> DataFrame:
 
 
 def agg_top_targets(entries: DataFrame, as_of: str, days: int = 7, k: int = 10) -> DataFrame:
-    days, k = max(1, min(days, 30)), max(1, min(k, 50))
+    _at_least_one(days=days, k=k)
     per = (
         recent(entries, as_of, days, "submission_time").filter(F.col("target") != "")
         .groupBy("target").agg(F.count("*").alias("count"))
@@ -133,17 +142,15 @@ def agg_duplicate_urls(indicators: DataFrame) -> DataFrame:
 def agg_merge_sources(indicators: DataFrame) -> DataFrame:
     """One row per URL.  Sets are built from distinct elements, so a URL listed
     a billion times costs no more than the sources and tags it has."""
-    scalar = indicators.groupBy("url").agg(
+    tagged = indicators.select("url", "first_seen", "last_seen", "source", "confidence", F.explode_outer("tags").alias("tag"))
+    tags = F.array_sort(F.collect_set("tag"))
+    return tagged.groupBy("url").agg(
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
         F.sort_array(F.collect_set("source")).alias("sources"),
         F.max("confidence").alias("confidence"),
+        F.when(F.size(tags) > 0, tags).alias("tags"),
     )
-    tags = (
-        indicators.select("url", F.explode("tags").alias("tag")).distinct()
-        .groupBy("url").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
-    )
-    return scalar.join(tags, "url", "left")
 
 
 def agg_cache_stats(cache: DataFrame, as_of: str) -> DataFrame:

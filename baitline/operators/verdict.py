@@ -103,6 +103,7 @@ def analyze_urls(
     and rules are computed for every row; a feed match then decides alone.
     The only shuffles are those of the feed match, which sees distinct URLs.
     A ``model`` reads the clipped 11-value vector from column ``vector``.
+    A NULL, blank or unparseable URL gets the verdict ``error``.
     """
     rated = R.with_verdict(R.with_rules(feat.feat_core(urls), rules))
     if model is not None:
@@ -111,6 +112,7 @@ def analyze_urls(
     else:
         rated = rated.withColumn("prediction_source", F.lit("rules"))
     explained = with_importance(rated, ml_importance, ml_weight).drop("rules")
+    explained = _with_errors(explained)
     if indicators is None:
         return explained.withColumn("sources", F.lit(None).cast("array<string>")).withColumn(
             "threat_type", F.lit(None).cast("string"))
@@ -137,10 +139,22 @@ def analyze_urls(
     )
 
 
+def _with_errors(rated: DataFrame) -> DataFrame:
+    """Rows that hold no URL: verdict ``error``, confidence 0, no rules."""
+    bad = ~F.coalesce(U.is_absolute(F.col("url")), F.lit(False))
+    kinds = dict(rated.dtypes)
+    said = {
+        "verdict": F.lit("error"), "confidence": F.lit(0.0), "prediction_source": F.lit("error"),
+        "matched_rules": F.array().cast(kinds["matched_rules"]),
+        "feature_importance": F.create_map().cast(kinds["feature_importance"]),
+    }
+    return rated.select(*[F.when(bad, said[c]).otherwise(F.col(c)).alias(c) if c in said else F.col(c) for c in rated.columns])
+
+
 def batch_report(results: DataFrame) -> DataFrame:
     """Processed, failed and verdict counts of a batch in one pass."""
     return results.agg(
-        F.count("*").alias("processed"),
+        F.count_if(F.col("verdict") != "error").alias("processed"),
         F.count_if(F.col("verdict") == "error").alias("failed"),
         *[F.count_if(F.col("verdict") == v).alias(v) for v in fixed.VERDICTS],
     )

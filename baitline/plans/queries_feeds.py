@@ -255,13 +255,10 @@ def _(t):
 
 
 @query("norm_live_feed", """
-WITH s AS (SELECT source, count(*) AS entries FROM (
- SELECT source FROM threat_indicators_raw QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) <= 200) GROUP BY source)
-SELECT source, entries, source AS sources_queried FROM s
-UNION ALL SELECT NULL, CAST(sum(entries) AS BIGINT), string_agg(source, ',' ORDER BY source) FROM s""")
+SELECT id, url, source, count(*) OVER (PARTITION BY source) AS source_total, count(*) OVER () AS overall_total
+FROM threat_indicators_raw QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) <= 200""")
 def _(t):
-    shown = norm.norm_live_feed(t.threat_indicators_raw.select("id", "url", "source"), limit=200)
-    return shown.withColumn("sources_queried", F.array_join("sources_queried", ","))
+    return norm.norm_live_feed(t.threat_indicators_raw.select("id", "url", "source"), limit=200)
 
 
 @query("norm_tag_explode", """

@@ -319,8 +319,7 @@ def _(t):
 @query("get_phish", f"""
 SELECT {_PHISH} FROM phish_entries WHERE phish_id = (SELECT min(phish_id) FROM phish_entries)""")
 def _(t):
-    first = t.phish_entries.agg(F.min("phish_id")).first()[0]
-    return history.get_phish(t.phish_entries, first)
+    return history.get_phish(t.phish_entries, t.phish_entries.agg(F.min("phish_id").alias("phish_id")))
 
 
 @query("check_url_list", """
@@ -373,7 +372,7 @@ SELECT entry_id, cache_key, summary, created_at, expires_at,
 FROM cache_entries WHERE expires_at >= TIMESTAMP '2024-01-15 00:00:00'""")
 def _(t):
     kept, removed = sets.set_expired(t.cache_entries, "2024-01-15 00:00:00")
-    return kept.withColumn("removed", F.lit(removed.first()["removed"]))
+    return kept.join(F.broadcast(removed))  # one row
 
 
 # --- posts -------------------------------------------------------------------
@@ -406,34 +405,40 @@ _PLACE = """, CASE WHEN contains(lower(title || ' ' || selftext), 'ransomware')
   WHEN contains(lower(title || ' ' || selftext), 'phishing') THEN 1 END AS place"""
 
 
-@query("post_keyword_search", "WITH " + _oracle_post_urls(fixed.POST_URL_PATTERN, 10, _PLACE) + f"""
+_WEEK = """AND created_utc > epoch(TIMESTAMP '2024-01-31 00:00:00') - 7 * 86400
+  AND created_utc <= epoch(TIMESTAMP '2024-01-31 00:00:00')"""
+
+
+@query("post_keyword_search", "WITH " + _oracle_post_urls(fixed.POST_URL_PATTERN, 10, _PLACE, _WEEK) + f"""
 SELECT {_POST_KEEP}, url FROM outside WHERE place IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY url ORDER BY place, post_id) = 1""")
 def _(t):
-    return posts.post_keyword_search(t.posts, ["ransomware", "phishing"])
+    return posts.post_keyword_search(t.posts, ["ransomware", "phishing"], as_of=AS_OF)
 
 
 @query("post_mentions", """
 WITH w AS (SELECT DISTINCT regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www\\.', '', 'g') AS domain
   FROM (SELECT url FROM posts UNION ALL SELECT regexp_extract(selftext, 'https://site[0-9]+[^ ]*$') FROM posts
         UNION ALL SELECT url FROM url_corpus)),
- n AS (SELECT DISTINCT post_id, subreddit, score, substr(title, 1, 100) AS title, replace(unnest(regexp_extract_all(
+ n AS (SELECT DISTINCT post_id, subreddit, score, title, replace(unnest(regexp_extract_all(
    lower(title || ' ' || selftext || ' ' || url), '[a-z0-9_-]+(?:\\.[a-z0-9_-]+)+')), 'www.', '') AS domain
-  FROM posts WHERE score >= 3 AND subreddit IN ('phishing', 'cybersecurity', 'scams')),
- b AS (SELECT n.* FROM n WHERE domain IN (SELECT domain FROM w WHERE domain <> '')
-  QUALIFY row_number() OVER (PARTITION BY domain, subreddit ORDER BY score DESC, post_id) <= 5),
+  FROM posts WHERE score >= 3 AND subreddit IN ('phishing', 'cybersecurity', 'scams')
+   AND created_utc > epoch(TIMESTAMP '2024-01-31 00:00:00') - 365 * 86400 AND created_utc <= epoch(TIMESTAMP '2024-01-31 00:00:00')),
+ b AS (SELECT n.* FROM n WHERE domain IN (SELECT domain FROM w WHERE domain <> '')),
  s AS (SELECT *, CASE subreddit WHEN 'phishing' THEN 1 WHEN 'cybersecurity' THEN 2 ELSE 3 END AS place FROM b
   WHERE score >= 50 AND regexp_matches(lower(title), 'phishing|scam|malware|malicious|fraud|spoof')
   AND NOT regexp_matches(lower(title), 'impersonating|fake|beware|warning|alert'))
 SELECT domain, count(*) AS total_mentions, 'reported' AS threat_type,
- array_to_string((list(post_id ORDER BY place, score DESC, post_id))[1:3], ',') AS mentions
+ array_to_string(list(concat(post_id, ':', title, ':', score) ORDER BY place, score DESC, post_id), ',') AS mentions
 FROM s GROUP BY domain HAVING count(*) >= 2""")
 def _(t):
     from ..functions import urls as U
     last = F.regexp_extract("selftext", "https://site[0-9]+[^ ]*$", 0)
     known = t.posts.select("url").union(t.posts.select(last)).union(t.url_corpus.select("url"))
     domains = known.select(U.page_domain(F.col("url")).alias("domain")).filter("domain <> ''")
-    return posts.post_mentions(t.posts, domains).withColumn("mentions", F.array_join("mentions", ","))
+    found = posts.post_mentions(t.posts, domains, as_of=AS_OF)
+    line = F.transform("mentions", lambda m: F.concat_ws(":", m["post_id"], m["title"], m["score"].cast("string")))
+    return found.withColumn("mentions", F.array_join(line, ","))
 
 
 @query("post_keyword_trend", """

@@ -133,20 +133,21 @@ def enriched(t: Tables) -> DataFrame:
     return feat.join_asof_enrich(t.scan_history.select("scan_id", "url", "created_at"), regs, certs, hops)
 
 
-_ENRICHED = """
- domain_of AS (SELECT url, any_value(rtrim(split_part(list_last(string_split(
-   regexp_extract(url, '^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//)?([^/?#]*)', 1), '@')), ':', 1), '.')) AS domain FROM url_corpus GROUP BY url),
- s AS (SELECT scan_id, s.url, created_at, domain FROM scan_history s JOIN domain_of d ON d.url = s.url),
+_ENRICHED = f"""
+ observed AS (SELECT url FROM url_corpus UNION SELECT url FROM registrations),
+ domain_of AS (WITH {O.parts("observed")} SELECT url, nullif(lower(rhost), '') AS host, lower(scheme) = 'https' AS secure,
+   nullif(lower(CASE WHEN rip OR label = '' OR suffix = '' THEN rhost ELSE label || '.' || suffix END), '') AS domain FROM hosts),
+ s AS (SELECT scan_id, s.url, created_at, domain, CASE WHEN secure THEN host END AS host FROM scan_history s JOIN domain_of d ON d.url = s.url),
  reg AS (SELECT domain, observed_at, max(CAST(observed_at AS DATE) - age_at_observation) AS registered_at
   FROM registrations r JOIN domain_of d ON d.url = r.url GROUP BY ALL),
- cert AS (SELECT domain, observed_at, ssl_valid, ssl_issuer FROM certificates c JOIN domain_of d ON d.url = c.url),
- probe AS (SELECT url, observed_at, count(*) AS redirect_count, string_agg(target, ',' ORDER BY hop) AS redirect_chain
-  FROM redirect_hops GROUP BY ALL),
+ cert AS (SELECT host, observed_at, ssl_valid, ssl_issuer FROM certificates c JOIN domain_of d ON d.url = c.url),
+ probe AS (SELECT url, observed_at, count(*) AS redirect_count, url || ',' || string_agg(target, ',' ORDER BY hop) AS redirect_chain
+  FROM redirect_hops GROUP BY url, observed_at),
  enriched AS (SELECT s.scan_id, s.url, s.created_at,
   CAST(greatest(0, coalesce(date_diff('day', r.registered_at, CAST(s.created_at AS DATE)), 0)) AS INT) AS domain_age_days,
   coalesce(c.ssl_valid, false) AS ssl_valid, c.ssl_issuer, CAST(coalesce(p.redirect_count, 0) AS INT) AS redirect_count, p.redirect_chain
  FROM s ASOF LEFT JOIN reg r ON r.domain = s.domain AND r.observed_at <= s.created_at
-  ASOF LEFT JOIN cert c ON c.domain = s.domain AND c.observed_at <= s.created_at
+  ASOF LEFT JOIN cert c ON c.host = s.host AND c.observed_at <= s.created_at
   ASOF LEFT JOIN probe p ON p.url = s.url AND p.observed_at <= s.created_at)"""
 
 
@@ -349,7 +350,7 @@ def _(t):
 
 
 @query("batch_report", _ANALYZED + """
- SELECT count(*) AS processed, count(*) FILTER (verdict = 'error') AS failed, count(*) FILTER (verdict = 'phishing') AS phishing,
+ SELECT count(*) FILTER (verdict <> 'error') AS processed, count(*) FILTER (verdict = 'error') AS failed, count(*) FILTER (verdict = 'phishing') AS phishing,
   count(*) FILTER (verdict = 'safe') AS safe, count(*) FILTER (verdict = 'suspicious') AS suspicious FROM analyzed""")
 def _(t):
     return verdict.batch_report(analyzed(t))
@@ -373,7 +374,7 @@ WITH a AS (SELECT url, json_extract(report, '$.data.attributes') AS a FROM engin
  e AS (SELECT url, unnest(range(0, 8)) AS i, results FROM c),
  f AS (SELECT url, i, json_extract_string(results, concat('$.engine', i, '.result')) AS result FROM e
   WHERE json_extract_string(results, concat('$.engine', i, '.category')) IN ('malicious', 'suspicious')),
- g AS (SELECT url, array_to_string((list(concat('engine', i, '=', result) ORDER BY i))[1:5], ',') AS threats FROM f GROUP BY url)
+ g AS (SELECT url, array_to_string(list(concat('engine', i, '=', result) ORDER BY i), ',') AS threats FROM f GROUP BY url)
 SELECT c.url, malicious_count, suspicious_count, malicious_count + suspicious_count + harmless AS total_engines, reputation,
  coalesce(threats, '') AS threats, CASE WHEN malicious_count > suspicious_count THEN 'malware' ELSE 'suspicious' END AS threat_type
 FROM c LEFT JOIN g ON g.url = c.url WHERE malicious_count > 0 OR suspicious_count > 0""")
@@ -398,13 +399,13 @@ def _(t):
 
 
 @query("vendor_scan_history", """
-WITH e AS (SELECT url, report, unnest(range(0, 10)) AS i FROM domain_reports),
+WITH e AS (SELECT url, report, unnest(range(0, 12)) AS i FROM domain_reports),
  f AS (SELECT url, i, CAST(json_extract(report, '$.total') AS BIGINT) AS total_scans,
   json_extract_string(report, concat('$.results[', i, ']._id')) AS id, json_extract_string(report, concat('$.results[', i, '].task.time')) AS seen FROM e
   WHERE json_extract_string(report, concat('$.results[', i, '].verdicts.overall.malicious')) = 'true'
    OR (json_extract_string(report, concat('$.results[', i, '].task.method')) = 'automatic'
     AND CAST(json_extract(report, concat('$.results[', i, '].stats.phishing')) AS INT) > 0))
-SELECT url, total_scans, CAST(count(*) AS INT) AS malicious_count, array_to_string((list(id ORDER BY i))[1:3], ',') AS scan_ids,
+SELECT url, total_scans, CAST(count(*) AS INT) AS malicious_count, array_to_string(list(id ORDER BY i), ',') AS scan_ids,
  arg_min(seen, i) AS first_seen FROM f GROUP BY url, total_scans""")
 def _(t):
     from ..operators import vendors

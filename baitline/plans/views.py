@@ -163,8 +163,9 @@ SELECT e.event_id AS entry_id, md5(u.url) AS cache_key, concat('text ', CAST(e.e
  e.ts AS created_at, e.ts + INTERVAL 24 HOUR AS expires_at
 FROM {_PAGE_OF_EVENT} e JOIN {{url_corpus}} u ON u.page_id = e.page_no
 WHERE e.event_type = 'click'""",
+    # Deep hosts are registered under their parent, which the corpus does not list.
     "registrations": f"""
-SELECT u.page_id AS page_id, u.url AS url, e.event_id AS obs_id, e.ts AS observed_at,
+SELECT u.page_id AS page_id, CASE WHEN u.url LIKE 'https://a.b.c.d.%' THEN replace(u.url, 'a.b.c.d.', 'www.') ELSE u.url END AS url, e.event_id AS obs_id, e.ts AS observed_at,
  CAST(e.event_id * 13 % 400 AS INT) AS age_at_observation
 FROM {_PAGE_OF_EVENT} e JOIN {{url_corpus}} u ON u.page_id = e.page_no
 WHERE e.event_type = 'signup'""",

@@ -69,11 +69,16 @@ def src_line_feed(
     return _first(rows, limit)
 
 
-def src_phishtank_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """CSV dump with a header; rows without a URL are dropped, empty fields are NULL."""
+def src_phishtank_csv(
+    spark: SparkSession, path: str, limit: int | None = None, multi_line: bool = False
+) -> DataFrame:
+    """CSV dump with a header; rows without a URL are dropped, empty fields are NULL.
+
+    A file is split among tasks unless ``multi_line`` allows line feeds in fields.
+    """
     rows = (
         spark.read.schema(PHISHTANK_SCHEMA)
-        .option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
+        .option("header", True).option("multiLine", multi_line).option("escape", '"').option("enforceSchema", False)
         .csv(path)
     )
     fields = [F.nullif(F.col(c), F.lit("")).alias(c) for c in rows.columns]
@@ -152,8 +157,8 @@ def src_training_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRAINING_SCHEMA).json(path)
 
 
-def src_url_batch(spark: SparkSession, path: str, cap: int | None = 50) -> DataFrame:
-    """Pasted list: (position, url, is_valid), the first ``cap`` lines in order.
+def src_url_batch(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
+    """Pasted list: (position, url, is_valid); with ``cap`` only the first lines, in order.
 
     Invalid lines are kept and flagged so that the caller can show them.
     """

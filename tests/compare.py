@@ -79,7 +79,7 @@ def main() -> int:
     import __spark_entry__ as entry
 
     folder = f"/root/testdata/sf{scale}"
-    spark, con = session(), database(folder)
+    spark, con = session(4), database(folder)
     plans, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
     for key in args or plans:
