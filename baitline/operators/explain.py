@@ -111,7 +111,7 @@ def explain_prompts(results: DataFrame) -> DataFrame:
     matched = F.when(F.size("matched_rules") > 0, _listed(F.col("matched_rules"))).otherwise("None")
     ask = F.lit(f"\n\nReply with one JSON object and nothing else. Fields: {REPLY_FIELDS}.")
     full = F.concat(
-        F.lit("Assess the security of this scanned URL.\n\n"), head, feeds,
+        F.lit("Judge how risky the URL below is.\n\n"), head, feeds,
         F.lit("\nFeatures:\n"), facts, F.lit("\nMatched rules: "), matched, ask,
     )
     short = F.concat(F.lit("This scanned URL looks safe. Confirm briefly.\n\n"), head, ask)
@@ -119,36 +119,44 @@ def explain_prompts(results: DataFrame) -> DataFrame:
     return results.select(*key, "url", "verdict", F.when(F.col("verdict") == "safe", short).otherwise(full).alias("prompt"))
 
 
-REPLY_SCHEMA = (
-    "summary STRING, explanation STRING, risk_factors ARRAY<STRING>, severity STRING, "
-    "recommended_action STRING, target_brand STRING, _corrupt STRING"
-)
-
-
 def explain_ingest(replies: DataFrame, col: str = "reply") -> DataFrame:
-    """Reply texts to explanations; a reply that is no JSON object becomes a fallback."""
+    """Reply texts to explanations; a reply that is not one JSON object, and nothing else, becomes a fallback.
+
+    Missing fields get defaults; an explicit null stays null.  Values of other
+    types are kept as text, and risk factors that are no array as a single one.
+    """
     body = F.trim(F.regexp_replace(F.regexp_replace(
         F.regexp_replace(F.col(col), r"^\s+|\s+$", ""), r"^```(?:json)?", ""), r"```$", ""))
     body = F.regexp_replace(body, r"^\s+|\s+$", "")
-    staged = replies.withColumn(
-        "_r", F.from_json(body, REPLY_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    ).withColumn("_bad", F.col("_r").isNull() | F.col("_r._corrupt").isNotNull() | ~body.startswith("{"))
+    # as the only element of an array: whatever follows the object breaks the array
+    only = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    staged = replies.withColumn("_v", F.when(body.startswith("{") & body.endswith("}"), only))
+    staged = staged.withColumn("_r", F.try_variant_get("_v", "$[0]", "map<string,variant>")).withColumn(
+        "_bad", F.col("_r").isNull() | F.try_variant_get("_v", "$[1]", "variant").isNotNull())
 
-    def field(name: str, missing: str) -> Column:
-        return F.coalesce(F.col(f"_r.{name}"), F.lit(missing))
+    def text(name: str) -> Column:
+        value = F.try_element_at("_r", F.lit(name))
+        return F.coalesce(F.try_variant_get(value, "$", "string"), F.when(~F.is_variant_null(value), F.to_json(value)))
 
-    severity = F.col("_r.severity")
+    def field(name: str, missing: str) -> Column:
+        return F.when(F.map_contains_key("_r", name), text(name)).otherwise(F.lit(missing))
+
+    severity = text("severity")
+    none = F.array().cast("array<string>")
+    risks = F.try_element_at("_r", F.lit("risk_factors"))
+    factors = F.when(F.map_contains_key("_r", "risk_factors"), F.coalesce(
+        F.try_variant_get(risks, "$", "array<string>"), F.when(~F.is_variant_null(risks), F.array(text("risk_factors")))
+    )).otherwise(none)
     own = [c for c in replies.columns if c != col]
     bad = F.col("_bad")
     return staged.select(
         *own,
         F.when(bad, "Unable to generate AI explanation").otherwise(field("summary", "Analysis completed")).alias("summary"),
         F.when(bad, F.col(col)).otherwise(field("explanation", "Unable to generate detailed explanation")).alias("explanation"),
-        F.when(bad, F.array().cast("array<string>"))
-        .otherwise(F.coalesce("_r.risk_factors", F.array().cast("array<string>"))).alias("risk_factors"),
+        F.when(bad, none).otherwise(factors).alias("risk_factors"),
         F.when(~bad & severity.isin(fixed.SEVERITIES), severity).otherwise("medium").alias("severity"),
         F.when(bad, "Review manually").otherwise(field("recommended_action", "Review manually")).alias("recommended_action"),
-        F.when(~bad, F.col("_r.target_brand")).alias("target_brand"),
+        F.when(~bad, text("target_brand")).alias("target_brand"),
     )
 
 

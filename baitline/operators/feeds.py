@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.breaker import NONE, run_breaker
+
 
 def win_feed_status(attempts: DataFrame) -> DataFrame:
     """Current status of each feed.
@@ -69,8 +71,6 @@ def win_feed_status(attempts: DataFrame) -> DataFrame:
 # A state is (count, open_since): open_since = NONE means closed.
 # ---------------------------------------------------------------------------
 
-NONE = np.iinfo(np.int64).min
-
 
 class _Slice:
     """Attempts of one feed in one time slice, in order."""
@@ -79,10 +79,8 @@ class _Slice:
         self.times, self.failed = times, failed
         self.max_errors, self.recovery = max_errors, recovery
         n = len(times)
-        self.next_success = np.empty(n + 1, dtype=np.int64)
-        self.next_success[n] = n
-        for i in range(n - 1, -1, -1):
-            self.next_success[i] = self.next_success[i + 1] if failed[i] else i
+        places = np.where(failed, n, np.arange(n))
+        self.next_success = np.append(np.minimum.accumulate(places[::-1])[::-1], n)
         # State after the slice when it is entered, closed and clean, at attempt i.
         self.after: list[tuple[int, int]] = [(0, NONE)] * (n + 1)
         for i in range(n - 1, -1, -1):
@@ -191,22 +189,20 @@ def win_circuit_breaker(
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, count, opened = None, 0, NONE
         for pdf in batches:
-            rows = []
-            for source, cut_at, at, failed, entry_count, entry_open in zip(
-                pdf["source"], pdf["slice"], _micros(pdf["attempted_at"]), pdf["failed"], pdf["count"], pdf["open_since"]
-            ):
-                if (source, cut_at) != current:
-                    current, count, opened = (source, cut_at), int(entry_count), int(entry_open)
-                skip = opened != NONE and at <= opened + recovery
-                if not skip:
-                    if opened != NONE:
-                        count, opened = 0, NONE
-                    count = count + 1 if failed else 0
-                    if count >= max_errors:
-                        opened = int(at)
-                rows.append((skip, count, opened != NONE))
-            outcome = pd.DataFrame(rows, columns=["skipped", "failures_in_row", "circuit_open"], index=pdf.index)
-            yield pdf[["attempt_id", "source", "attempted_at"]].join(outcome)
+            outcome = []
+            changed = ((pdf["source"] != pdf["source"].shift()) | (pdf["slice"] != pdf["slice"].shift())).to_numpy()
+            starts = np.flatnonzero(changed)
+            for start, end in zip(starts, [*starts[1:], len(pdf)]):
+                part = pdf.iloc[start:end]
+                key = (part["source"].iloc[0], part["slice"].iloc[0])
+                if key != current:
+                    current, count, opened = key, int(part["count"].iloc[0]), int(part["open_since"].iloc[0])
+                *columns, count, opened = run_breaker(
+                    _micros(part["attempted_at"]), part["failed"].to_numpy(), count, opened, max_errors, recovery)
+                outcome.append(columns)
+            skipped, rows, open_after = (np.concatenate(c) for c in zip(*outcome)) if outcome else ([], [], [])
+            yield pdf[["attempt_id", "source", "attempted_at"]].assign(
+                skipped=skipped, failures_in_row=rows, circuit_open=open_after)
 
     tables = in_order(cut).mapInPandas(tabulate, _TABLE)
     # One row per slice: the calendar bounds what a feed's chain holds.

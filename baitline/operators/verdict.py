@@ -116,8 +116,13 @@ def analyze_urls(
     if indicators is None:
         return explained.withColumn("sources", F.lit(None).cast("array<string>")).withColumn(
             "threat_type", F.lit(None).cast("string"))
-    hits = match.join_feed_verdict(urls, indicators).select(
-        "url", "is_known_threat", "sources", "threat_type",
+    return with_feed_verdict(explained, match.join_feed_verdict(urls, indicators))
+
+
+def with_feed_verdict(rated: DataFrame, hits: DataFrame) -> DataFrame:
+    """Let the feeds decide where they list the URL; ``hits`` has one row per URL."""
+    hits = hits.select(
+        "url", "is_known_threat", F.col("sources").alias("_sources"), F.col("threat_type").alias("_threat"),
         F.col("verdict").alias("_verdict"), F.col("confidence").alias("_confidence"),
         F.col("matched_rules").alias("_matched"),
     )
@@ -129,13 +134,10 @@ def analyze_urls(
         "feature_importance": F.create_map(F.lit("threat_feed_match"), F.lit(1.0)),
         "prediction_source": F.lit("threat_feed"),
     }
-    joined = explained.join(hits, "url", "left")
-    return joined.select(
-        *[
-            F.when(known, replaced[c]).otherwise(F.col(c)).alias(c) if c in replaced else F.col(c)
-            for c in explained.columns
-        ],
-        "sources", "threat_type",
+    own = [c for c in rated.columns if c not in ("sources", "threat_type")]
+    return rated.select(*own).join(hits, "url", "left").select(
+        *[F.when(known, replaced[c]).otherwise(F.col(c)).alias(c) if c in replaced else F.col(c) for c in own],
+        F.col("_sources").alias("sources"), F.col("_threat").alias("threat_type"),
     )
 
 

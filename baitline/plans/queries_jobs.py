@@ -10,6 +10,7 @@ from ..functions import fixed
 from ..operators import features as feat, normalize as norm, stats, text, training, verdict
 from ..streaming import streams
 from . import oracle_text as O
+from .queries_scans import BREAKER_SQL
 from .registry import AS_OF, query
 from .session import scratch_path
 from .views import Tables, VIEWS
@@ -156,7 +157,11 @@ def _(t):
     return _landed(t, "counts", streams.st_verdict_counts(_stream(t, "scan_history")))
 
 
-@query("st_verdict_counts_sliding")
+@query("st_verdict_counts_sliding", """
+WITH b AS (SELECT time_bucket(INTERVAL 15 MINUTE, created_at) - k * INTERVAL 15 MINUTE AS window_start, verdict
+  FROM scan_history, range(0, 4) r(k))
+SELECT window_start, verdict, count(*) AS scans FROM b
+WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM scan_history) - INTERVAL 1 HOUR GROUP BY ALL""")
 def _(t):
     return _landed(t, "sliding", streams.st_verdict_counts(_stream(t, "scan_history"), "1 hour", "15 minutes"))
 
@@ -173,13 +178,19 @@ def _(t):
     return _landed(t, "known", known.select("scan_id", "url", "verdict"))
 
 
-@query("st_circuit")
+@query("st_circuit", BREAKER_SQL)
 def _(t):
     return _landed(t, "circuit", streams.st_circuit(_stream(t, "feed_attempts"))).withColumn(
         "attempted_at", F.col("attempted_at").cast("timestamp_ntz"))
 
 
-@query("st_recheck_ttl")
+@query("st_recheck_ttl", """
+WITH RECURSIVE a AS (SELECT scan_id, url, created_at, row_number() OVER (PARTITION BY url ORDER BY created_at, scan_id) AS i FROM scan_history),
+ b AS (SELECT scan_id, url, created_at, i, created_at AS last, true AS passed FROM a WHERE i = 1
+  UNION ALL
+  SELECT a.scan_id, a.url, a.created_at, a.i, CASE WHEN a.created_at >= b.last + INTERVAL 300 SECOND THEN a.created_at ELSE b.last END,
+   a.created_at >= b.last + INTERVAL 300 SECOND FROM b JOIN a ON a.url = b.url AND a.i = b.i + 1)
+SELECT scan_id, url, created_at FROM b WHERE passed""")
 def _(t):
     return _landed(t, "recheck", streams.st_recheck_ttl(_stream(t, "scan_history").select("scan_id", "url", "created_at")))
 

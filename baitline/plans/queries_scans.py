@@ -229,7 +229,7 @@ def _(t):
     return feeds.win_feed_status(t.feed_attempts)
 
 
-@query("win_circuit_breaker", """
+BREAKER_SQL = """
 WITH RECURSIVE a AS (SELECT attempt_id, source, attempted_at, status <> 'healthy' AS failed,
   row_number() OVER (PARTITION BY source ORDER BY attempted_at, attempt_id) AS i FROM feed_attempts),
  b AS (
@@ -242,7 +242,10 @@ WITH RECURSIVE a AS (SELECT attempt_id, source, attempted_at, status <> 'healthy
   FROM (SELECT a.*, b.since, b.n, coalesce(a.attempted_at <= b.since + INTERVAL 300 SECOND, false) AS skip,
      CASE WHEN NOT a.failed THEN 0 WHEN b.since IS NOT NULL THEN 1 ELSE b.n + 1 END AS next_n
     FROM b JOIN a ON a.source = b.source AND a.i = b.i + 1) x)
-SELECT attempt_id, source, attempted_at, skipped, n AS failures_in_row, since IS NOT NULL AS circuit_open FROM b""")
+SELECT attempt_id, source, attempted_at, skipped, n AS failures_in_row, since IS NOT NULL AS circuit_open FROM b"""
+
+
+@query("win_circuit_breaker", BREAKER_SQL)
 def _(t):
     return feeds.win_circuit_breaker(t.feed_attempts)
 

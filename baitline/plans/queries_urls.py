@@ -444,7 +444,7 @@ def _(t):
 @query("explain_prompts", _EXPLAIN + f""",
  h AS (SELECT *, concat('URL: ', url, chr(10), 'Verdict: ', verdict, chr(10), 'Confidence: ', printf('%.2f%%', confidence * 100)) AS head FROM full_result)
  SELECT scan_id, url, verdict, CASE WHEN verdict = 'safe' THEN concat('This scanned URL looks safe. Confirm briefly.', chr(10), chr(10), head)
-  ELSE concat('Assess the security of this scanned URL.', chr(10), chr(10), head,
+  ELSE concat('Judge how risky the URL below is.', chr(10), chr(10), head,
    CASE WHEN sources IS NOT NULL THEN chr(10) || 'Listed by threat feeds: ' || replace(sources, ',', ', ') ELSE '' END, chr(10), 'Features:', chr(10),
    '- Domain age (days): ', domain_age_days, chr(10), '- SSL valid: ', ssl_valid, chr(10), '- SSL issuer: ', coalesce(ssl_issuer, 'Unknown'), chr(10),
    '- Redirects: ', redirect_count, chr(10), '- Typosquat target: ', coalesce(typosquat_target, 'None'), chr(10), '- Typosquat distance: ', typosquat_distance, chr(10),

@@ -19,7 +19,7 @@ def test_query(spark, con, key):
     df = PLANS[key](spark, FOLDER)
     if key in ORACLES:
         outcome = difference(df, con, ORACLES[key])
-        assert outcome in (None, "EMPTY"), outcome
+        assert outcome is None, outcome
     else:
         assert df.count() > 0
 
