@@ -66,9 +66,10 @@ def registry_host(url: Column) -> Column:
 def suffix_labels(host_: Column) -> Column:
     """How many trailing labels of ``host_`` form the public suffix (0, 1 or 2)."""
     last_two = F.lower(F.substring_index(host_, ".", -2))
+    usual = rf"^({'|'.join(fixed.SUFFIX_SECOND_LEVELS)})\.[a-z]{{2}}$"
     return (
         F.when(~host_.contains(".") | is_ipv4(host_), 0)
-        .when(last_two.isin(fixed.SUFFIXES_TWO_LABELS), 2)
+        .when(last_two.rlike(usual) | last_two.isin(fixed.SUFFIXES_TWO_LABELS), 2)
         .otherwise(1)
     )
 

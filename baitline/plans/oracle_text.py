@@ -46,7 +46,8 @@ parts AS (SELECT *, lower(url) AS low, lower(regexp_extract(url, '{u}', 1)) AS s
 labelled AS (SELECT *, split_part(netloc, ':', 1) AS host, string_split(rhost, '.') AS labels, regexp_matches(rhost, '{ip}') AS rip,
   regexp_matches(split_part(netloc, ':', 1), '{ip}') AS ip FROM parts),
 counted AS (SELECT *, CASE WHEN rip OR len(labels) < 2 THEN 0
-  WHEN {_in("lower(array_to_string(labels[-2:], '.'))", fixed.SUFFIXES_TWO_LABELS)} THEN 2 ELSE 1 END AS nsuffix FROM labelled),
+  WHEN regexp_matches(lower(array_to_string(labels[-2:], '.')), '^({'|'.join(fixed.SUFFIX_SECOND_LEVELS)})\\.[a-z]{{2}}$')
+   OR {_in("lower(array_to_string(labels[-2:], '.'))", fixed.SUFFIXES_TWO_LABELS)} THEN 2 ELSE 1 END AS nsuffix FROM labelled),
 hosts AS (SELECT *, CASE WHEN rip THEN rhost WHEN len(labels) - nsuffix >= 1 THEN labels[len(labels) - nsuffix] ELSE '' END AS label,
   CASE WHEN nsuffix = 0 THEN '' ELSE array_to_string(labels[len(labels) - nsuffix + 1:], '.') END AS suffix,
   CASE WHEN rip THEN 0 ELSE greatest(0, len(labels) - nsuffix - 1) END AS nsub FROM counted)"""

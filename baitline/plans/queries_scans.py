@@ -408,15 +408,15 @@ _PLACE = """, CASE WHEN contains(lower(title || ' ' || selftext), 'ransomware')
   WHEN contains(lower(title || ' ' || selftext), 'phishing') THEN 1 END AS place"""
 
 
-_WEEK = """AND created_utc > epoch(TIMESTAMP '2024-01-31 00:00:00') - 7 * 86400
-  AND created_utc <= epoch(TIMESTAMP '2024-01-31 00:00:00')"""
+_WEEK = """AND created_utc > epoch(TIMESTAMP '2024-01-08 12:00:00') - 7 * 86400
+  AND created_utc <= epoch(TIMESTAMP '2024-01-08 12:00:00')"""
 
 
 @query("post_keyword_search", "WITH " + _oracle_post_urls(fixed.POST_URL_PATTERN, 10, _PLACE, _WEEK) + f"""
 SELECT {_POST_KEEP}, url FROM outside WHERE place IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY url ORDER BY place, post_id) = 1""")
 def _(t):
-    return posts.post_keyword_search(t.posts, ["ransomware", "phishing"], as_of=AS_OF)
+    return posts.post_keyword_search(t.posts, ["ransomware", "phishing"], as_of="2024-01-08 12:00:00")
 
 
 @query("post_mentions", """

@@ -87,7 +87,8 @@ def _(t):
     # The suffixes seen in the corpus itself, and the shipped two-label list.
     spark = t.url_corpus.sparkSession
     last = t.url_corpus.select(F.substring_index(U.registry_host(F.col("url")), ".", -1).alias("suffix"))
-    listed = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in fixed.SUFFIXES_TWO_LABELS])).alias("suffix"))
+    pairs = [*fixed.SUFFIXES_TWO_LABELS, "com.mt", "com.es"]
+    listed = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in pairs])).alias("suffix"))
     return match.join_public_suffix(t.url_corpus, last.unionByName(listed))
 
 

@@ -63,7 +63,13 @@ SELECT page_id, CASE page_id % 12
  WHEN 8 THEN concat('https://bit.ly/', CAST(page_id AS STRING))
  WHEN 9 THEN concat('https://long', CAST(page_id AS STRING), '.info/', repeat('abcdefghij', 16))
  ELSE url END AS url
-FROM {pages}""",
+FROM {pages}
+UNION ALL
+SELECT page_id + 1000000000, CASE page_id % 12 WHEN 1 THEN concat('https://secure-paypal', CAST(page_id AS STRING), '.com.mt/signin')
+ WHEN 2 THEN concat('https://news.foo', CAST(page_id AS STRING), '.com.es:8443/a?b=1#c') ELSE url END
+FROM {pages} WHERE page_id % 12 BETWEEN 1 AND 9
+UNION ALL
+SELECT page_id + 2000000000, url FROM {pages} WHERE page_id % 12 IN (1, 2)""",
     "scan_history": f"""
 SELECT e.event_id AS scan_id, u.url AS url,
  CASE e.event_type WHEN 'error' THEN 'phishing' WHEN 'click' THEN 'suspicious' ELSE 'safe' END AS verdict,
@@ -202,8 +208,8 @@ FROM {url_corpus} u LEFT JOIN (SELECT DISTINCT url FROM {threat_indicators_raw})
     "distinct_samples": """
 SELECT url, label, min(page_id) AS page_id FROM {samples} GROUP BY url, label""",
     "ranked_domains": """
-SELECT page_id + 1 AS rank, concat('site', CAST(page_id AS STRING), '.', CASE page_id % 3 WHEN 0 THEN 'com' WHEN 1 THEN 'org' ELSE 'co.uk' END) AS domain
-FROM {pages}""",
+SELECT min(page_id) + 1 AS rank, split_part(split_part(url, '://', 2), '/', 1) AS domain
+FROM {pages} WHERE contains(url, '://') GROUP BY split_part(split_part(url, '://', 2), '/', 1)""",
     "pasted_lines": """
 SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat('  ', url, '  ') WHEN 1 THEN concat('site', CAST(page_id AS STRING), '.com/x')
  WHEN 2 THEN concat('10.0.0.', CAST(page_id % 256 AS STRING), '/a') WHEN 3 THEN concat('not a url ', CAST(page_id AS STRING))
