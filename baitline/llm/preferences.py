@@ -105,12 +105,15 @@ def opening_pairs(convs: DataFrame) -> DataFrame:
     """Conversations that open with an equal turn: the one of smallest id against each other one.
 
     A common opening makes as many pairs as it has conversations, less one.  Ids
-    are gathered as minima within tasks, and the chosen side of the last join
-    has one row per id, so a very common opening is split like any skewed side.
+    are gathered as minima within tasks, and stored, so that each join reads two
+    plain shuffles of which one has unique keys: a very common opening is split
+    like any skewed side.
     """
     opened = convs.where(F.size("turns") > 0).select("conv_id", F.element_at("turns", 1).alias("opening"))
     marked = opened.select("conv_id", F.sha2(F.to_json("opening"), 256).alias("opening"))
-    least = marked.groupBy("opening").agg(F.min("conv_id").alias("chosen_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    least = stored(
+        marked.groupBy("opening").agg(F.min("conv_id").alias("chosen_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "openings"
+    )
     ids = marked.join(least, "opening").where("conv_id != chosen_id").select("conv_id", "chosen_id")
     other = ids.join(convs.withColumnRenamed("turns", "rejected"), "conv_id")
     chosen = convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen"))
