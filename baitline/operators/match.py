@@ -59,8 +59,8 @@ def source_ordinal(source: Column, order: list[str] = fixed.FEED_ORDER) -> Colum
     return F.when(place == 0, len(order) + 1).otherwise(place).cast("int")
 
 
-def join_feed_verdict(urls: DataFrame, indicators: DataFrame) -> DataFrame:
-    """One row per known URL with what the feeds say, in feed order.
+def feed_hits(urls: DataFrame, indicators: DataFrame) -> DataFrame:
+    """(url, source, threat_type, target_brand) of each URL and feed that lists it under any variant.
 
     indicators: url, source and, when present, threat_type, target_brand.
     First the entries are reduced to one row per (URL, feed); after that a URL
@@ -80,16 +80,41 @@ def join_feed_verdict(urls: DataFrame, indicators: DataFrame) -> DataFrame:
         )
         .withColumn("_key", U.match_key(F.col("_entry")))
     )
-    hits = left.join(right, _is_variant(left, right)).select(
-        left["url"], "source", source_ordinal(F.col("source")).alias("_place"), "threat_type", "target_brand"
-    )
-    per_feed = hits.groupBy("url", "source", "_place").agg(
+    hits = left.join(right, _is_variant(left, right)).select(left["url"], "source", "threat_type", "target_brand")
+    return hits.groupBy("url", "source").agg(
         F.min("threat_type").alias("threat_type"), F.max("target_brand").alias("target_brand")
     )
+
+
+def report_hits(found: DataFrame, source: str) -> DataFrame:
+    """Result of a stored-report job (one row per URL that it flags) as hits with details."""
+    rest = [c for c in found.columns if c not in ("url", "threat_type")]
+    kind = F.col("threat_type") if "threat_type" in found.columns else F.lit(None).cast("string")
+    return found.select(
+        "url", F.lit(source).alias("source"), kind.alias("threat_type"), F.lit(None).cast("string").alias("target_brand"),
+        F.to_json(F.struct(*rest)).alias("details"),
+    )
+
+
+def mention_hits(urls: DataFrame, mentions: DataFrame, source: str = "reddit") -> DataFrame:
+    """URLs whose domain posts report (see ``posts.post_mentions``) as hits with details."""
+    asked = _keyed(urls).select("url", U.page_domain(F.col("url")).alias("domain"))
+    return report_hits(asked.join(mentions, "domain").drop("domain"), source)
+
+
+def join_hits_verdict(hits: DataFrame) -> DataFrame:
+    """One row per URL with what its sources say, in source order.
+
+    hits: url, source, threat_type, target_brand and, when present, details; one
+    row per URL and source.
+    """
+    if "details" not in hits.columns:
+        hits = hits.withColumn("details", F.lit(None).cast("string"))
+    placed = hits.withColumn("_place", source_ordinal(F.col("source")))
     return (
-        per_feed.groupBy("url")
+        placed.groupBy("url")
         .agg(
-            F.array_sort(F.collect_list(F.struct("_place", "source"))).alias("_found"),
+            F.array_sort(F.collect_list(F.struct("_place", "source", "details"))).alias("_found"),
             F.min(F.when(F.col("threat_type").isNotNull(), F.struct("_place", "source", "threat_type"))).alias("_type"),
             F.max(F.when(F.col("target_brand").isNotNull(), F.struct("_place", "source", "target_brand"))).alias("_brand"),
         )
@@ -102,10 +127,33 @@ def join_feed_verdict(urls: DataFrame, indicators: DataFrame) -> DataFrame:
             F.lit("phishing").alias("verdict"),
             F.lit(0.98).alias("confidence"),
             F.transform(F.col("_found.source"), lambda s: F.concat(F.lit("known_threat:"), s)).alias("matched_rules"),
+            F.transform("_found", lambda f: F.struct(f["source"].alias("source"), f["details"].alias("details"))).alias("details"),
         )
     )
 
 
+def join_feed_verdict(urls: DataFrame, indicators: DataFrame) -> DataFrame:
+    """One row per known URL with what the feeds say, in feed order."""
+    return join_hits_verdict(feed_hits(urls, indicators)).drop("details")
+
+
+def check_all_sources(urls: DataFrame, indicators: DataFrame, *reports: DataFrame) -> DataFrame:
+    """Feeds, stored vendor reports and posts in one verdict per URL, with the details of each source.
+
+    ``reports`` are hits by exact URL (``report_hits``, ``mention_hits``); a
+    source that both a feed and a report give counts once, with the feed's type.
+    The result is what ``verdict.with_feed_verdict`` takes.
+    """
+    said = F.to_json(F.struct("threat_type", "target_brand"))
+    hits = feed_hits(urls, indicators).withColumn("details", said).withColumn("_rank", F.lit(0))
+    asked = _keyed(urls).select("url")
+    for rank, report in enumerate(reports, 1):
+        hits = hits.unionByName(report.join(asked, "url", "left_semi").withColumn("_rank", F.lit(rank)))
+    fields = ("threat_type", "target_brand", "details")
+    first = hits.groupBy("url", "source").agg(F.min(F.struct("_rank", *fields)).alias("_first"))
+    return join_hits_verdict(first.select("url", "source", *[F.col(f"_first.{c}").alias(c) for c in fields]))
+
+
 def split_public_suffix(urls: DataFrame) -> DataFrame:
     """Domain, suffix and subdomain count by the shipped suffix list, within the row."""
     return U.split_host(urls.withColumn("host", U.registry_host(F.col("url"))), "host", "domain", "suffix", "subdomains")

@@ -414,6 +414,30 @@ def _(t):
     return joined(vendors.vendor_scan_history(t.domain_reports), "scan_ids")
 
 
+_ENGINE_SAYS = """
+ reports_say AS (
+  SELECT url, 'virustotal' AS source, 3 AS ordinal, CASE WHEN p % 4 > p % 3 THEN 'malware' ELSE 'suspicious' END AS threat_type
+  FROM corpus_urls WHERE p % 4 > 0 OR p % 3 > 0
+  UNION ALL SELECT url, 'google_safebrowsing', 4, CASE WHEN p % 3 = 1 THEN 'phishing' ELSE 'malware' END FROM corpus_urls WHERE p % 3 <> 0)"""
+
+
+@query("check_all_sources", "WITH " + O.feed_hits("url_corpus") + "," + _ENGINE_SAYS + """,
+ said AS (SELECT url, source, ordinal, min(threat_type) FILTER (threat_type <> '') AS threat_type FROM hit GROUP BY ALL
+  UNION ALL SELECT * FROM reports_say)
+SELECT url, string_agg(source, ',' ORDER BY ordinal) AS sources, arg_min(threat_type, ordinal) AS threat_type, 'phishing' AS verdict,
+ CAST(count(*) AS INT) AS n_details FROM said GROUP BY url""")
+def _(t):
+    from ..operators import vendors
+
+    reports = [
+        match.report_hits(vendors.vendor_multi_engine(t.engine_reports), "virustotal"),
+        match.report_hits(vendors.vendor_blocklist(t.blocklist_reports), "google_safebrowsing"),
+    ]
+    out = match.check_all_sources(t.url_corpus, t.threat_indicators_raw, *reports)
+    kept = out.select("url", "sources", "threat_type", "verdict", F.size(F.filter("details", lambda d: d["details"].isNotNull())).alias("n_details"))
+    return joined(kept, "sources")
+
+
 # --- explanations ------------------------------------------------------------
 
 _EXPLAIN = _ANALYZED + """,
