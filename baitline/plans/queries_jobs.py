@@ -99,7 +99,7 @@ def _(t):
 
 
 def _lexical_vectors(t: Tables) -> DataFrame:
-    rows = feat.feat_lexical32(t.distinct_samples)
+    rows = feat.feat_lexical32(split_samples(t).filter(F.col("split") == "train"))
     return VectorAssembler(inputCols=fixed.VECTOR26, outputCol="vector").transform(rows)
 
 
@@ -111,7 +111,8 @@ def _(t):
 
 
 def _vector11_model(t: Tables):
-    samples = feat.with_vector(feat.feat_core(t.distinct_samples))
+    # fitted on the training rows alone; the other URLs are new to the model
+    samples = feat.with_vector(feat.feat_core(split_samples(t).filter(F.col("split") == "train")))
     return LogisticRegression(featuresCol="vector", labelCol="label", maxIter=50, regParam=0.01).fit(samples)
 
 

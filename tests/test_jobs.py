@@ -184,9 +184,66 @@ def test_streams_equal_batch(spark):
     batch = plans["win_circuit_breaker"](spark, folder)
     assert stream.select(*batch.columns).exceptAll(batch).count() == 0
     assert stream.count() == batch.count()
-    once = plans["st_recheck_ttl"](spark, folder)
-    assert once.groupBy("url").count().filter("count < 1").count() == 0
-    assert once.select("url").distinct().count() == plans["win_latest_scan"](spark, folder).count()
+
+
+def test_recheck_lets_through_after_the_ttl(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from baitline.streaming import streams
+
+    start = datetime(2024, 1, 1)
+    rows = [(i, "a" if i % 3 else "b", start + timedelta(seconds=40 * i)) for i in range(60)]
+    spark.createDataFrame(rows, "scan_id BIGINT, url STRING, created_at TIMESTAMP_NTZ").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("scan_id BIGINT, url STRING, created_at TIMESTAMP_NTZ").parquet(f"{tmp_path}/in")
+    streams.run_available(streams.st_recheck_ttl(stream, 300), f"{tmp_path}/out", f"{tmp_path}/state")
+    want, last = set(), {}
+    for i, url, at in rows:
+        if url not in last or at >= last[url] + timedelta(seconds=300):
+            last[url] = at
+            want.add(i)
+    assert {r.scan_id for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
+
+
+def test_rows_without_a_url_are_errors(spark):
+    from baitline.operators import verdict
+
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "no url"), (4, "https://example.com/a")], "page_id INT, url STRING")
+    got = verdict.analyze_urls(df)
+    assert {r.page_id: r.verdict == "error" for r in got.collect()} == {1: True, 2: True, 3: True, 4: False}
+    report = verdict.batch_report(got).first()
+    assert (report.processed, report.failed) == (1, 3)
+
+
+def test_limits_are_honoured_or_refused(spark):
+    from baitline.operators import stats, vendors
+
+    df = spark.range(1500).selectExpr("id AS phish_id", "'yes' AS online", "timestamp_ntz'2024-01-02' AS submission_time", "'t' AS target")
+    assert history.top_recent_phish(df, 1200).count() == 1200
+    with pytest.raises(ValueError):
+        history.top_recent_phish(df, 0)
+    with pytest.raises(ValueError):
+        stats.agg_phish_stats(df, "2024-01-03", days=0)
+    late = [{"_id": f"r{i}", "task": {"method": "manual", "time": "t"}, "verdicts": {"overall": {"malicious": i == 10}}} for i in range(11)]
+    report = spark.createDataFrame([("u", json.dumps({"total": 11, "results": late}))], "url STRING, report STRING")
+    assert vendors.vendor_scan_history(report).first().scan_ids == ["r10"]
+
+
+def test_search_takes_a_backslash_as_itself(spark):
+    from datetime import datetime
+
+    df = spark.createDataFrame([(1, "http://a/x\\y", datetime(2024, 1, 1)), (2, "http://a/xy", datetime(2024, 1, 1))], "scan_id INT, url STRING, created_at TIMESTAMP_NTZ")
+    assert [r.scan_id for r in history.top_search_scans(df, "x\\Y").collect()] == [1]
+    assert [r.scan_id for r in history.top_search_scans(df, "x\\").collect()] == [1]
+
+
+def test_replies_are_read_strictly(spark):
+    from baitline.operators import explain
+
+    rows = ['{"summary":"s"} Hope this helps!', "{'summary':'q'}", '{"risk_factors":"one","summary":null}', '```json\n{"summary":"s","severity":"high"}\n```', '{"summary":5}', '[1]']
+    got = {r.i: r for r in explain.explain_ingest(spark.createDataFrame(list(enumerate(rows)), "i INT, reply STRING")).collect()}
+    fallback = "Unable to generate AI explanation"
+    assert [got[i].summary for i in range(6)] == [fallback, fallback, None, "s", "5", fallback]
+    assert got[2].risk_factors == ["one"] and got[3].severity == "high" and got[4].risk_factors == []
 
 
 def test_entry_runs(spark):
