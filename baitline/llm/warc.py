@@ -53,7 +53,8 @@ def revisits(pages: DataFrame, id_col: str = "page_id", text_col: str = "html",
 
 def write_monolithic(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> None:
     """Write all pages as WARC files, each one gzip stream."""
-    again = revisits(pages, id_col, text_col)
+    # stored, so that Spark knows its size and moves the payloads only where it is large
+    again = stored(revisits(pages, id_col, text_col), "warc-revisits")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), text.alias("body"), F.sha2(text, 256).alias("digest"))
     rows = rows.alias("p").join(
