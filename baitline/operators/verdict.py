@@ -102,12 +102,13 @@ def analyze_urls(
     ``urls`` may carry the network columns of ``join_asof_enrich``.  Features
     and rules are computed for every row; a feed match then decides alone.
     The only shuffles are those of the feed match, which sees distinct URLs.
-    A ``model`` reads the clipped 11-value vector from column ``vector``.
+    A ``model`` reads column ``vector``: that of ``urls`` where it has one (see
+    ``text.feat_assemble``), else the clipped 11-value vector.
     A NULL, blank or unparseable URL gets the verdict ``error``.
     """
     rated = R.with_verdict(R.with_rules(feat.feat_core(urls), rules))
     if model is not None:
-        rated = score_model(feat.with_vector(rated), model).drop("vector")
+        rated = score_model(rated if "vector" in urls.columns else feat.with_vector(rated), model).drop("vector")
         rated = score_combine(rated, ml_weight).withColumn("prediction_source", F.lit("ml_and_rules"))
     else:
         rated = rated.withColumn("prediction_source", F.lit("rules"))

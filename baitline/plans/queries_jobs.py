@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Model
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
-from ..operators import features as feat, normalize as norm, stats, text, training, verdict
+from ..operators import normalize as norm, stats, text, training, verdict
 from ..streaming import streams
 from . import oracle_text as O
 from .queries_scans import BREAKER_SQL
@@ -68,6 +67,10 @@ def _(t):
 
 # --- models ------------------------------------------------------------------
 
+#: Sizes of the character and token blocks of the model vector.
+CHARS, TOKENS = 10_000, 2_000
+
+
 def split_samples(t: Tables) -> DataFrame:
     """Distinct samples with ``split``, stored once for the several passes of training."""
     path = scratch_path(t.spark, "samples")
@@ -76,55 +79,70 @@ def split_samples(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
-def assembled(t: Tables, char_size: int, token_size: int) -> DataFrame:
-    """Model vectors of the split samples; vocabularies come from the training rows alone."""
-    samples = split_samples(t)
+def vocabularies(samples: DataFrame, char_size: int, token_size: int) -> tuple[DataFrame, DataFrame, int]:
+    """Numbered vocabularies of the training rows alone, and the number of those rows."""
     train = samples.filter(F.col("split") == "train")
     chars = text.numbered(text.feat_char_ngrams(train, char_size), char_size)
     tokens = text.numbered(text.feat_token_terms(train, token_size), token_size)
+    return chars, tokens, train.count()
+
+
+def _vectors(t: Tables, urls: DataFrame, known: tuple[DataFrame, DataFrame, int], char_size: int, token_size: int) -> DataFrame:
+    """Model vectors of the URLs, stored once for the several passes over them."""
     path = scratch_path(t.spark, "vectors")
-    text.feat_assemble(samples, chars, tokens, char_size, token_size, documents=train.count()).write.parquet(path)
+    chars, tokens, documents = known
+    text.feat_assemble(urls, chars, tokens, char_size, token_size, documents=documents).write.parquet(path)
     return t.spark.read.parquet(path)
 
 
+def assembled(t: Tables, char_size: int, token_size: int) -> DataFrame:
+    """Model vectors of the split samples; vocabularies come from the training rows alone."""
+    samples = split_samples(t)
+    return _vectors(t, samples, vocabularies(samples, char_size, token_size), char_size, token_size)
+
+
 @query("feat_assemble")
 def _(t):
-    return assembled(t, 10_000, 2_000).select("page_id", "url", "label", "split", F.col("vector").cast("string").alias("vector"))
+    return assembled(t, CHARS, TOKENS).select("page_id", "url", "label", "split", F.col("vector").cast("string").alias("vector"))
 
 
 @query("train_models")
 def _(t):
-    _, predictions = training.train_models(assembled(t, 500, 200), trees=20, rounds=10, depth=8, rounds_depth=4)
+    _, predictions = training.train_models(assembled(t, CHARS, TOKENS))
     return stats.agg_model_metrics(predictions)
 
 
-def _lexical_vectors(t: Tables) -> DataFrame:
-    rows = feat.feat_lexical32(split_samples(t).filter(F.col("split") == "train"))
-    return VectorAssembler(inputCols=fixed.VECTOR26, outputCol="vector").transform(rows)
+def best_model(t: Tables) -> tuple[Model, tuple[DataFrame, DataFrame, int]]:
+    """The trained model of the greatest F1 on the test rows, and the vocabularies its vectors need."""
+    samples = split_samples(t)
+    known = vocabularies(samples, CHARS, TOKENS)
+    models, predictions = training.train_models(_vectors(t, samples, known, CHARS, TOKENS))
+    return models[stats.agg_best_model(predictions).first()["model"]], known
+
+
+def _scoring(t: Tables) -> tuple[Model, DataFrame]:
+    """The best model and the vectors of the corpus that it reads."""
+    model, known = best_model(t)
+    return model, _vectors(t, t.url_corpus, known, CHARS, TOKENS)
 
 
 @query("train_importance")
 def _(t):
-    vectors = _lexical_vectors(t)
-    model = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=20, maxDepth=6, seed=42).fit(vectors)
-    return training.train_importance(model, fixed.VECTOR26, vectors)
-
-
-def _vector11_model(t: Tables):
-    # fitted on the training rows alone; the other URLs are new to the model
-    samples = feat.with_vector(feat.feat_core(split_samples(t).filter(F.col("split") == "train")))
-    return LogisticRegression(featuresCol="vector", labelCol="label", maxIter=50, regParam=0.01).fit(samples)
+    model, _ = best_model(t)
+    return training.train_importance(model, fixed.VECTOR26, t.url_corpus)
 
 
 @query("score_model")
 def _(t):
-    scored = verdict.score_model(feat.with_vector(feat.feat_core(t.url_corpus)), _vector11_model(t))
+    model, vectors = _scoring(t)
+    scored = verdict.score_model(vectors, model)
     return scored.select("page_id", "url", "ml_probability", "ml_verdict", "ml_confidence")
 
 
 @query("analyze_urls_with_model")
 def _(t):
-    result = verdict.analyze_urls(t.url_corpus, t.threat_indicators_raw, _vector11_model(t))
+    model, vectors = _scoring(t)
+    result = verdict.analyze_urls(vectors, t.threat_indicators_raw, model)
     return result.select("page_id", "url", "verdict", "confidence", "prediction_source", "ml_probability")
 
 

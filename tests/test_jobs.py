@@ -248,3 +248,43 @@ def test_replies_are_read_strictly(spark):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_registered_models_are_trained_at_full_size(tables, monkeypatch):
+    from baitline.plans import registry
+
+    class Seen(Exception):
+        pass
+
+    def seen(vectors, names=None, seed=42, **sizes):
+        raise Seen(vectors.first().vector.size, names, sizes)
+
+    registry.queries()
+    monkeypatch.setattr(training, "train_models", seen)
+    for key in ("train_models", "train_importance", "score_model", "analyze_urls_with_model"):
+        with pytest.raises(Seen) as caught:
+            registry._PLANS[key](tables)
+        assert caught.value.args == (10_000 + 2_000 + 26, None, {})
+
+
+def test_importances_are_those_of_the_last_block():
+    from types import SimpleNamespace
+
+    from pyspark.ml.linalg import Vectors
+
+    model = SimpleNamespace(featureImportances=Vectors.sparse(6, [0, 4, 5], [0.5, 0.2, 0.3]))
+    assert training.importances(model, ["a", "b", "c"]) == {"a": 0.0, "b": 0.2, "c": 0.3}
+
+
+def test_analysis_scores_the_vector_it_is_given(spark):
+    rows = [(i, f"https://site{i}.com/p", i % 2) for i in range(40)]
+    vectors = feat.with_vector(feat.feat_core(spark.createDataFrame(rows, "page_id INT, url STRING, label INT"))).select(
+        "page_id", "url", F.col("label").cast("double").alias("label"))
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    vectors = VectorAssembler(inputCols=["label"], outputCol="vector").transform(vectors)
+    model = LogisticRegression(featuresCol="vector", labelCol="label", regParam=0.01).fit(vectors)
+    got = verdict.analyze_urls(vectors, None, model).select("page_id", "ml_probability").collect()
+    assert {r.page_id % 2 == 1 for r in got if r.ml_probability > 0.5} == {True}
+    assert sum(r.ml_probability > 0.5 for r in got) == 20
