@@ -96,9 +96,14 @@ def analyze_urls(
     rules: list[R.Rule] | None = None,
     ml_weight: float = 0.6,
     ml_importance: dict[str, float] | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """Analyse each URL: feeds first, then rules and model.
 
+    ``known`` is one row per URL that any source lists, from
+    ``match.check_all_sources``; it takes the place of ``indicators``, which
+    match feeds alone.
+
     ``urls`` may carry the network columns of ``join_asof_enrich``.  Features
     and rules are computed for every row; a feed match then decides alone.
     The only shuffles are those of the feed match, which sees distinct URLs.
@@ -106,6 +111,8 @@ def analyze_urls(
     ``text.feat_assemble``), else the clipped 11-value vector.
     A NULL, blank or unparseable URL gets the verdict ``error``.
     """
+    if indicators is not None and known is not None:
+        raise ValueError("give indicators or known, not both: known holds what the feeds say")
     rated = R.with_verdict(R.with_rules(feat.feat_core(urls), rules))
     if model is not None:
         rated = score_model(rated if "vector" in urls.columns else feat.with_vector(rated), model).drop("vector")
@@ -114,6 +121,8 @@ def analyze_urls(
         rated = rated.withColumn("prediction_source", F.lit("rules"))
     explained = with_importance(rated, ml_importance, ml_weight).drop("rules")
     explained = _with_errors(explained)
+    if known is not None:
+        return with_feed_verdict(explained, known)
     if indicators is None:
         return explained.withColumn("sources", F.lit(None).cast("array<string>")).withColumn(
             "threat_type", F.lit(None).cast("string"))

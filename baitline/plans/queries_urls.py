@@ -414,6 +414,20 @@ def _(t):
     return joined(vendors.vendor_scan_history(t.domain_reports), "scan_ids")
 
 
+def checked_everywhere(t: Tables) -> DataFrame:
+    """What feeds, the three stored-report jobs and posts say of the corpus."""
+    from ..operators import posts, vendors
+
+    domains = t.url_corpus.select(U.page_domain(F.col("url")).alias("domain")).filter("domain <> ''")
+    reports = [
+        match.report_hits(vendors.vendor_multi_engine(t.engine_reports), "virustotal"),
+        match.report_hits(vendors.vendor_blocklist(t.blocklist_reports), "google_safebrowsing"),
+        match.report_hits(vendors.vendor_scan_history(t.domain_reports), "urlscan"),
+        match.mention_hits(t.url_corpus, posts.post_mentions(t.posts, domains, as_of=AS_OF)),
+    ]
+    return match.check_all_sources(t.url_corpus, t.threat_indicators_raw, *reports)
+
+
 _ENGINE_SAYS = """
  reports_say AS (
   SELECT url, 'virustotal' AS source, 3 AS ordinal, CASE WHEN p % 4 > p % 3 THEN 'malware' ELSE 'suspicious' END AS threat_type
@@ -427,13 +441,7 @@ _ENGINE_SAYS = """
 SELECT url, string_agg(source, ',' ORDER BY ordinal) AS sources, arg_min(threat_type, ordinal) AS threat_type, 'phishing' AS verdict,
  CAST(count(*) AS INT) AS n_details FROM said GROUP BY url""")
 def _(t):
-    from ..operators import vendors
-
-    reports = [
-        match.report_hits(vendors.vendor_multi_engine(t.engine_reports), "virustotal"),
-        match.report_hits(vendors.vendor_blocklist(t.blocklist_reports), "google_safebrowsing"),
-    ]
-    out = match.check_all_sources(t.url_corpus, t.threat_indicators_raw, *reports)
+    out = checked_everywhere(t)
     kept = out.select("url", "sources", "threat_type", "verdict", F.size(F.filter("details", lambda d: d["details"].isNotNull())).alias("n_details"))
     return joined(kept, "sources")
 

@@ -288,3 +288,45 @@ def test_analysis_scores_the_vector_it_is_given(spark):
     got = verdict.analyze_urls(vectors, None, model).select("page_id", "ml_probability").collect()
     assert {r.page_id % 2 == 1 for r in got if r.ml_probability > 0.5} == {True}
     assert sum(r.ml_probability > 0.5 for r in got) == 20
+
+
+def test_all_sources_are_asked(spark):
+    from types import SimpleNamespace
+
+    from baitline.plans import registry
+
+    registry.queries()
+    urls = ["https://feed.com/a", "https://scanned.com/a", "https://posted.com/a", "https://clean.com/a"]
+    history = {"total": 1, "results": [{"_id": "r", "task": {"method": "manual", "time": "t"}, "verdicts": {"overall": {"malicious": True}}}]}
+    reports = "url STRING, report STRING"
+    t = SimpleNamespace(
+        url_corpus=spark.createDataFrame(list(enumerate(urls)), "page_id BIGINT, url STRING"),
+        threat_indicators_raw=spark.createDataFrame([(urls[0], "urlhaus", "malware", "")], "url STRING, source STRING, threat_type STRING, target_brand STRING"),
+        engine_reports=spark.createDataFrame([], reports),
+        blocklist_reports=spark.createDataFrame([(urls[3], "{}")], reports),
+        domain_reports=spark.createDataFrame([(urls[1], json.dumps(history))], reports),
+        posts=spark.createDataFrame(
+            [(str(i), "New phishing kit spotted", 80, "phishing", "see https://www.posted.com/x", None, 1704067200, f"/r/{i}/") for i in range(2)],
+            "post_id STRING, title STRING, score INT, subreddit STRING, selftext STRING, url STRING, created_utc BIGINT, permalink STRING"),
+    )
+    got = {r.url: (r.sources, r.threat_type, r.n_details) for r in registry._PLANS["check_all_sources"](t).collect()}
+    assert got == {urls[0]: ("urlhaus", "malware", 1), urls[1]: ("urlscan", None, 1), urls[2]: ("reddit", "reported", 1)}
+
+    from baitline.plans.queries_urls import checked_everywhere
+
+    result = {r.url: (r.verdict, r.confidence) for r in verdict.analyze_urls(t.url_corpus, known=checked_everywhere(t)).collect()}
+    assert [result[u] for u in urls[:3]] == [("phishing", 0.98)] * 3 and result[urls[3]][0] != "phishing"
+
+
+def test_all_sources_by_sql(spark, tables):
+    from baitline.plans import oracle_text as O, queries_urls as Q, registry, views
+    from compare import database, difference
+
+    # every history has a malicious scan; no post names a host of the corpus
+    sql = views.with_views("WITH " + O.feed_hits("url_corpus") + "," + Q._ENGINE_SAYS + """,
+     said AS (SELECT url, source, ordinal, min(threat_type) FILTER (threat_type <> '') AS threat_type FROM hit GROUP BY ALL
+      UNION ALL SELECT * FROM reports_say UNION ALL SELECT url, 'urlscan', 5, NULL FROM corpus_urls)
+    SELECT url, string_agg(source, ',' ORDER BY ordinal) AS sources, arg_min(threat_type, ordinal) AS threat_type, 'phishing' AS verdict,
+     CAST(count(*) AS INT) AS n_details FROM said GROUP BY url""")
+    registry.queries()
+    assert difference(registry._PLANS["check_all_sources"](tables), database("/root/testdata/sf0.001"), sql) is None
