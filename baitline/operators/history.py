@@ -22,15 +22,17 @@ def _equal(df: DataFrame, **wanted: str | None) -> DataFrame:
     return df
 
 
-def _newest(df: DataFrame, time: str, key: str, limit: int, offset: int = 0) -> DataFrame:
-    if limit < 1 or offset < 0:
+def _newest(df: DataFrame, time: str, key: str, limit: int | None, offset: int = 0) -> DataFrame:
+    """Newest rows first; all of them without a limit."""
+    if (limit is not None and limit < 1) or offset < 0:
         raise ValueError("limit must be 1 or more, offset 0 or more")
     ordered = df.orderBy(F.desc(time), F.desc(key))
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
+    rest = ordered.offset(offset) if offset else ordered
+    return rest if limit is None else rest.limit(limit)
 
 
 def top_recent_scans(
-    scans: DataFrame, limit: int = 20, offset: int = 0, verdict: str | None = None, severity: str | None = None
+    scans: DataFrame, limit: int | None = None, offset: int = 0, verdict: str | None = None, severity: str | None = None
 ) -> DataFrame:
     return _newest(_equal(scans, verdict=verdict, severity=severity), "created_at", "scan_id", limit, offset)
 
@@ -41,7 +43,7 @@ def _like(column: str, text: str) -> Column:
     return F.lower(column).like(f"%{escaped}%")
 
 
-def top_search_scans(scans: DataFrame, text: str, limit: int = 20) -> DataFrame:
+def top_search_scans(scans: DataFrame, text: str, limit: int | None = None) -> DataFrame:
     return _newest(scans.filter(_like("url", text)), "created_at", "scan_id", limit)
 
 
@@ -52,7 +54,7 @@ def top_scans_filtered(
     verdict: str | None = None,
     severity: str | None = None,
     text: str | None = None,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     rows = _equal(scans, verdict=verdict, severity=severity)
     if start is not None:
@@ -69,7 +71,7 @@ def top_indicators(
     source: str | None = None,
     threat_type: str | None = None,
     since: str | None = None,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     rows = _equal(indicators, source=source, threat_type=threat_type)
     if since is not None:
@@ -77,12 +79,12 @@ def top_indicators(
     return _newest(rows, "last_seen", "id", limit)
 
 
-def top_recent_phish(entries: DataFrame, limit: int = 100, include_offline: bool = False) -> DataFrame:
+def top_recent_phish(entries: DataFrame, limit: int | None = None, include_offline: bool = False) -> DataFrame:
     rows = entries if include_offline else entries.filter(F.col("online") == "yes")
     return _newest(rows, "submission_time", "phish_id", limit)
 
 
-def top_phish_by_target(entries: DataFrame, target: str, limit: int = 50, verified_only: bool = True) -> DataFrame:
+def top_phish_by_target(entries: DataFrame, target: str, limit: int | None = None, verified_only: bool = True) -> DataFrame:
     wanted = (target or "").strip().lower()
     if not wanted:
         raise ValueError("Target parameter is required")
@@ -92,7 +94,7 @@ def top_phish_by_target(entries: DataFrame, target: str, limit: int = 50, verifi
     return _newest(rows, "submission_time", "phish_id", limit)
 
 
-def top_phish_by_date(entries: DataFrame, start: str, end: str, limit: int = 100) -> DataFrame:
+def top_phish_by_date(entries: DataFrame, start: str, end: str, limit: int | None = None) -> DataFrame:
     try:
         first, last = date.fromisoformat(start), date.fromisoformat(end)
     except (TypeError, ValueError) as error:

@@ -95,7 +95,7 @@ def agg_trend_pivot(scans: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     )
 
 
-def agg_top_brands(scans: DataFrame, as_of: str, days: int | None = None, limit: int = 10) -> DataFrame:
+def agg_top_brands(scans: DataFrame, as_of: str, days: int | None = None, limit: int | None = None) -> DataFrame:
     """Brands most often imitated by phishing scans."""
     per = (
         recent(scans, as_of, days).filter((F.col("verdict") == "phishing") & F.col("target_brand").isNotNull())
@@ -103,7 +103,7 @@ def agg_top_brands(scans: DataFrame, as_of: str, days: int | None = None, limit:
     )
     # one row; its sum is formed within tasks first
     total = per.agg(F.sum("count").alias("_total"))
-    top = per.orderBy(F.desc("count"), "target_brand").limit(limit)
+    top = per if limit is None else per.orderBy(F.desc("count"), "target_brand").limit(limit)
     shares = top.join(F.broadcast(total)).withColumn("percentage", _percent(F.col("count"), F.col("_total")))
     return shares.drop("_total").orderBy(F.desc("count"), "target_brand")
 
@@ -125,13 +125,14 @@ def agg_phish_stats(entries: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     )
 
 
-def agg_top_targets(entries: DataFrame, as_of: str, days: int = 7, k: int = 10) -> DataFrame:
-    _at_least_one(days=days, k=k)
+def agg_top_targets(entries: DataFrame, as_of: str, days: int = 7, k: int | None = None) -> DataFrame:
+    _at_least_one(days=days, **({} if k is None else {"k": k}))
     per = (
         recent(entries, as_of, days, "submission_time").filter(F.col("target") != "")
         .groupBy("target").agg(F.count("*").alias("count"))
     )
-    return per.orderBy(F.desc("count"), "target").limit(k)
+    ordered = per.orderBy(F.desc("count"), "target")
+    return ordered if k is None else ordered.limit(k)
 
 
 def agg_duplicate_urls(indicators: DataFrame) -> DataFrame:

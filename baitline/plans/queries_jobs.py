@@ -129,7 +129,7 @@ def _scoring(t: Tables) -> tuple[Model, DataFrame]:
 @query("train_importance")
 def _(t):
     model, _ = best_model(t)
-    return training.train_importance(model, fixed.VECTOR26, t.url_corpus)
+    return training.train_importance(model, fixed.VECTOR26, t.url_corpus, k=10)
 
 
 @query("score_model")

@@ -99,7 +99,7 @@ SELECT target_brand, count(*) AS count, round(count(*) / sum(count(*)) OVER () *
 FROM scan_history WHERE verdict = 'phishing' AND target_brand IS NOT NULL
 GROUP BY target_brand ORDER BY count DESC, target_brand LIMIT 10""")
 def _(t):
-    return stats.agg_top_brands(_scans(t), AS_OF)
+    return stats.agg_top_brands(_scans(t), AS_OF, limit=10)
 
 
 @query("agg_phish_stats", f"""
@@ -115,7 +115,7 @@ def _(t):
 SELECT target, count(*) AS count FROM phish_entries
 WHERE submission_time >= {_AT} - INTERVAL 7 DAY AND target <> '' GROUP BY target ORDER BY count DESC, target LIMIT 10""")
 def _(t):
-    return stats.agg_top_targets(t.phish_entries, AS_OF)
+    return stats.agg_top_targets(t.phish_entries, AS_OF, k=10)
 
 
 @query("agg_duplicate_urls", """
@@ -262,7 +262,7 @@ def _(t):
 @query("top_search_scans", f"""
 SELECT {_SCAN} FROM scan_history WHERE lower(url) LIKE '%paypa1_secure%' ORDER BY created_at DESC, scan_id DESC LIMIT 20""")
 def _(t):
-    return history.top_search_scans(_scans(t), "PayPa1_secure")
+    return history.top_search_scans(_scans(t), "PayPa1_secure", limit=20)
 
 
 @query("top_scans_filtered", f"""
@@ -271,34 +271,34 @@ SELECT {_SCAN} FROM scan_history WHERE created_at >= TIMESTAMP '2024-01-05 00:00
 ORDER BY created_at DESC, scan_id DESC LIMIT 100""")
 def _(t):
     return history.top_scans_filtered(
-        _scans(t), "2024-01-05 00:00:00", "2024-01-25 00:00:00", verdict="suspicious", text="example")
+        _scans(t), "2024-01-05 00:00:00", "2024-01-25 00:00:00", verdict="suspicious", text="example", limit=100)
 
 
 @query("top_indicators", f"""
 SELECT {_INDICATOR} FROM threat_indicators_raw WHERE source = 'urlhaus' AND threat_type = 'malware'
  AND last_seen >= TIMESTAMP '2024-01-10 00:00:00' ORDER BY last_seen DESC, id DESC LIMIT 100""")
 def _(t):
-    return history.top_indicators(_indicators(t), "urlhaus", "malware", "2024-01-10 00:00:00")
+    return history.top_indicators(_indicators(t), "urlhaus", "malware", "2024-01-10 00:00:00", limit=100)
 
 
 @query("top_recent_phish", f"""
 SELECT {_PHISH} FROM phish_entries WHERE online = 'yes' ORDER BY submission_time DESC, phish_id DESC LIMIT 100""")
 def _(t):
-    return history.top_recent_phish(t.phish_entries)
+    return history.top_recent_phish(t.phish_entries, limit=100)
 
 
 @query("top_phish_by_target", f"""
 SELECT {_PHISH} FROM phish_entries WHERE contains(lower(target), 'paypal') AND verified = 'yes'
 ORDER BY submission_time DESC, phish_id DESC LIMIT 50""")
 def _(t):
-    return history.top_phish_by_target(t.phish_entries, " PayPal ")
+    return history.top_phish_by_target(t.phish_entries, " PayPal ", limit=50)
 
 
 @query("top_phish_by_date", f"""
 SELECT {_PHISH} FROM phish_entries WHERE CAST(submission_time AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-20'
 ORDER BY submission_time DESC, phish_id DESC LIMIT 100""")
 def _(t):
-    return history.top_phish_by_date(t.phish_entries, "2024-01-03", "2024-01-20")
+    return history.top_phish_by_date(t.phish_entries, "2024-01-03", "2024-01-20", limit=100)
 
 
 @query("join_range_dates", f"""

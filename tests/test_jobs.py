@@ -330,3 +330,22 @@ def test_all_sources_by_sql(spark, tables):
      CAST(count(*) AS INT) AS n_details FROM said GROUP BY url""")
     registry.queries()
     assert difference(registry._PLANS["check_all_sources"](tables), database("/root/testdata/sf0.001"), sql) is None
+
+
+def test_no_limit_is_no_limit(spark):
+    from types import SimpleNamespace
+
+    from baitline.operators import stats
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.range(150).selectExpr(
+        "id AS phish_id", "id AS scan_id", "'u' AS url", "'yes' AS online", "'yes' AS verified", "concat('t', id) AS target",
+        "concat('t', id) AS target_brand", "'phishing' AS verdict", "timestamp_ntz'2024-01-02' AS submission_time", "timestamp_ntz'2024-01-02' AS created_at")
+    for rows in (
+        history.top_recent_scans(df), history.top_search_scans(df, "u"), history.top_scans_filtered(df), history.top_recent_phish(df),
+        history.top_phish_by_target(df, "t"), history.top_phish_by_date(df, "2024-01-01", "2024-01-03"),
+        stats.agg_top_brands(df, "2024-01-03 00:00:00"), stats.agg_top_targets(df, "2024-01-03 00:00:00"),
+    ):
+        assert rows.count() == 150
+    model = SimpleNamespace(featureImportances=Vectors.dense([0.1] * 12))
+    assert training.train_importance(model, [f"f{i}" for i in range(12)], df).count() == 12
