@@ -261,6 +261,18 @@ def _(t):
     return norm.norm_live_feed(t.threat_indicators_raw.select("id", "url", "source"), limit=200)
 
 
+@query("norm_fetch_all_unlimited", _NORM_ALL)
+def _(t):
+    return norm.norm_fetch_all(flat(normalized(t)))
+
+
+@query("norm_live_feed_unlimited", """
+SELECT id, url, source, count(*) OVER (PARTITION BY source) AS source_total, count(*) OVER () AS overall_total
+FROM threat_indicators_raw""")
+def _(t):
+    return norm.norm_live_feed(t.threat_indicators_raw.select("id", "url", "source"))
+
+
 @query("norm_tag_explode", """
 SELECT tag, count(*) AS indicators, count(DISTINCT url) AS urls
 FROM (SELECT url, unnest(string_split(tags_text, ',')) AS tag FROM threat_indicators_raw) GROUP BY tag""")

@@ -349,3 +349,13 @@ def test_no_limit_is_no_limit(spark):
         assert rows.count() == 150
     model = SimpleNamespace(featureImportances=Vectors.dense([0.1] * 12))
     assert training.train_importance(model, [f"f{i}" for i in range(12)], df).count() == 12
+
+
+def test_unlimited_feed_queries_return_all(spark, tables):
+    from baitline.plans import registry
+
+    plans = entry.queries()
+    folder = "/root/testdata/sf0.001"
+    assert plans["norm_fetch_all_unlimited"](spark, folder).count() == plans["norm_all"](spark, folder).count()
+    assert plans["norm_live_feed_unlimited"](spark, folder).count() == tables.threat_indicators_raw.count()
+    assert {"norm_fetch_all_unlimited", "norm_live_feed_unlimited"} <= set(registry.oracle_sql())
