@@ -147,7 +147,9 @@ def _margins(coder: Coder, column: pa.Array) -> np.ndarray:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Coder | None:
     """Fit on a bounded sample of the rows with a language outside the held-out fold."""
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~fold(id_col, 4, 2))
-    picked = bounded_sample(usable.select(id_col, text_col, lang_col), id_col, lang_col, sample).collect()
+    drawn = bounded_sample(usable.select(id_col, text_col, lang_col), id_col, lang_col, sample)
+    # rows that repeat an id count as one for each language, with the least text
+    picked = drawn.groupBy(id_col, lang_col).agg(F.min(text_col).alias(text_col)).select(id_col, text_col, lang_col).collect()
     rows = sorted((r[0], r[1].encode(), r[2]) for r in picked)
     return fit([r[1] for r in rows], [r[2] for r in rows]) if rows else None
 

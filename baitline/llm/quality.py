@@ -176,7 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     once = known.groupBy(id_col).agg(F.min(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("_label"))
     picked = bounded_sample(once, id_col, "_label", sample)
     # the sample has about 2 * sample rows, whatever the tables' sizes
-    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(id_col, text_col, "_label").collect()
+    drawn = docs.select(id_col, text_col).join(F.broadcast(picked), id_col)
+    # rows that repeat an id count as one, with the least text
+    rows = drawn.groupBy(id_col, "_label").agg(F.min(text_col).alias(text_col)).select(id_col, text_col, "_label").collect()
     rows.sort(key=lambda r: (r[0], r[1] or ""))
     if len({r[2] for r in rows}) < 2:
         return None

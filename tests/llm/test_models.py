@@ -110,3 +110,19 @@ def test_odd_rows(spark, module):
     assert module.score(df.where("false"), model).collect() == []
     assert module.train(df, labels.where("false")) is None
     assert {r.score for r in module.score(df, None).collect()} == {0.5}
+
+
+def test_rows_of_a_hot_id_are_fitted_once(spark, monkeypatch):
+    from baitline.llm import language as L
+
+    # an id that none of the three holds out
+    free = spark.range(300, 400).where(~Q.fold("id", 5, 0) & ~Q.fold("id", 4, 2)).first()[0]
+    docs = spark.range(300).selectExpr(f"IF(id < 100, {free}, id) AS doc_id", "concat('text ', id) AS text", "IF(id % 2 = 0, 'en', 'de') AS lang")
+    labels = spark.range(100, 400).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "CAST(id % 2 AS INT) AS toxic")
+    seen = []
+    for module in (Q, T, L):
+        monkeypatch.setattr(module, "fit", lambda texts, marks: seen.append(list(texts)))
+    Q.train(docs, labels), T.train(docs, labels), L.train(docs)
+    hot = {f"text {i}" for i in range(100)} | {f"text {i}".encode() for i in range(100)}
+    assert [sum(x in hot for x in texts) for texts in seen] == [1, 1, 2]  # op3: one for each language
+    assert all(len(texts) > 50 for texts in seen)
