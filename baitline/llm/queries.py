@@ -6,6 +6,7 @@ from .bpe import op10_bpe
 from .decontaminate import OP1_SQL, op1_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language import op3_language_id
+from .periodic import OP12_SQL, op12_periodic_runs
 from .preferences import OP4_SQL, op4_preferences
 from .quality import op8_quality
 from .simhash import op6_simhash
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES = {
@@ -32,4 +34,5 @@ ORACLES = {
     "op4_preferences": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op7_warc": OP7_SQL,
+    "op12_periodic_runs": OP12_SQL,
 }
