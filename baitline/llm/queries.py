@@ -6,6 +6,7 @@ from .bpe import op10_bpe
 from .decontaminate import OP1_SQL, op1_decontamination
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language import op3_language_id
+from .packing import op13_packing
 from .periodic import OP12_SQL, op12_periodic_runs
 from .preferences import OP4_SQL, op4_preferences
 from .quality import op8_quality
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_packing": op13_packing,
 }
 
 ORACLES = {
