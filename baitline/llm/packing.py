@@ -217,7 +217,8 @@ def pack(
             yield pa.RecordBatch.from_arrays(kept[:5] + places_of + kept[5:], names=names)
 
     names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * tokens
-    ranked = pieces.join(bases, ["task", "length"]).select(
+    # The bases grow with the number of tasks, so they are not to be broadcast.
+    ranked = pieces.join(bases.hint("merge"), ["task", "length"]).select(
         "id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("base")).alias("rank"), *["ids"] * tokens
     )
     kind = docs.schema[id_col].dataType.simpleString()

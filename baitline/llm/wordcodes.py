@@ -11,12 +11,19 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: The pre-token pattern of byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same for texts of Latin letters (to U+024F), in classes that the faster standard engine knows.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+LATIN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+NOT_LATIN = r"[^\x00-\u024f]"
 #: Characters outside these blocks, assigned for long, are left to the library.
 ODD = r"[^\x00-՗֐-ࢀऀ-௿‐- ₠-⯿　-ꀀ가-힣＀-￯]"
 #: Pre-tokens a task remembers before it starts anew, and the longest of them.
@@ -30,6 +37,10 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(others)) for b in range(256)]
 
 
+def _little(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" and array("I").itemsize == 4 else np.array(ids, "<u4").tobytes()
+
+
 class Coder:
     """Ids of texts, as little-endian unsigned 32-bit integers."""
 
@@ -47,15 +58,20 @@ class Coder:
             form.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
             and not cut.get("add_prefix_space") and not form["model"].get("ignore_merges")
         )
-        added = form.get("added_tokens", ()) if special else [t for t in form.get("added_tokens", ()) if not t["special"]]
-        self.whole = regex.compile("|".join([ODD, *(regex.escape(t["content"], special_only=True) for t in added)]))
-        self.split = regex.compile(PATTERN).findall
+        self.added = [t["content"] for t in form.get("added_tokens", ()) if special or not t["special"]]
+        self.merge = self.library.model.tokenize
+        self.odd, self.not_latin = regex.compile(ODD).search, re.compile(NOT_LATIN).search
+        self.split, self.split_latin = regex.compile(PATTERN).findall, re.compile(LATIN).findall
         self.letters = {b: letter for b, letter in enumerate(byte_letters())}
         self.known: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(self.letters)
-        ids = np.array([token.id for token in self.library.model.tokenize(shown)], "<u4").tobytes()
+        body = word.removeprefix(" ")
+        if body.isascii() and body.isprintable() and " " not in body:  # these bytes stand for themselves
+            shown = word.replace(" ", self.letters[32])
+        else:
+            shown = word.encode().decode("latin-1").translate(self.letters)
+        ids = _little([token.id for token in self.merge(shown)])
         if len(word) <= LONGEST:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -63,10 +79,12 @@ class Coder:
         return ids
 
     def ids(self, text: str) -> bytes:
-        if not self.plain or self.whole.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        latin = text.isascii() or not self.not_latin(text)
+        if not self.plain or any(t in text for t in self.added) or not latin and self.odd(text):
+            return _little(self.library.encode(text, add_special_tokens=False).ids)
         known, encode = self.known.get, self._word
-        return b"".join([known(w) or encode(w) for w in self.split(text)])
+        words = self.split_latin(text) if latin else self.split(text)
+        return b"".join([known(w) or encode(w) for w in words])
 
 
 @lru_cache(maxsize=2)
