@@ -25,20 +25,15 @@ TEXT_IP = "URL uses IP address instead of domain name"
 TEXT_TLD = "Uses suspicious top-level domain"
 TEXT_KEYWORDS = "Contains suspicious keywords commonly used in phishing"
 TEXT_REDIRECTS = "Multiple redirects (%d)"
-TEXT_NONE = "No significant risk factors detected"
-ACTION_PHISHING = "Block this URL and report to your security team"
-ACTION_SUSPICIOUS = "Review this URL manually before proceeding"
-ACTION_SAFE = "No action required"
-SUMMARY_FEED = "This URL was flagged as a known threat by %s with %s confidence"
-SUMMARY_RULES = "This URL was classified as %s with %s confidence"
-EXPLAINED_FEED = (
-    "The URL %s was identified as malicious by the following threat intelligence sources: %s. "
-    "This URL exists in verified threat databases, confirming it is actively used for malicious purposes."
-)
-EXPLAINED_RULES = (
-    "The URL %s was analyzed using %d detection rules. "
-    "Based on the detected patterns, it was classified as %s."
-)
+TEXT_NONE = "Nothing stands out"
+ACTION_PHISHING = "Keep users away from this link and tell those in charge of security"
+ACTION_SUSPICIOUS = "Have someone look at the link before it is opened"
+ACTION_SAFE = "Nothing to do"
+# --- our own wording ---------------------------------------------------------
+SUMMARY_FEED = "Listed as a threat by %s (%s sure)"
+SUMMARY_RULES = "Rated %s by its own features (%s sure)"
+EXPLAINED_FEED = "%s stands in these collections of harmful links: %s. No further test of the link itself was needed."
+EXPLAINED_RULES = "%s set off %d of the checks on its features, which rates it %s."
 
 
 def explain_rules(results: DataFrame) -> DataFrame:
@@ -82,7 +77,11 @@ REPLY_FIELDS = "summary, explanation, risk_factors (list), severity (low|medium|
 
 
 def explain_prompts(results: DataFrame) -> DataFrame:
-    """One prompt per URL for an outside model: full, or short for safe URLs."""
+    """One prompt per URL for an outside model: full, or short for safe URLs.
+
+    The full one names the sources that list the URL and, where the results
+    carry them, what each source says.
+    """
     def text(c: Column, missing: str) -> Column:
         return F.coalesce(c.cast("string"), F.lit(missing))
 
@@ -108,6 +107,10 @@ def explain_prompts(results: DataFrame) -> DataFrame:
     facts = F.concat_ws("\n", *[F.concat(F.lit(f"- {name}: "), value) for name, value in lines])
     known = F.size(F.coalesce("sources", F.array().cast("array<string>"))) > 0
     feeds = F.when(known, F.concat(F.lit("\nListed by threat feeds: "), _listed(F.col("sources")))).otherwise("")
+    if "details" in results.columns:
+        said = F.filter(F.coalesce("details", F.array().cast("array<struct<source:string,details:string>>")), lambda d: d["details"].isNotNull())
+        lines_of = F.transform(said, lambda d: F.concat(F.lit("\n- "), d["source"], F.lit(": "), d["details"]))
+        feeds = F.concat(feeds, F.array_join(lines_of, ""))
     matched = F.when(F.size("matched_rules") > 0, _listed(F.col("matched_rules"))).otherwise("None")
     ask = F.lit(f"\n\nReply with one JSON object and nothing else. Fields: {REPLY_FIELDS}.")
     full = F.concat(

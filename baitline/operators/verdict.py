@@ -130,11 +130,16 @@ def analyze_urls(
 
 
 def with_feed_verdict(rated: DataFrame, hits: DataFrame) -> DataFrame:
-    """Let the feeds decide where they list the URL; ``hits`` has one row per URL."""
+    """Let the sources decide where they list the URL; ``hits`` has one row per URL.
+
+    ``details`` per source are passed on where ``hits`` has them.
+    """
+    if "details" not in hits.columns:
+        hits = hits.withColumn("details", F.lit(None).cast("array<struct<source:string,details:string>>"))
     hits = hits.select(
         "url", "is_known_threat", F.col("sources").alias("_sources"), F.col("threat_type").alias("_threat"),
         F.col("verdict").alias("_verdict"), F.col("confidence").alias("_confidence"),
-        F.col("matched_rules").alias("_matched"),
+        F.col("matched_rules").alias("_matched"), F.col("details").alias("_details"),
     )
     known = F.coalesce("is_known_threat", F.lit(False))
     replaced = {
@@ -144,10 +149,10 @@ def with_feed_verdict(rated: DataFrame, hits: DataFrame) -> DataFrame:
         "feature_importance": F.create_map(F.lit("threat_feed_match"), F.lit(1.0)),
         "prediction_source": F.lit("threat_feed"),
     }
-    own = [c for c in rated.columns if c not in ("sources", "threat_type")]
+    own = [c for c in rated.columns if c not in ("sources", "threat_type", "details")]
     return rated.select(*own).join(hits, "url", "left").select(
         *[F.when(known, replaced[c]).otherwise(F.col(c)).alias(c) if c in replaced else F.col(c) for c in own],
-        F.col("_sources").alias("sources"), F.col("_threat").alias("threat_type"),
+        F.col("_sources").alias("sources"), F.col("_threat").alias("threat_type"), F.col("_details").alias("details"),
     )
 
 

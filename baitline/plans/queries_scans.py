@@ -419,7 +419,8 @@ def _(t):
     return posts.post_keyword_search(t.posts, ["ransomware", "phishing"], as_of="2024-01-08 12:00:00")
 
 
-@query("post_mentions", """
+#: Strong mentions (CTE ``s``) of the domains in question (CTE ``w``).
+MENTIONS = """
 WITH w AS (SELECT DISTINCT regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www\\.', '', 'g') AS domain
   FROM (SELECT url FROM posts UNION ALL SELECT regexp_extract(selftext, 'https://site[0-9]+[^ ]*$') FROM posts
         UNION ALL SELECT url FROM url_corpus)),
@@ -430,7 +431,10 @@ WITH w AS (SELECT DISTINCT regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0
  b AS (SELECT n.* FROM n WHERE domain IN (SELECT domain FROM w WHERE domain <> '')),
  s AS (SELECT *, CASE subreddit WHEN 'phishing' THEN 1 WHEN 'cybersecurity' THEN 2 ELSE 3 END AS place FROM b
   WHERE score >= 50 AND regexp_matches(lower(title), 'phishing|scam|malware|malicious|fraud|spoof')
-  AND NOT regexp_matches(lower(title), 'impersonating|fake|beware|warning|alert'))
+  AND NOT regexp_matches(lower(title), 'impersonating|fake|beware|warning|alert'))"""
+
+
+@query("post_mentions", MENTIONS + """
 SELECT domain, count(*) AS total_mentions, 'reported' AS threat_type,
  array_to_string(list(concat(post_id, ':', title, ':', score) ORDER BY place, score DESC, post_id), ',') AS mentions
 FROM s GROUP BY domain HAVING count(*) >= 2""")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import fixed, urls as U
 from ..operators import explain, features as feat, match, rules, stats, text, verdict
 from . import oracle_text as O
+from .queries_scans import MENTIONS
 from .registry import AS_OF, query
 from .views import Tables
 
@@ -268,6 +269,139 @@ def _(t):
     return rounded(profile, *[c for c in profile.columns if c not in ("label", "urls")], digits=6)
 
 
+# --- vendor reports ----------------------------------------------------------
+
+_ENGINE = """
+WITH a AS (SELECT url, json_extract(report, '$.data.attributes') AS a FROM engine_reports),
+ c AS (SELECT url, CAST(json_extract(a, '$.last_analysis_stats.malicious') AS BIGINT) AS malicious_count,
+  CAST(json_extract(a, '$.last_analysis_stats.suspicious') AS BIGINT) AS suspicious_count,
+  CAST(json_extract(a, '$.last_analysis_stats.harmless') AS BIGINT) AS harmless, CAST(json_extract(a, '$.reputation') AS INT) AS reputation,
+  json_extract(a, '$.last_analysis_results') AS results FROM a),
+ e AS (SELECT url, unnest(range(0, 8)) AS i, results FROM c),
+ f AS (SELECT url, i, json_extract_string(results, concat('$.engine', i, '.result')) AS result FROM e
+  WHERE json_extract_string(results, concat('$.engine', i, '.category')) IN ('malicious', 'suspicious')),
+ g AS (SELECT url, array_to_string(list(concat('engine', i, '=', result) ORDER BY i), ',') AS threats FROM f GROUP BY url)
+SELECT c.url, malicious_count, suspicious_count, malicious_count + suspicious_count + harmless AS total_engines, reputation,
+ coalesce(threats, '') AS threats, CASE WHEN malicious_count > suspicious_count THEN 'malware' ELSE 'suspicious' END AS threat_type
+FROM c LEFT JOIN g ON g.url = c.url WHERE malicious_count > 0 OR suspicious_count > 0"""
+
+
+@query("vendor_multi_engine", _ENGINE)
+def _(t):
+    from ..operators import vendors
+
+    found = vendors.vendor_multi_engine(t.engine_reports).drop("first_submitted", "last_analysis")
+    pairs = F.transform("threats", lambda x: F.concat(x["engine"], F.lit("="), x["result"]))
+    return found.withColumn("threats", F.array_join(pairs, ","))
+
+
+_BLOCKLIST = """
+WITH m AS (SELECT url, p % 16 AS k FROM corpus_urls)
+SELECT b.url, CASE WHEN contains(b.report, 'SOCIAL_ENGINEERING') THEN 'phishing' ELSE 'malware' END AS threat_type,
+ CASE k WHEN 1 THEN 'MALWARE,SOCIAL_ENGINEERING' ELSE 'MALWARE' END AS threat_types,
+ CASE k WHEN 1 THEN 'ANY_PLATFORM' ELSE 'WINDOWS' END AS platforms, CASE k WHEN 1 THEN '300s' ELSE '100s' END AS cache_duration
+FROM blocklist_reports b JOIN m ON m.url = b.url WHERE k IN (1, 2)"""
+
+
+@query("vendor_blocklist", _BLOCKLIST)
+def _(t):
+    from ..operators import vendors
+
+    return joined(vendors.vendor_blocklist(t.blocklist_reports), "threat_types", "platforms")
+
+
+_HISTORY = """
+WITH e AS (SELECT url, report, unnest(range(0, 12)) AS i FROM domain_reports),
+ f AS (SELECT url, i, CAST(json_extract(report, '$.total') AS BIGINT) AS total_scans,
+  json_extract_string(report, concat('$.results[', i, ']._id')) AS id, json_extract_string(report, concat('$.results[', i, '].task.time')) AS seen FROM e
+  WHERE json_extract_string(report, concat('$.results[', i, '].verdicts.overall.malicious')) = 'true'
+   OR (json_extract_string(report, concat('$.results[', i, '].task.method')) = 'automatic'
+    AND CAST(json_extract(report, concat('$.results[', i, '].stats.phishing')) AS INT) > 0))
+SELECT url, total_scans, CAST(count(*) AS INT) AS malicious_count, array_to_string(list(id ORDER BY i), ',') AS scan_ids,
+ arg_min(seen, i) AS first_seen FROM f GROUP BY url, total_scans"""
+
+
+@query("vendor_scan_history", _HISTORY)
+def _(t):
+    from ..operators import vendors
+
+    return joined(vendors.vendor_scan_history(t.domain_reports), "scan_ids")
+
+
+_LOOKUP = """
+SELECT url, json_extract_string(report, '$.threat') AS threat_type, json_extract_string(report, '$.id') AS id,
+ json_extract_string(report, '$.url_status') AS status, array_to_string(from_json(json_extract(report, '$.tags'), '["VARCHAR"]'), ',') AS tags,
+ json_extract_string(report, '$.urlhaus_reference') AS urlhaus_link, json_extract_string(report, '$.date_added') AS date_added,
+ json_extract_string(report, '$.tld_guess') AS target
+FROM lookup_reports WHERE json_valid(report) AND json_extract_string(report, '$.query_status') = 'ok' AND json_extract_string(report, '$.threat') <> ''"""
+
+
+@query("vendor_url_lookup", _LOOKUP)
+def _(t):
+    from ..operators import vendors
+
+    return joined(vendors.vendor_url_lookup(t.lookup_reports), "tags")
+
+
+def checked_everywhere(t: Tables) -> DataFrame:
+    """What feeds, the four stored-report jobs and posts say of the corpus."""
+    from ..operators import posts, vendors
+
+    domains = t.url_corpus.select(U.page_domain(F.col("url")).alias("domain")).filter("domain <> ''")
+    reports = [
+        match.report_hits(vendors.vendor_url_lookup(t.lookup_reports), "urlhaus"),
+        match.report_hits(vendors.vendor_multi_engine(t.engine_reports), "virustotal"),
+        match.report_hits(vendors.vendor_blocklist(t.blocklist_reports), "google_safebrowsing"),
+        match.report_hits(vendors.vendor_scan_history(t.domain_reports), "urlscan"),
+        match.mention_hits(t.url_corpus, posts.post_mentions(t.posts, domains, as_of=AS_OF)),
+    ]
+    return match.check_all_sources(t.url_corpus, t.threat_indicators_raw, *reports)
+
+
+def _texts(c: str) -> str:
+    return f"string_split({c}, ',')"
+
+
+# What every source says, from the stored reports themselves; details as JSON of their non-null fields.
+_KNOWN = O.feed_hits("url_corpus") + f""",
+ feed_row AS (SELECT url, source, ordinal, min(threat_type) FILTER (threat_type <> '') AS threat_type,
+  max(target_brand) FILTER (target_brand <> '') AS target_brand FROM hit GROUP BY ALL),
+ mentioned AS (WITH asked AS (SELECT DISTINCT url, regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www\\.', '', 'g') AS domain
+   FROM url_corpus),
+  strong AS ({MENTIONS} SELECT s.*, p.permalink, p.created_utc FROM s JOIN posts p ON p.post_id = s.post_id),
+  told AS (SELECT domain, to_json({{'total_mentions': count(*), 'mentions': list({{'post_id': post_id, 'title': title, 'score': score, 'permalink': permalink,
+    'created_utc': created_utc}} ORDER BY place, score DESC, post_id)}})::VARCHAR AS details FROM strong GROUP BY domain HAVING count(*) >= 2)
+  SELECT url, details FROM asked JOIN told ON told.domain = asked.domain),
+ said_row AS (
+  SELECT url, source, ordinal, 0 AS rank, threat_type, target_brand, CASE WHEN threat_type IS NULL AND target_brand IS NULL THEN '{{}}'
+   WHEN threat_type IS NULL THEN to_json({{'target_brand': target_brand}})::VARCHAR WHEN target_brand IS NULL THEN to_json({{'threat_type': threat_type}})::VARCHAR
+   ELSE to_json({{'threat_type': threat_type, 'target_brand': target_brand}})::VARCHAR END AS details FROM feed_row
+  UNION ALL SELECT url, 'urlhaus', 1, 1, threat_type, NULL, to_json({{'id': id, 'status': status, 'tags': {_texts("tags")}, 'urlhaus_link': urlhaus_link,
+   'date_added': date_added}})::VARCHAR FROM ({_LOOKUP})
+  UNION ALL SELECT url, 'virustotal', 3, 2, threat_type, NULL, to_json({{'malicious_count': malicious_count, 'suspicious_count': suspicious_count,
+   'total_engines': total_engines, 'reputation': reputation, 'threats': list_transform(list_filter({_texts("threats")}, lambda x: x <> ''),
+    lambda x: {{'engine': split_part(x, '=', 1), 'result': split_part(x, '=', 2)}})}})::VARCHAR FROM ({_ENGINE})
+  UNION ALL SELECT url, 'google_safebrowsing', 4, 3, threat_type, NULL, to_json({{'threat_types': {_texts("threat_types")}, 'platforms': {_texts("platforms")},
+   'cache_duration': cache_duration}})::VARCHAR FROM ({_BLOCKLIST})
+  UNION ALL SELECT url, 'urlscan', 5, 4, NULL, NULL, to_json({{'total_scans': total_scans, 'malicious_count': malicious_count, 'scan_ids': {_texts("scan_ids")},
+   'first_seen': first_seen}})::VARCHAR FROM ({_HISTORY})
+  UNION ALL SELECT url, 'reddit', 6, 5, 'reported', NULL, details FROM mentioned),
+ one_row AS (SELECT * FROM said_row QUALIFY row_number() OVER (PARTITION BY url, source ORDER BY rank) = 1),
+ feed_said AS (SELECT url, string_agg(source, ',' ORDER BY ordinal) AS sources, arg_min(threat_type, ordinal) AS threat_type,
+  string_agg('known_threat:' || source, ',' ORDER BY ordinal) AS matched_rules, CAST(count(*) AS INT) AS n_details,
+  string_agg(chr(10) || '- ' || source || ': ' || details, '' ORDER BY ordinal) AS details FROM one_row GROUP BY url)"""
+
+
+@query("check_all_sources", "WITH " + _KNOWN + """
+SELECT url, sources, threat_type, 'phishing' AS verdict, n_details, details FROM feed_said""")
+def _(t):
+    out = checked_everywhere(t)
+    kept = out.select(
+        "url", "sources", "threat_type", "verdict", F.size("details").alias("n_details"),
+        F.array_join(F.transform("details", lambda d: F.concat(F.lit("\n- "), d["source"], F.lit(": "), d["details"])), "").alias("details"))
+    return joined(kept, "sources")
+
+
 # --- rules and scores --------------------------------------------------------
 
 _RULES = f"WITH {_PLAIN}, {O.rules('src')}"
@@ -323,21 +457,20 @@ def _(t):
     return rounded(verdict.score_importance(rated(t), weights), "importance")
 
 
-_ANALYZED = "WITH " + _ENRICHED + ", " + O.verdicts("enriched", "scan_id") + ", " + O.importance("scan_id") + ", " \
-    + O.feed_hits("url_corpus") + ", " + O.FEED_VERDICT + """,
+_ANALYZED = "WITH " + _ENRICHED + ", " + O.verdicts("enriched", "scan_id") + ", " + O.importance("scan_id") + ", " + _KNOWN + """,
  analyzed AS (SELECT j.scan_id, j.url, CASE WHEN f.url IS NOT NULL THEN 'phishing' ELSE j.verdict END AS verdict,
   round(CASE WHEN f.url IS NOT NULL THEN 0.98 ELSE j.confidence END, 9) AS confidence,
-  CASE WHEN f.url IS NOT NULL THEN f.matched_rules ELSE j.matched_rules END AS matched_rules, f.sources, f.threat_type,
+  CASE WHEN f.url IS NOT NULL THEN f.matched_rules ELSE j.matched_rules END AS matched_rules, f.sources, f.threat_type, f.details,
   CASE WHEN f.url IS NOT NULL THEN 'threat_feed' ELSE 'rules' END AS prediction_source
   FROM judged j LEFT JOIN feed_said f ON f.url = j.url)"""
 
 
 def analyzed(t: Tables) -> DataFrame:
-    return verdict.analyze_urls(enriched(t), t.threat_indicators_raw)
+    return verdict.analyze_urls(enriched(t), known=checked_everywhere(t))
 
 
 @query("analyze_urls", _ANALYZED + """
- SELECT a.*, CASE WHEN a.prediction_source = 'threat_feed' THEN 'threat_feed_match=1.000000' ELSE w.importance END AS importance
+ SELECT a.* EXCLUDE (details), CASE WHEN a.prediction_source = 'threat_feed' THEN 'threat_feed_match=1.000000' ELSE w.importance END AS importance
  FROM analyzed a JOIN (SELECT scan_id, string_agg(feature || '=' || printf('%.6f', weight), ',' ORDER BY feature) AS importance
   FROM weighed GROUP BY scan_id) w ON w.scan_id = a.scan_id""")
 def _(t):
@@ -350,100 +483,29 @@ def _(t):
     return rounded(joined(out, "matched_rules", "sources"), "confidence")
 
 
-@query("batch_report", _ANALYZED + """
- SELECT count(*) FILTER (verdict <> 'error') AS processed, count(*) FILTER (verdict = 'error') AS failed, count(*) FILTER (verdict = 'phishing') AS phishing,
-  count(*) FILTER (verdict = 'safe') AS safe, count(*) FILTER (verdict = 'suspicious') AS suspicious FROM analyzed""")
-def _(t):
-    return verdict.batch_report(analyzed(t))
-
+_ABSOLUTE = f"(coalesce(regexp_extract(url, '{fixed.URL_PATTERN}', 1) <> '' AND regexp_extract(url, '{fixed.URL_PATTERN}', 2) <> '', false))"
+_BATCH = "WITH src AS (SELECT " + O.DEFAULT_NETWORK + " FROM submitted), " + O.verdicts("src", "page_id") + ", " + _KNOWN + f""",
+ batch AS (SELECT j.page_id, j.url, CASE WHEN NOT {_ABSOLUTE.replace("(url", "(j.url")} THEN 'error' WHEN f.url IS NOT NULL THEN 'phishing' ELSE j.verdict END AS verdict
+  FROM judged j LEFT JOIN feed_said f ON f.url = j.url)"""
 
-@query("batch_ranked", _JUDGED + """
- SELECT page_id, url, verdict, CASE verdict WHEN 'phishing' THEN 0 WHEN 'error' THEN 1 WHEN 'suspicious' THEN 2 WHEN 'safe' THEN 3 ELSE 9 END AS urgency
- FROM judged ORDER BY urgency, url""")
-def _(t):
-    return verdict.batch_ranked(rated(t).select("page_id", "url", "verdict"))
 
+def batch(t: Tables) -> DataFrame:
+    """A batch as it is handed in: NULL, blank and unparseable lines among the URLs."""
+    return verdict.analyze_urls(t.submitted, known=checked_everywhere(t))
 
-# --- vendor reports ----------------------------------------------------------
 
-@query("vendor_multi_engine", """
-WITH a AS (SELECT url, json_extract(report, '$.data.attributes') AS a FROM engine_reports),
- c AS (SELECT url, CAST(json_extract(a, '$.last_analysis_stats.malicious') AS BIGINT) AS malicious_count,
-  CAST(json_extract(a, '$.last_analysis_stats.suspicious') AS BIGINT) AS suspicious_count,
-  CAST(json_extract(a, '$.last_analysis_stats.harmless') AS BIGINT) AS harmless, CAST(json_extract(a, '$.reputation') AS INT) AS reputation,
-  json_extract(a, '$.last_analysis_results') AS results FROM a),
- e AS (SELECT url, unnest(range(0, 8)) AS i, results FROM c),
- f AS (SELECT url, i, json_extract_string(results, concat('$.engine', i, '.result')) AS result FROM e
-  WHERE json_extract_string(results, concat('$.engine', i, '.category')) IN ('malicious', 'suspicious')),
- g AS (SELECT url, array_to_string(list(concat('engine', i, '=', result) ORDER BY i), ',') AS threats FROM f GROUP BY url)
-SELECT c.url, malicious_count, suspicious_count, malicious_count + suspicious_count + harmless AS total_engines, reputation,
- coalesce(threats, '') AS threats, CASE WHEN malicious_count > suspicious_count THEN 'malware' ELSE 'suspicious' END AS threat_type
-FROM c LEFT JOIN g ON g.url = c.url WHERE malicious_count > 0 OR suspicious_count > 0""")
-def _(t):
-    from ..operators import vendors
-
-    found = vendors.vendor_multi_engine(t.engine_reports).drop("first_submitted", "last_analysis")
-    pairs = F.transform("threats", lambda x: F.concat(x["engine"], F.lit("="), x["result"]))
-    return found.withColumn("threats", F.array_join(pairs, ","))
-
-
-@query("vendor_blocklist", """
-WITH m AS (SELECT url, p % 3 AS k FROM corpus_urls)
-SELECT b.url, CASE WHEN contains(b.report, 'SOCIAL_ENGINEERING') THEN 'phishing' ELSE 'malware' END AS threat_type,
- CASE k WHEN 1 THEN 'MALWARE,SOCIAL_ENGINEERING' ELSE 'MALWARE' END AS threat_types,
- CASE k WHEN 1 THEN 'ANY_PLATFORM' ELSE 'WINDOWS' END AS platforms, CASE k WHEN 1 THEN '300s' ELSE '100s' END AS cache_duration
-FROM blocklist_reports b JOIN m ON m.url = b.url WHERE k <> 0""")
-def _(t):
-    from ..operators import vendors
-
-    return joined(vendors.vendor_blocklist(t.blocklist_reports), "threat_types", "platforms")
-
-
-@query("vendor_scan_history", """
-WITH e AS (SELECT url, report, unnest(range(0, 12)) AS i FROM domain_reports),
- f AS (SELECT url, i, CAST(json_extract(report, '$.total') AS BIGINT) AS total_scans,
-  json_extract_string(report, concat('$.results[', i, ']._id')) AS id, json_extract_string(report, concat('$.results[', i, '].task.time')) AS seen FROM e
-  WHERE json_extract_string(report, concat('$.results[', i, '].verdicts.overall.malicious')) = 'true'
-   OR (json_extract_string(report, concat('$.results[', i, '].task.method')) = 'automatic'
-    AND CAST(json_extract(report, concat('$.results[', i, '].stats.phishing')) AS INT) > 0))
-SELECT url, total_scans, CAST(count(*) AS INT) AS malicious_count, array_to_string(list(id ORDER BY i), ',') AS scan_ids,
- arg_min(seen, i) AS first_seen FROM f GROUP BY url, total_scans""")
+@query("batch_report", _BATCH + """
+ SELECT count(*) FILTER (verdict <> 'error') AS processed, count(*) FILTER (verdict = 'error') AS failed, count(*) FILTER (verdict = 'phishing') AS phishing,
+  count(*) FILTER (verdict = 'safe') AS safe, count(*) FILTER (verdict = 'suspicious') AS suspicious FROM batch""")
 def _(t):
-    from ..operators import vendors
-
-    return joined(vendors.vendor_scan_history(t.domain_reports), "scan_ids")
-
+    return verdict.batch_report(batch(t))
 
-def checked_everywhere(t: Tables) -> DataFrame:
-    """What feeds, the three stored-report jobs and posts say of the corpus."""
-    from ..operators import posts, vendors
 
-    domains = t.url_corpus.select(U.page_domain(F.col("url")).alias("domain")).filter("domain <> ''")
-    reports = [
-        match.report_hits(vendors.vendor_multi_engine(t.engine_reports), "virustotal"),
-        match.report_hits(vendors.vendor_blocklist(t.blocklist_reports), "google_safebrowsing"),
-        match.report_hits(vendors.vendor_scan_history(t.domain_reports), "urlscan"),
-        match.mention_hits(t.url_corpus, posts.post_mentions(t.posts, domains, as_of=AS_OF)),
-    ]
-    return match.check_all_sources(t.url_corpus, t.threat_indicators_raw, *reports)
-
-
-_ENGINE_SAYS = """
- reports_say AS (
-  SELECT url, 'virustotal' AS source, 3 AS ordinal, CASE WHEN p % 4 > p % 3 THEN 'malware' ELSE 'suspicious' END AS threat_type
-  FROM corpus_urls WHERE p % 4 > 0 OR p % 3 > 0
-  UNION ALL SELECT url, 'google_safebrowsing', 4, CASE WHEN p % 3 = 1 THEN 'phishing' ELSE 'malware' END FROM corpus_urls WHERE p % 3 <> 0)"""
-
-
-@query("check_all_sources", "WITH " + O.feed_hits("url_corpus") + "," + _ENGINE_SAYS + """,
- said AS (SELECT url, source, ordinal, min(threat_type) FILTER (threat_type <> '') AS threat_type FROM hit GROUP BY ALL
-  UNION ALL SELECT * FROM reports_say)
-SELECT url, string_agg(source, ',' ORDER BY ordinal) AS sources, arg_min(threat_type, ordinal) AS threat_type, 'phishing' AS verdict,
- CAST(count(*) AS INT) AS n_details FROM said GROUP BY url""")
+@query("batch_ranked", _BATCH + """
+ SELECT page_id, url, verdict, CASE verdict WHEN 'phishing' THEN 0 WHEN 'error' THEN 1 WHEN 'suspicious' THEN 2 WHEN 'safe' THEN 3 ELSE 9 END AS urgency
+ FROM batch ORDER BY urgency, url""")
 def _(t):
-    out = checked_everywhere(t)
-    kept = out.select("url", "sources", "threat_type", "verdict", F.size(F.filter("details", lambda d: d["details"].isNotNull())).alias("n_details"))
-    return joined(kept, "sources")
+    return verdict.batch_ranked(batch(t).select("page_id", "url", "verdict"))
 
 
 # --- explanations ------------------------------------------------------------
@@ -456,11 +518,8 @@ _EXPLAIN = _ANALYZED + """,
  p AS (SELECT *, printf('%.0f%%', confidence * 100) AS pct, sources IS NOT NULL AS known, replace(sources, ',', ', ') AS feeds,
   CASE WHEN matched_rules = '' THEN 0 ELSE len(string_split(matched_rules, ',')) END AS n FROM full_result)
  SELECT scan_id, url, verdict, confidence,
-  CASE WHEN known THEN concat('This URL was flagged as a known threat by ', feeds, ' with ', pct, ' confidence')
-   ELSE concat('This URL was classified as ', verdict, ' with ', pct, ' confidence') END AS summary,
-  CASE WHEN known THEN concat('The URL ', url, ' was identified as malicious by the following threat intelligence sources: ', feeds,
-    '. This URL exists in verified threat databases, confirming it is actively used for malicious purposes.')
-   ELSE concat('The URL ', url, ' was analyzed using ', n, ' detection rules. Based on the detected patterns, it was classified as ', verdict, '.') END AS explanation,
+  CASE WHEN known THEN printf('{explain.SUMMARY_FEED}', feeds, pct) ELSE printf('{explain.SUMMARY_RULES}', verdict, pct) END AS summary,
+  CASE WHEN known THEN printf('{explain.EXPLAINED_FEED}', url, feeds) ELSE printf('{explain.EXPLAINED_RULES}', url, n, verdict) END AS explanation,
   coalesce(nullif(concat_ws(';', CASE WHEN known THEN '{explain.TEXT_FEED}' || feeds END,
    CASE WHEN typosquat_target IS NOT NULL THEN '{explain.TEXT_SQUAT}' || typosquat_target END,
    CASE WHEN domain_age_days BETWEEN 1 AND 29 THEN 'Recently registered domain (' || domain_age_days || ' days old)' END,
@@ -478,7 +537,7 @@ def _(t):
  h AS (SELECT *, concat('URL: ', url, chr(10), 'Verdict: ', verdict, chr(10), 'Confidence: ', printf('%.2f%%', confidence * 100)) AS head FROM full_result)
  SELECT scan_id, url, verdict, CASE WHEN verdict = 'safe' THEN concat('This scanned URL looks safe. Confirm briefly.', chr(10), chr(10), head)
   ELSE concat('Judge how risky the URL below is.', chr(10), chr(10), head,
-   CASE WHEN sources IS NOT NULL THEN chr(10) || 'Listed by threat feeds: ' || replace(sources, ',', ', ') ELSE '' END, chr(10), 'Features:', chr(10),
+   CASE WHEN sources IS NOT NULL THEN chr(10) || 'Listed by threat feeds: ' || replace(sources, ',', ', ') || details ELSE '' END, chr(10), 'Features:', chr(10),
    '- Domain age (days): ', domain_age_days, chr(10), '- SSL valid: ', ssl_valid, chr(10), '- SSL issuer: ', coalesce(ssl_issuer, 'Unknown'), chr(10),
    '- Redirects: ', redirect_count, chr(10), '- Typosquat target: ', coalesce(typosquat_target, 'None'), chr(10), '- Typosquat distance: ', typosquat_distance, chr(10),
    '- IP address as host: ', has_ip_address, chr(10), '- URL length: ', url_length, chr(10), '- Path depth: ', path_depth, chr(10), '- Subdomains: ', subdomain_count, chr(10),

@@ -44,8 +44,8 @@ def _scan_results() -> str:
             f"""'{{{{"_id":"r', CAST(p AS STRING), '-{i}","task":{{{{"method":"',
   CASE WHEN (p + {i}) % 2 = 0 THEN 'automatic' ELSE 'manual' END,
   '","time":"2024-01-{i + 1:02d}T00:00:00Z"}}}},"verdicts":{{{{"overall":{{{{"malicious":',
-  CASE WHEN (p + {i}) % 5 = 0 THEN 'true' ELSE 'false' END,
-  '}}}}}}}},"stats":{{{{"phishing":', CAST((p + {i}) % 3 AS STRING), '}}}}}}}}'"""
+  CASE WHEN p % 12 = 0 AND (p + {i}) % 5 = 0 THEN 'true' ELSE 'false' END,
+  '}}}}}}}},"stats":{{{{"phishing":', CASE WHEN p % 14 = 0 THEN CAST((p + {i}) % 3 AS STRING) ELSE '0' END, '}}}}}}}}'"""
         )
     return ", ',', ".join(parts)
 
@@ -127,7 +127,7 @@ SELECT CAST(doc_id AS STRING) AS post_id,
  concat('/r/post/', CAST(doc_id AS STRING), '/') AS permalink,
  doc_id % 4 <> 0 AS is_self,
  concat('http://link', CAST(doc_id % 50 AS STRING), '.example.org/p') AS url,
- concat(text, CASE doc_id % 2
+ concat(text, CASE WHEN doc_id % 30 < 20 THEN concat(' via https://long', CAST(CAST((doc_id - doc_id % 30) / 30 AS BIGINT) % 20 * 12 + 9 AS STRING), '.info/x') ELSE '' END, CASE doc_id % 2
    WHEN 0 THEN concat(' see https://site', CAST(doc_id % 40 AS STRING), '.example.com/a and http://reddit.com/r/x')
    ELSE concat(' seen at https://site', CAST(doc_id % 40 AS STRING), '.example.com/a') END) AS selftext
 FROM {documents}""",
@@ -191,17 +191,26 @@ WHERE e.event_type = 'purchase'""",
 SELECT url, min(page_id) AS p FROM {url_corpus} GROUP BY url""",
     "engine_reports": f"""
 SELECT url, concat('{{{{"data":{{{{"attributes":{{{{"reputation":', CAST(0 - p % 9 AS STRING),
- ',"last_analysis_stats":{{{{"malicious":', CAST(p % 4 AS STRING), ',"suspicious":', CAST(p % 3 AS STRING),
+ ',"last_analysis_stats":{{{{"malicious":', CASE WHEN p % 10 = 0 THEN CAST(p % 4 AS STRING) ELSE '0' END,
+ ',"suspicious":', CASE WHEN p % 10 < 2 THEN CAST(p % 3 AS STRING) ELSE '0' END,
  ',"harmless":60}}}},"last_analysis_results":{{{{', {_engine_results()}, '}}}}}}}}}}}}}}}}') AS report
 FROM {{corpus_urls}}""",
     "blocklist_reports": """
-SELECT url, CASE p % 3 WHEN 0 THEN '{{}}'
- WHEN 1 THEN '{{"matches":[{{"threatType":"SOCIAL_ENGINEERING","platformType":"ANY_PLATFORM","cacheDuration":"300s"}},{{"threatType":"MALWARE","platformType":"ANY_PLATFORM","cacheDuration":"200s"}}]}}'
- ELSE '{{"matches":[{{"threatType":"MALWARE","platformType":"WINDOWS","cacheDuration":"100s"}}]}}' END AS report
+SELECT url, CASE p % 16 WHEN 1 THEN '{{"matches":[{{"threatType":"SOCIAL_ENGINEERING","platformType":"ANY_PLATFORM","cacheDuration":"300s"}},{{"threatType":"MALWARE","platformType":"ANY_PLATFORM","cacheDuration":"200s"}}]}}'
+ WHEN 2 THEN '{{"matches":[{{"threatType":"MALWARE","platformType":"WINDOWS","cacheDuration":"100s"}}]}}' ELSE '{{}}' END AS report
 FROM {corpus_urls}""",
     "domain_reports": f"""
 SELECT url, concat('{{{{"total":', CAST(p % 40 AS STRING), ',"results":[', {_scan_results()}, ']}}}}') AS report
 FROM {{corpus_urls}}""",
+    "lookup_reports": """
+SELECT url, CASE p % 18 WHEN 4 THEN concat('{{"query_status":"ok","id":"', CAST(p AS STRING), '","url_status":"online","threat":"malware_download","tags":["exe","kit',
+  CAST(p % 3 AS STRING), '"],"urlhaus_reference":"https://haus.example/url/', CAST(p AS STRING), '/","date_added":"2024-01-0', CAST(1 + p % 8 AS STRING), ' 00:00:00 UTC"}}')
+ WHEN 5 THEN '{{"query_status":"ok","threat":"","tags":[]}}' WHEN 6 THEN 'no reply' ELSE '{{"query_status":"no_results"}}' END AS report
+FROM {corpus_urls}""",
+    # What a caller hands in: every seventeenth line is missing, blank or no URL.
+    "submitted": """
+SELECT page_id, CASE page_id % 51 WHEN 3 THEN NULL WHEN 20 THEN '  ' WHEN 37 THEN concat('no url ', CAST(page_id AS STRING)) ELSE url END AS url
+FROM {url_corpus}""",
     "samples": """
 SELECT u.page_id AS page_id, u.url AS url, CASE WHEN i.url IS NULL THEN 0 ELSE 1 END AS label
 FROM {url_corpus} u LEFT JOIN (SELECT DISTINCT url FROM {threat_indicators_raw}) i ON i.url = u.url""",
