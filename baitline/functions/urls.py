@@ -74,13 +74,14 @@ def suffix_labels(host_: Column) -> Column:
     )
 
 
-def split_host(df: DataFrame, host_: str, label: str, suffix: str, subdomains: str) -> DataFrame:
+def split_host(df: DataFrame, host_: str, label: str, suffix: str, subdomains: str, counted: str | None = None) -> DataFrame:
     """Add the registrable label, the public suffix and the number of subdomains.
 
-    An IP address is its own label, without suffix and subdomains.
+    The number of labels of the suffix is that of column ``counted``, or by the
+    shipped rule.  An IP address is its own label, without suffix and subdomains.
     """
     name = F.col(host_)
-    staged = df.withColumn("_nsuffix", suffix_labels(name)).withColumn("_labels", F.split(name, r"\."))
+    staged = df.withColumn("_nsuffix", F.col(counted) if counted else suffix_labels(name)).withColumn("_labels", F.split(name, r"\."))
     n, labels = F.col("_nsuffix"), F.col("_labels")
     at = F.size(labels) - n - 1
     numeric = is_ipv4(name)

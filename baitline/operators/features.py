@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, urls as U
 from ..functions.keys import latest_before
+from .suffix import split_host_by, with_suffix_labels
 
 CORE_FIELDS = [
     "domain_age_days", "ssl_valid", "ssl_issuer", "redirect_count", "redirect_chain",
@@ -45,8 +46,8 @@ def _without_work(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if not c.startswith("_")])
 
 
-def _split_host(df: DataFrame) -> DataFrame:
-    return U.split_host(df, "_registry_host", "_label", "_suffix", "_subdomains")
+def _split_host(df: DataFrame, suffixes: DataFrame | None) -> DataFrame:
+    return split_host_by(df, "_registry_host", suffixes, "_label", "_suffix", "_subdomains")
 
 
 def _brand_misused(text: Column, host: Column, brands: list[str]) -> Column:
@@ -57,8 +58,8 @@ def _brand_misused(text: Column, host: Column, brands: list[str]) -> Column:
     )
 
 
-def feat_core(urls: DataFrame) -> DataFrame:
-    """The 14 features of a URL.
+def feat_core(urls: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """The 14 features of a URL; public suffixes by a rule table (``suffix.suffix_rules``) or the shipped list.
 
     Domain age, certificate and redirects are observations, not properties of
     the string: columns of these names are used when present (see
@@ -69,7 +70,7 @@ def feat_core(urls: DataFrame) -> DataFrame:
         (F.coalesce(F.col(c), F.expr(default)) if c in urls.columns else F.expr(default)).alias(f"_{c}")
         for c, default in NETWORK_DEFAULTS.items()
     ]
-    staged = _split_host(_parsed(urls.select(*own, *network))).withColumn("_name", F.lower("_label"))
+    staged = _split_host(_parsed(urls.select(*own, *network)), suffixes).withColumn("_name", F.lower("_label"))
     registered = F.when((F.col("_label") == "") | (F.col("_suffix") == ""), F.col("_netloc")).otherwise(
         F.concat_ws(".", "_label", "_suffix")
     )
@@ -125,9 +126,9 @@ def feat_vector11(features: DataFrame) -> DataFrame:
     )
 
 
-def feat_lexical17(urls: DataFrame) -> DataFrame:
-    """17 features of the string alone, clipped."""
-    staged = _split_host(_parsed(urls)).withColumn("_name", F.lower("_label"))
+def feat_lexical17(urls: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """17 features of the string alone, clipped; public suffixes by a rule table or the shipped list."""
+    staged = _split_host(_parsed(urls), suffixes).withColumn("_name", F.lower("_label"))
     near = F.when(F.col("_name") != "", U.nearest_name(F.col("_name"), fixed.SQUAT_NAMES_LEXICAL17, 3))
     registered = F.lower(
         F.when((F.col("_label") == "") | (F.col("_suffix") == "") | U.is_ipv4(F.col("_registry_host")), F.col("_netloc"))
@@ -260,13 +261,15 @@ def feat_lexical32(urls: DataFrame) -> DataFrame:
     )
 
 
-def join_typosquat(urls: DataFrame, names: list[str] = fixed.SQUAT_NAMES_CORE, max_distance: int = 2) -> DataFrame:
+def join_typosquat(
+    urls: DataFrame, names: list[str] = fixed.SQUAT_NAMES_CORE, max_distance: int = 2, suffixes: DataFrame | None = None
+) -> DataFrame:
     """Nearest name of a list to the domain label, ties by list order.
 
     The list is part of the plan, so the nearest-neighbour look-up is a narrow
     projection; ``levenshtein`` with a threshold gives up early.
     """
-    staged = U.split_host(urls.withColumn("_host", U.registry_host(F.col("url"))), "_host", "label", "_suffix", "_n")
+    staged = split_host_by(urls.withColumn("_host", U.registry_host(F.col("url"))), "_host", suffixes, "label", "_suffix", "_n")
     staged = staged.withColumn("_name", F.lower("label"))
     staged = staged.withColumn("_near", U.nearest_name(F.col("_name"), names, max_distance))
     return staged.select(
@@ -293,6 +296,7 @@ def join_asof_enrich(
     redirects: DataFrame,
     time: str = "created_at",
     slice_by: str = "HOUR",
+    suffixes: DataFrame | None = None,
 ) -> DataFrame:
     """Domain age, certificate and redirects as last observed when scanned.
 
@@ -303,8 +307,8 @@ def join_asof_enrich(
     it is as old; a certificate to a host, and it counts for https alone; a
     redirect chain to a URL, with which it starts.  A URL without a host has none.
     """
-    regs = _owned(registrations).select("owner", "observed_at", F.struct("registered_at").alias("value"))
-    certs = _owned(certificates).select(
+    regs = _owned(registrations, suffixes).select("owner", "observed_at", F.struct("registered_at").alias("value"))
+    certs = _owned(certificates, suffixes).select(
         "owner", F.col("_host").alias("_https_host"), "observed_at", F.struct("ssl_valid", "ssl_issuer").alias("value")
     )
     # A probe follows a bounded number of hops, so a chain is a short list.
@@ -314,10 +318,11 @@ def join_asof_enrich(
         .select("url", "observed_at", F.struct(
             F.size("hops").alias("redirect_count"),
             F.concat(F.array("url"), F.col("hops.target")).alias("redirect_chain"),
-        ).alias("value"))
+        ).alias("value")),
+        suffixes,
     ).select("owner", "url", "observed_at", "value")
     keep = [c for c in scans.columns if c not in NETWORK_DEFAULTS]
-    base = _owned(scans.select(*keep)).withColumn(
+    base = _owned(scans.select(*keep), suffixes).withColumn(
         "_https_host", F.when(F.lower("url").startswith("https://"), F.col("_host"))
     ).drop("_host")
     rows = latest_before(
@@ -334,13 +339,19 @@ def join_asof_enrich(
     )
 
 
-def _owned(df: DataFrame) -> DataFrame:
-    """Add ``owner``, the registered domain (an address or single name: itself), and ``_host``."""
+def _owned(df: DataFrame, suffixes: DataFrame | None) -> DataFrame:
+    """Add ``owner``, the registered domain (an address, single name or bare suffix: itself), and ``_host``."""
     host = F.nullif(F.lower(U.registry_host(F.col("url"))), F.lit(""))
     staged = df.withColumn("_host", U.computed_once(host))
-    labels = U.suffix_labels(F.col("_host"))
-    own = F.when(labels == 1, F.substring_index("_host", ".", -2)).when(labels == 2, F.substring_index("_host", ".", -3))
-    return staged.withColumn("owner", U.computed_once(F.coalesce(own, F.col("_host"))))
+    if suffixes is None:
+        labels = U.suffix_labels(F.col("_host"))
+        own = F.when(labels == 1, F.substring_index("_host", ".", -2)).when(labels == 2, F.substring_index("_host", ".", -3))
+    else:
+        staged = with_suffix_labels(staged, "_host", suffixes, "_nsuffix")
+        parts = F.split("_host", r"\.")
+        size = F.least(F.col("_nsuffix") + 1, F.size(parts))
+        own = F.when(F.col("_nsuffix") > 0, F.array_join(F.slice(parts, F.size(parts) - size + 1, size), "."))
+    return staged.withColumn("owner", U.computed_once(F.coalesce(own, F.col("_host")))).drop("_nsuffix")
 
 
 def fit_scaler(features: DataFrame) -> dict[str, tuple[float, float]]:

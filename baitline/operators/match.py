@@ -154,46 +154,6 @@ def check_all_sources(urls: DataFrame, indicators: DataFrame, *reports: DataFram
     return join_hits_verdict(first.select("url", "source", *[F.col(f"_first.{c}").alias(c) for c in fields]))
 
 
-def split_public_suffix(urls: DataFrame) -> DataFrame:
-    """Domain, suffix and subdomain count by the shipped suffix list, within the row."""
-    return U.split_host(urls.withColumn("host", U.registry_host(F.col("url"))), "host", "domain", "suffix", "subdomains")
-
-
-def join_public_suffix(urls: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """Split hosts by the longest suffix of a table (suffix, lower case).
-
-    Works on distinct hosts: the candidates of a host are its few trailing
-    label groups.  A host with no listed suffix has its last label as suffix.
-    """
-    host = U.registry_host(F.col("url"))
-    keyed = urls.withColumn("host", host)
-    hosts = keyed.select("host").distinct()
-    labels = F.split(F.lower("host"), r"\.")
-    candidates = hosts.filter(~U.is_ipv4(F.col("host"))).select(
-        "host", F.size(labels).alias("n_labels"), F.posexplode(labels).alias("from", "_label"), labels.alias("_labels")
-    ).filter(F.col("from") >= 1).select(
-        "host", "n_labels", F.col("from"),
-        F.array_join(F.slice("_labels", F.col("from") + 1, F.col("n_labels")), ".").alias("suffix"),
-    )
-    known = candidates.join(suffixes.select(F.lower("suffix").alias("suffix")).distinct(), "suffix", "left_semi")
-    best = known.groupBy("host").agg(F.min("from").alias("suffix_from"))
-    joined = keyed.join(best, "host", "left")
-    parts = F.split("host", r"\.")
-    n = F.size(parts)
-    cut = F.when(U.is_ipv4(F.col("host")) | (n < 2), n).otherwise(F.coalesce("suffix_from", n - 1))
-
-    def piece(start: Column, length: Column) -> Column:
-        return F.when(length > 0, F.array_join(F.slice(parts, start, length), ".")).otherwise("")
-
-    ip = U.is_ipv4(F.col("host"))
-    return joined.select(
-        *urls.columns, "host",
-        F.when(ip, "").otherwise(piece(F.lit(1), cut - 1)).alias("subdomain"),
-        F.when(ip, F.col("host")).otherwise(F.get(parts, cut - 1)).alias("domain"),
-        F.when(ip, "").otherwise(piece(cut + 1, n - cut)).alias("suffix"),
-    )
-
-
 def join_vendor_report(urls: DataFrame, reports: DataFrame) -> DataFrame:
     """URLs with their stored report; reports: (report_key, report)."""
     keyed = urls.withColumn("report_key", U.report_key(F.col("url")))

@@ -34,20 +34,45 @@ def _near(label: str, names: list[str], within: int) -> str:
     return f"CASE WHEN NOT ({_in(label, names)}) THEN least({cases}) END"
 
 
-def parts(source: str) -> str:
-    """CTEs ``parts`` and ``hosts``: the URL split and the host's labels."""
+def suffix_rows(lines: list[str]) -> str:
+    """CTE ``listed_suffix``: the rules of a suffix file, international ones in both spellings."""
+    rows = set()
+    for line in lines:
+        rule = line.split("//")[0].strip().lower() if line.lstrip().startswith("//") else (line.split() or [""])[0].lower()
+        extra = 1 if rule.startswith("*.") else -1 if rule.startswith("!") else 0
+        ending = rule.removeprefix("*.").removeprefix("!")
+        if ending:
+            rows |= {(ending, extra), (ending.encode("idna").decode(), extra)}
+    return "listed_suffix(ending, extra) AS (VALUES " + ", ".join(f"({_q(e)}, {x})" for e, x in sorted(rows)) + ")"
+
+
+_BY_RULES = """
+ending AS (SELECT DISTINCT lower(rhost) AS h, string_split(lower(rhost), '.') AS ls FROM labelled),
+walked AS (SELECT h, ls, unnest(range(len(ls))) AS i FROM ending),
+suffix_of AS (SELECT h, coalesce(max(len(ls) - i - 1) FILTER (extra < 0), max(len(ls) - i + extra)) AS n
+  FROM walked JOIN listed_suffix l ON l.ending = array_to_string(ls[i + 1:], '.') WHERE extra < 1 OR i > 0 GROUP BY h),
+counted AS (SELECT b.*, CASE WHEN rip OR len(labels) < 2 THEN 0 ELSE coalesce(s.n, 1) END AS nsuffix FROM labelled b
+  LEFT JOIN suffix_of s ON s.h = lower(b.rhost)),"""
+
+
+def parts(source: str, listed: bool = False) -> str:
+    """CTEs ``parts`` and ``hosts``: the URL split and the host's labels.
+
+    ``listed``: suffixes by the rules of CTE ``listed_suffix`` (see ``suffix_rows``).
+    """
     u = fixed.URL_PATTERN.replace("'", "''")
     ip = fixed.IPV4_PATTERN
+    shipped = f"""
+counted AS (SELECT *, CASE WHEN rip OR len(labels) < 2 THEN 0
+  WHEN regexp_matches(lower(array_to_string(labels[-2:], '.')), '^({'|'.join(fixed.SUFFIX_SECOND_LEVELS)})\\.[a-z]{{2}}$')
+   OR {_in("lower(array_to_string(labels[-2:], '.'))", fixed.SUFFIXES_TWO_LABELS)} THEN 2 ELSE 1 END AS nsuffix FROM labelled),"""
     return f"""
 parts AS (SELECT *, lower(url) AS low, lower(regexp_extract(url, '{u}', 1)) AS scheme, regexp_extract(url, '{u}', 2) AS netloc,
   regexp_replace(regexp_extract(url, '{u}', 3), ';[^/]*$', '') AS path, regexp_extract(url, '{u}', 4) AS query,
   rtrim(split_part(list_last(string_split(regexp_extract(url, '^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//)?([^/?#]*)', 1), '@')), ':', 1), '.') AS rhost
   FROM {source}),
 labelled AS (SELECT *, split_part(netloc, ':', 1) AS host, string_split(rhost, '.') AS labels, regexp_matches(rhost, '{ip}') AS rip,
-  regexp_matches(split_part(netloc, ':', 1), '{ip}') AS ip FROM parts),
-counted AS (SELECT *, CASE WHEN rip OR len(labels) < 2 THEN 0
-  WHEN regexp_matches(lower(array_to_string(labels[-2:], '.')), '^({'|'.join(fixed.SUFFIX_SECOND_LEVELS)})\\.[a-z]{{2}}$')
-   OR {_in("lower(array_to_string(labels[-2:], '.'))", fixed.SUFFIXES_TWO_LABELS)} THEN 2 ELSE 1 END AS nsuffix FROM labelled),
+  regexp_matches(split_part(netloc, ':', 1), '{ip}') AS ip FROM parts),{_BY_RULES if listed else shipped}
 hosts AS (SELECT *, CASE WHEN rip THEN rhost WHEN len(labels) - nsuffix >= 1 THEN labels[len(labels) - nsuffix] ELSE '' END AS label,
   CASE WHEN nsuffix = 0 THEN '' ELSE array_to_string(labels[len(labels) - nsuffix + 1:], '.') END AS suffix,
   CASE WHEN rip THEN 0 ELSE greatest(0, len(labels) - nsuffix - 1) END AS nsub FROM counted)"""
@@ -59,10 +84,10 @@ DEFAULT_NETWORK = (
 )
 
 
-def core(source: str) -> str:
+def core(source: str, listed: bool = False) -> str:
     """CTE ``core``: the 14 features.  ``source`` has the network columns."""
     targets = ", ".join(_q(f"{n}.com") for n in fixed.SQUAT_NAMES_CORE)
-    return parts(source) + f""",
+    return parts(source, listed) + f""",
 owned AS (SELECT *, lower(CASE WHEN ip THEN host WHEN label = '' OR suffix = '' THEN netloc ELSE label || '.' || suffix END) AS owner,
   CASE WHEN NOT ip THEN {_near('lower(label)', fixed.SQUAT_NAMES_CORE, 2)} END AS near FROM hosts),
 core AS (SELECT * EXCLUDE (domain_age_days), CASE WHEN ip THEN 0 ELSE domain_age_days END AS domain_age_days,
@@ -75,9 +100,9 @@ core AS (SELECT * EXCLUDE (domain_age_days), CASE WHEN ip THEN 0 ELSE domain_age
   NOT ip AND {_in('lower(suffix)', fixed.TLDS_CORE)} AS suspicious_tld FROM owned)"""
 
 
-def lexical17(source: str) -> str:
+def lexical17(source: str, listed: bool = False) -> str:
     """CTE ``lexical``."""
-    return parts(source) + f""",
+    return parts(source, listed) + f""",
 nearest AS (SELECT *, CASE WHEN label <> '' THEN {_near('lower(label)', fixed.SQUAT_NAMES_LEXICAL17, 3)} END AS near FROM hosts),
 lexical AS (SELECT *, CAST(least(length(url), 500) AS INT) AS url_length,
   CAST(len(list_filter(string_split(path, '/'), lambda s: s <> '')) AS INT) AS path_depth, scheme = 'https' AS has_https,

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed, urls as U
-from ..operators import explain, features as feat, match, rules, stats, text, verdict
+from ..operators import explain, features as feat, match, rules, stats, suffix, text, verdict
+from ..sources import readers
 from . import oracle_text as O
 from .queries_scans import MENTIONS
 from .registry import AS_OF, query
+from .session import scratch_path
 from .views import Tables
 
 _PLAIN = f"src AS (SELECT {O.DEFAULT_NETWORK} FROM url_corpus)"
@@ -80,17 +82,35 @@ def _(t):
     return feat.join_keyword_hits(t.url_corpus, fixed.KEYWORDS_CORE + fixed.BRANDS_CORE)
 
 
-@query("join_public_suffix", "WITH " + O.parts("url_corpus") + """
- SELECT page_id, url, rhost AS host, array_to_string(labels[1:len(labels) - nsuffix - 1], '.') AS subdomain, label AS domain, suffix
+#: A rule file in small: plain, nested, wildcard, exception and international rules; ``nolist`` and others are not in it.
+RULE_LINES = [
+    "// generic", "com", "net", "org", "info", "tk", "xyz  trailing words are no part of a rule", "", "// countries", "uk", "*.uk", "de", "fr", "es",
+    "ck", "*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "cn", "公司.cn", "mt", "com.mt", "com",
+]
+_LISTED = "WITH " + O.suffix_rows(RULE_LINES) + ", "
+
+
+def listed_suffixes(t: Tables) -> DataFrame:
+    """The rules as their reader gives them, from a file in the shared folder."""
+    path = scratch_path(t.spark, "suffix-rules")
+    t.spark.createDataFrame([(line,) for line in RULE_LINES], "value STRING").write.text(path)
+    return readers.src_suffix_rules(t.spark, path)
+
+
+@query("join_public_suffix", _LISTED + O.parts("suffix_urls", True) + """
+ SELECT page_id, url, rhost AS host, array_to_string(labels[1:greatest(0, len(labels) - nsuffix - 1)], '.') AS subdomain, label AS domain, suffix
  FROM hosts WHERE NOT rip
  UNION ALL SELECT page_id, url, rhost, '', rhost, '' FROM hosts WHERE rip""")
 def _(t):
-    # The suffixes seen in the corpus itself, and the shipped two-label list.
-    spark = t.url_corpus.sparkSession
-    last = t.url_corpus.select(F.substring_index(U.registry_host(F.col("url")), ".", -1).alias("suffix"))
-    pairs = [*fixed.SUFFIXES_TWO_LABELS, "com.mt", "com.es"]
-    listed = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in pairs])).alias("suffix"))
-    return match.join_public_suffix(t.url_corpus, last.unionByName(listed))
+    return suffix.join_public_suffix(t.suffix_urls, listed_suffixes(t))
+
+
+@query("join_typosquat_listed", _LISTED + O.parts("suffix_urls", True) + f"""
+ SELECT page_id, url, label, ([{', '.join("'" + n + ".com'" for n in fixed.SQUAT_NAMES_CORE)}])[near % 1000 + 1] AS typosquat_target,
+  CAST(coalesce(near // 1000, 0) AS INT) AS typosquat_distance
+ FROM (SELECT *, {O._near('lower(label)', fixed.SQUAT_NAMES_CORE, 2)} AS near FROM hosts)""")
+def _(t):
+    return feat.join_typosquat(t.suffix_urls, suffixes=listed_suffixes(t))
 
 
 @query("join_vendor_report", """
@@ -125,20 +145,21 @@ def _(t):
     return joined(match.join_scan_indicator(t.scan_history, t.threat_indicators_raw), "sources")
 
 
-def enriched(t: Tables) -> DataFrame:
+def enriched(t: Tables, suffixes: DataFrame | None = None) -> DataFrame:
     regs = t.registrations.select(
         "url", "observed_at",
         (F.to_date("observed_at") - F.col("age_at_observation")).alias("registered_at"),
     )
     certs = t.certificates.select("url", "observed_at", "ssl_valid", "ssl_issuer")
     hops = t.redirect_hops.select("url", "observed_at", "hop", "target")
-    return feat.join_asof_enrich(t.scan_history.select("scan_id", "url", "created_at"), regs, certs, hops)
+    return feat.join_asof_enrich(t.scan_history.select("scan_id", "url", "created_at"), regs, certs, hops, suffixes=suffixes)
 
 
-_ENRICHED = f"""
+def _enriched(listed: bool = False) -> str:
+    return f"""
  observed AS (SELECT url FROM url_corpus UNION SELECT url FROM registrations),
- domain_of AS (WITH {O.parts("observed")} SELECT url, nullif(lower(rhost), '') AS host, lower(scheme) = 'https' AS secure,
-   nullif(lower(CASE WHEN rip OR label = '' OR suffix = '' THEN rhost ELSE label || '.' || suffix END), '') AS domain FROM hosts),
+ domain_of AS (WITH {O.parts("observed", listed)} SELECT url, nullif(lower(rhost), '') AS host, lower(scheme) = 'https' AS secure,
+   nullif(lower(CASE WHEN rip OR suffix = '' THEN rhost WHEN label = '' THEN suffix ELSE label || '.' || suffix END), '') AS domain FROM hosts),
  s AS (SELECT scan_id, s.url, created_at, domain, CASE WHEN secure THEN host END AS host FROM scan_history s JOIN domain_of d ON d.url = s.url),
  reg AS (SELECT domain, observed_at, max(CAST(observed_at AS DATE) - age_at_observation) AS registered_at
   FROM registrations r JOIN domain_of d ON d.url = r.url GROUP BY ALL),
@@ -153,6 +174,14 @@ _ENRICHED = f"""
   ASOF LEFT JOIN probe p ON p.url = s.url AND p.observed_at <= s.created_at)"""
 
 
+_ENRICHED = _enriched()
+
+
+@query("join_asof_enrich_listed", _LISTED + _enriched(True) + " SELECT * FROM enriched")
+def _(t):
+    return joined(enriched(t, listed_suffixes(t)), "redirect_chain")
+
+
 @query("join_asof_enrich", "WITH " + _ENRICHED + " SELECT * FROM enriched")
 def _(t):
     return joined(enriched(t), "redirect_chain")
@@ -165,6 +194,19 @@ def _(t):
     return joined(core(t), "redirect_chain")
 
 
+_LISTED_SRC = f"{_LISTED} src AS (SELECT {O.DEFAULT_NETWORK} FROM suffix_urls), "
+
+
+@query("feat_core_listed", _LISTED_SRC + O.core("src", True) + f" SELECT {_CORE} FROM core")
+def _(t):
+    return joined(feat.feat_core(t.suffix_urls, listed_suffixes(t)), "redirect_chain")
+
+
+@query("feat_lexical17_listed", _LISTED + O.lexical17("suffix_urls", True) + f" SELECT page_id, url, {', '.join(fixed.VECTOR17)} FROM lexical")
+def _(t):
+    return feat.feat_lexical17(t.suffix_urls, listed_suffixes(t))
+
+
 @query("feat_vector11", f"WITH {_PLAIN}, {O.core('src')} SELECT page_id, url, concat_ws(',', " + ", ".join(
     f"CAST({c} AS INT)" for c in fixed.VECTOR11) + ") AS raw, concat_ws(',', " + ", ".join(
     f"CAST({'least(domain_age_days, 3650)' if c == 'domain_age_days' else 'least(url_length, 500)' if c == 'url_length' else c} AS INT)"

@@ -70,6 +70,15 @@ SELECT page_id + 1000000000, CASE page_id % 12 WHEN 1 THEN concat('https://secur
 FROM {pages} WHERE page_id % 12 BETWEEN 1 AND 9
 UNION ALL
 SELECT page_id + 2000000000, url FROM {pages} WHERE page_id % 12 IN (1, 2)""",
+    # Hosts under wildcard, exception, international, nested and unlisted suffixes, bare suffixes and final dots.
+    "suffix_urls": """
+SELECT page_id, CASE page_id % 15 WHEN 1 THEN concat('https://a.site', CAST(page_id AS STRING), '.anything.ck/x') WHEN 2 THEN 'http://www.ck/login'
+ WHEN 3 THEN 'http://shop.www.ck' WHEN 4 THEN concat('https://b', CAST(page_id AS STRING), '.ward.kawasaki.jp') WHEN 5 THEN 'https://tour.city.kawasaki.jp:8443/'
+ WHEN 6 THEN concat('https://firma', CAST(page_id AS STRING), '.公司.cn/') WHEN 7 THEN concat('https://firma', CAST(page_id AS STRING), '.XN--55QX5D.cn/')
+ WHEN 8 THEN concat('http://user@host', CAST(page_id AS STRING), '.nolist/p') WHEN 9 THEN 'https://anything.ck' WHEN 10 THEN 'http://co.uk/'
+ WHEN 11 THEN 'https://Paypa1.CO.uk./secure-login' WHEN 12 THEN 'http://10.0.0.7/x' WHEN 13 THEN 'http://localhost/' ELSE url END AS url
+FROM {pages}
+UNION ALL SELECT page_id, url FROM {url_corpus}""",
     "scan_history": f"""
 SELECT e.event_id AS scan_id, u.url AS url,
  CASE e.event_type WHEN 'error' THEN 'phishing' WHEN 'click' THEN 'suspicious' ELSE 'safe' END AS verdict,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import fixed, urls as U
+from ..operators.suffix import suffix_rules
 
 PHISHTANK_SCHEMA = T.StructType([
     T.StructField("phish_id", T.StringType()),
@@ -180,3 +181,8 @@ def src_url_batch(spark: SparkSession, path: str, cap: int | None = None) -> Dat
         )
     )
     return rows if cap is None else rows.orderBy("position").limit(cap)
+
+
+def src_suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """A public-suffix rule file as the table that ``operators.suffix`` joins: (ending, extra)."""
+    return suffix_rules(spark.read.text(path))

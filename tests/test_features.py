@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from baitline.functions import fixed, urls as U
-from baitline.operators import features as feat, match, rules
+from baitline.operators import features as feat, rules, suffix
 
 
 def core(spark, *urls):
@@ -113,14 +113,55 @@ def test_string_features(spark):
     assert odd.num_digits == 1 and odd.special_char_ratio == pytest.approx(2 / 10)
 
 
-def test_public_suffix_join_takes_the_longest(spark):
-    urls = spark.createDataFrame([("https://a.b.shop.co.uk/x",), ("http://10.1.2.3/",), ("http://x.unknown",), ("http://localhost/",)], "url STRING")
-    table = spark.createDataFrame([("uk",), ("co.uk",)], "suffix STRING")
-    got = {r.host: (r.subdomain, r.domain, r.suffix) for r in match.join_public_suffix(urls, table).collect()}
-    assert got == {
-        "a.b.shop.co.uk": ("a.b", "shop", "co.uk"), "10.1.2.3": ("", "10.1.2.3", ""),
-        "x.unknown": ("", "x", "unknown"), "localhost": ("", "localhost", ""),
+RULES = [
+    "// a comment with dots.in.it", "", "uk", "co.uk   what follows is ignored", "*.ck", "!www.ck", "*.kawasaki.jp", "jp", "!city.kawasaki.jp", "公司.cn", "cn",
+    "CO.UK", "com.",
+]
+
+
+def test_public_suffix_rules(spark):
+    table = suffix.suffix_rules(spark.createDataFrame([(x,) for x in RULES], "value STRING"))
+    assert table.count() == 11  # co.uk once, one rule in two spellings
+    hosts = {
+        "a.b.shop.co.uk": ("a.b", "shop", "co.uk"), "10.1.2.3": ("", "10.1.2.3", ""), "x.unknown": ("", "x", "unknown"),
+        "localhost": ("", "localhost", ""), "co.uk": ("", "", "co.uk"), "b.c.ck": ("", "b", "c.ck"), "c.ck": ("", "", "c.ck"), "ck": ("", "ck", ""),
+        "www.ck": ("", "www", "ck"), "a.www.ck": ("a", "www", "ck"), "a.city.kawasaki.jp": ("a", "city", "kawasaki.jp"),
+        "a.b.c.kawasaki.jp": ("a", "b", "c.kawasaki.jp"), "kawasaki.jp": ("", "kawasaki", "jp"), "x.公司.cn": ("", "x", "公司.cn"),
+        "X.Xn--55qx5d.CN": ("", "X", "Xn--55qx5d.CN"), "y.公司.com": ("y", "公司", "com"),
     }
+    urls = spark.createDataFrame([(f"https://{h}/x",) for h in hosts] * 2 + [(None,), ("",)], "url STRING").repartition(3)
+    got = suffix.join_public_suffix(urls, table).collect()
+    assert len(got) == 2 * len(hosts) + 2
+    assert {r.host: (r.subdomain, r.domain, r.suffix) for r in got if r.host} == hosts
+    bare = suffix.join_public_suffix(urls, table, unlisted=0).filter("host = 'x.unknown'").first()
+    assert (bare.subdomain, bare.domain, bare.suffix) == ("x", "unknown", "")
+
+
+def test_public_suffix_rules_by_walking_the_labels(spark):
+    """Every host of up to four labels against a walk over the rules one by one."""
+    import itertools
+
+    labels = ["a", "www", "city", "kawasaki", "ck", "jp", "uk", "co"]
+    hosts = [".".join(p) for n in (2, 3, 4) for p in itertools.product(labels, repeat=n)]
+    rules = [(r.split()[0].lower().rstrip(".").lstrip("!").split("."), r.startswith("!")) for r in RULES if r and not r.startswith("//")]
+
+    def walk(host):
+        parts, best = host.split("."), 1
+        for rule, exception in rules:
+            if len(rule) <= len(parts) and all(x in ("*", y) for x, y in zip(rule[::-1], parts[::-1])):
+                if exception:
+                    return len(rule) - 1
+                best = max(best, len(rule))
+        return best
+
+    table = suffix.suffix_rules(spark.createDataFrame([(x,) for x in RULES], "value STRING"))
+    df = spark.createDataFrame([(h,) for h in hosts], "host STRING")
+    assert {r.host: r.n for r in suffix.with_suffix_labels(df, "host", table, "n").collect()} == {h: walk(h) for h in hosts}
+
+
+def test_inner_wildcards_are_refused(spark):
+    with pytest.raises(Exception, match="leftmost"):
+        suffix.suffix_rules(spark.createDataFrame([("a.*.b",)], "value STRING")).collect()
 
 
 def test_variants_and_key(spark):
