@@ -10,6 +10,7 @@ from ..operators import normalize as norm, stats, text, training, verdict
 from ..streaming import streams
 from . import oracle_text as O
 from .queries_scans import BREAKER_SQL
+from .queries_urls import _KNOWN, checked_everywhere
 from .registry import AS_OF, query
 from .session import scratch_path
 from .views import Tables, VIEWS
@@ -101,29 +102,75 @@ def assembled(t: Tables, char_size: int, token_size: int) -> DataFrame:
     return _vectors(t, samples, vocabularies(samples, char_size, token_size), char_size, token_size)
 
 
-@query("feat_assemble")
+_SPLIT = """split_rows AS (SELECT page_id, url, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(concat('42|', url)), url)
+  <= floor(0.8 * count(*) OVER (PARTITION BY label)) THEN 'train' ELSE 'test' END AS split FROM distinct_samples)"""
+_LEXICAL_ROWS = " UNION ALL ".join(
+    f"SELECT page_id, {CHARS + TOKENS + i} AS entry, CAST({c} AS DOUBLE) AS weight FROM lexical" for i, c in enumerate(fixed.VECTOR26))
+
+
+def _tfidf_rows(kind: str, grams: str, size: int, first: int) -> str:
+    """CTE ``{kind}_rows`` (page_id, entry, weight) from the occurrences ``grams`` (page_id, split, term)."""
+    return f"""
+ {kind}_grams AS ({grams}),
+ {kind}_counts AS (SELECT page_id, split, term, count(*) AS tf FROM {kind}_grams GROUP BY ALL),
+ {kind}_best AS (SELECT term, sum(tf) AS n, count(*) AS documents FROM {kind}_counts WHERE split = 'train' GROUP BY term ORDER BY n DESC, term LIMIT {size}),
+ {kind}_terms AS (SELECT term, documents, row_number() OVER (ORDER BY term) - 1 AS place FROM {kind}_best),
+ {kind}_weights AS (SELECT page_id, place, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM split_rows WHERE split = 'train')) / (1 + documents)) + 1) AS w
+  FROM {kind}_counts JOIN {kind}_terms USING (term)),
+ {kind}_rows AS (SELECT page_id, CAST({first} + place AS BIGINT) AS entry, w / sqrt(sum(w * w) OVER (PARTITION BY page_id)) AS weight FROM {kind}_weights)"""
+
+
+_ASSEMBLED = "WITH " + _SPLIT + "," + _tfidf_rows("char", """SELECT page_id, split, substr(w, unnest(range(1, length(w) - n + 2)), n) AS term
+   FROM (SELECT page_id, split, w, unnest(range(2, least(6, length(w)) + 1)) AS n
+    FROM (SELECT page_id, split, ' ' || unnest(list_filter(regexp_split_to_array(lower(url), '\\s+'), lambda w: w <> '')) || ' ' AS w FROM split_rows))""",
+    CHARS, 0) + "," + _tfidf_rows("token", """SELECT page_id, split,
+   unnest(list_filter(regexp_split_to_array(lower(url), '[/?=&._\\-]'), lambda w: w <> '')) AS term FROM split_rows""", TOKENS, CHARS) + ",\n " + O.lexical32("(SELECT page_id, url FROM split_rows)") + f""",
+ entries AS (SELECT * FROM char_rows UNION ALL SELECT * FROM token_rows UNION ALL SELECT * FROM ({_LEXICAL_ROWS}) WHERE weight <> 0)
+SELECT e.page_id, s.label, s.split, CAST(entry AS INT) AS entry, round(weight, 6) AS weight FROM entries e JOIN split_rows s ON s.page_id = e.page_id"""
+
+
+@query("feat_assemble", _ASSEMBLED)
 def _(t):
-    return assembled(t, CHARS, TOKENS).select("page_id", "url", "label", "split", F.col("vector").cast("string").alias("vector"))
+    entries = text.vector_entries(assembled(t, CHARS, TOKENS), "page_id", "label", "split")
+    return entries.withColumn("weight", F.round("weight", 6))
+
+
+#: Where the models of a data set are stored, by application and folder: every query after the first one loads them.
+_TRAINED: dict[tuple[str, str], str] = {}
+
+
+def trained(t: Tables) -> str:
+    """The folder of the models fitted on the data set's samples, which are fitted once."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _TRAINED:
+        samples = split_samples(t)
+        known = vocabularies(samples, CHARS, TOKENS)
+        models, predictions = training.train_models(_vectors(t, samples, known, CHARS, TOKENS))
+        path = scratch_path(t.spark, "models")
+        training.save_models(models, *known, path)
+        predictions.write.parquet(f"{path}/predictions")
+        samples.filter("split = 'train'").select("url").write.parquet(f"{path}/trained-on")
+        _TRAINED[key] = path
+    return _TRAINED[key]
 
 
 @query("train_models")
 def _(t):
-    _, predictions = training.train_models(assembled(t, CHARS, TOKENS))
-    return stats.agg_model_metrics(predictions)
+    return stats.agg_model_metrics(t.spark.read.parquet(f"{trained(t)}/predictions"))
 
 
 def best_model(t: Tables) -> tuple[Model, tuple[DataFrame, DataFrame, int]]:
-    """The trained model of the greatest F1 on the test rows, and the vocabularies its vectors need."""
-    samples = split_samples(t)
-    known = vocabularies(samples, CHARS, TOKENS)
-    models, predictions = training.train_models(_vectors(t, samples, known, CHARS, TOKENS))
-    return models[stats.agg_best_model(predictions).first()["model"]], known
+    """The stored model of the greatest F1 on the test rows, and the vocabularies its vectors need."""
+    path = trained(t)
+    best = stats.agg_best_model(t.spark.read.parquet(f"{path}/predictions")).first()["model"]
+    return training.load_model(t.spark, best, path)
 
 
 def _scoring(t: Tables) -> tuple[Model, DataFrame]:
-    """The best model and the vectors of the corpus that it reads."""
+    """The best model and the vectors of the corpus URLs that it was not fitted on."""
     model, known = best_model(t)
-    return model, _vectors(t, t.url_corpus, known, CHARS, TOKENS)
+    fresh = t.url_corpus.join(t.spark.read.parquet(f"{trained(t)}/trained-on"), "url", "left_anti").select("page_id", "url")
+    return model, _vectors(t, fresh, known, CHARS, TOKENS)
 
 
 @query("train_importance")
@@ -142,7 +189,7 @@ def _(t):
 @query("analyze_urls_with_model")
 def _(t):
     model, vectors = _scoring(t)
-    result = verdict.analyze_urls(vectors, t.threat_indicators_raw, model)
+    result = verdict.analyze_urls(vectors, known=checked_everywhere(t), model=model)
     return result.select("page_id", "url", "verdict", "confidence", "prediction_source", "ml_probability")
 
 
@@ -214,9 +261,26 @@ def _(t):
     return _landed(t, "recheck", streams.st_recheck_ttl(_stream(t, "scan_history").select("scan_id", "url", "created_at")))
 
 
+def listed_urls(t: Tables) -> DataFrame:
+    """What all sources say, stored once: a stream reads it anew with every micro-batch."""
+    path = scratch_path(t.spark, "listed")
+    checked_everywhere(t).write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
 @query("st_score", f"WITH src AS (SELECT {O.DEFAULT_NETWORK}, event_id AS scan_id FROM (SELECT e.event_id, u.url FROM events e "
-       "JOIN url_corpus u ON u.page_id = e.event_id % (SELECT count(*) FROM pages))), " + O.verdicts("src", "scan_id")
-       + " SELECT scan_id, url, verdict, round(confidence, 9) AS confidence FROM judged")
+       "JOIN url_corpus u ON u.page_id = e.event_id % (SELECT count(*) FROM pages))), " + O.verdicts("src", "scan_id") + ", " + _KNOWN + """
+ SELECT j.scan_id, j.url, CASE WHEN f.url IS NOT NULL THEN 'phishing' ELSE j.verdict END AS verdict,
+  round(CASE WHEN f.url IS NOT NULL THEN 0.98 ELSE j.confidence END, 9) AS confidence, f.sources FROM judged j LEFT JOIN feed_said f ON f.url = j.url""")
+def _(t):
+    scored = streams.st_score(_stream(t, "scan_history").select("scan_id", "url"), known=listed_urls(t))
+    landed = _landed(t, "score", scored.select("scan_id", "url", "verdict", F.round("confidence", 9).alias("confidence"), "sources"))
+    return landed.withColumn("sources", F.array_join("sources", ","))
+
+
+@query("st_score_model")
 def _(t):
-    scored = streams.st_score(_stream(t, "scan_history").select("scan_id", "url"))
-    return _landed(t, "score", scored.select("scan_id", "url", "verdict", F.round("confidence", 9).alias("confidence")))
+    model, (chars, tokens, documents) = best_model(t)
+    vectors = text.feat_assemble(_stream(t, "scan_history").select("scan_id", "url"), chars, tokens, CHARS, TOKENS, documents)
+    scored = streams.st_score(vectors, model, listed_urls(t))
+    return _landed(t, "score-model", scored.select("scan_id", "url", "verdict", "confidence", "prediction_source", "ml_probability"))

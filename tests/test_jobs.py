@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from baitline.operators import explain, features as feat, history, match, normalize as norm, text, training, verdict
 from baitline.plans.queries_jobs import assembled
 from baitline.sources import readers, writers
+from baitline.streaming import streams
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -251,7 +252,7 @@ def test_entry_runs(spark):
 
 
 def test_registered_models_are_trained_at_full_size(tables, monkeypatch):
-    from baitline.plans import registry
+    from baitline.plans import queries_jobs, registry
 
     class Seen(Exception):
         pass
@@ -260,6 +261,7 @@ def test_registered_models_are_trained_at_full_size(tables, monkeypatch):
         raise Seen(vectors.first().vector.size, names, sizes)
 
     registry.queries()
+    monkeypatch.setattr(queries_jobs, "_TRAINED", {})
     monkeypatch.setattr(training, "train_models", seen)
     for key in ("train_models", "train_importance", "score_model", "analyze_urls_with_model"):
         with pytest.raises(Seen) as caught:
@@ -267,6 +269,87 @@ def test_registered_models_are_trained_at_full_size(tables, monkeypatch):
         assert caught.value.args == (10_000 + 2_000 + 26, None, {})
 
 
+def test_vectors_equal_long_rows(spark):
+    """The Arrow pass against the exploded form, with odd characters, blanks and vocabularies that end in each other."""
+    urls = ["http://aa.aa/aa", "b", "x y  zz\tq", "http://Aa.com/aaaa?b=aa", "https://例え.jp/ä\U0001f600", "", " ", "http://new.example/unseen", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id BIGINT, url STRING").repartition(3)
+    known = df.filter("page_id < 7")
+    for chars, tokens in ((10_000, 2_000), (40, 5), (1, 1)):
+        c = text.numbered(text.feat_char_ngrams(known, chars), chars)
+        w = text.numbered(text.feat_token_terms(known, tokens), tokens)
+        got = text.feat_assemble(df, c, w, chars, tokens, documents=7)
+        assert got.count() == len(urls)
+        rows = {(r.page_id, r.entry): r.weight for r in text.vector_entries(got, "page_id").filter(f"entry < {chars + tokens}").collect()}
+        want = {}
+        for kind, vocabulary, first in (("char", c, 0), ("token", w, chars)):
+            for r in text.feat_tfidf(df.filter("url IS NOT NULL"), vocabulary, kind, documents=7).join(vocabulary, "term").collect():
+                want[r.page_id, first + r.place] = r.weight
+        assert rows.keys() == want.keys() and all(rows[k] == pytest.approx(want[k]) for k in want) and len(want) > 3
+    with pytest.raises(ValueError):
+        text.vectorizer("char", c, text.MOST_TERMS + 1, 7)
+
+
+def _small(rows, seed=42, **sizes):
+    from pyspark.ml.classification import LogisticRegression
+
+    return {"logistic_regression": LogisticRegression(featuresCol="vector", labelCol="label", maxIter=10, regParam=0.1)}
+
+
+def test_models_are_stored_and_score_streams(spark, tables, tmp_path, monkeypatch):
+    """A stored logistic model: its score by SQL over long rows, and the same on a stream as on a table."""
+    monkeypatch.setattr(training, "classifiers", _small)
+    samples = training.train_split(tables.distinct_samples)
+    train = samples.filter("split = 'train'")
+    chars, tokens = text.numbered(text.feat_char_ngrams(train, 300), 300), text.numbered(text.feat_token_terms(train, 60), 60)
+    n = train.count()
+    vectors = text.feat_assemble(samples, chars, tokens, 300, 60, n)
+    models, _ = training.train_models(vectors)
+    training.save_models(models, chars, tokens, n, str(tmp_path / "m"))
+    model, known = training.load_model(spark, "logistic_regression", str(tmp_path / "m"))
+    assert known[2] == n
+    urls = tables.url_corpus.select("page_id", "url")
+    batch = text.feat_assemble(urls, *known[:2], 300, 60, n)
+    weights = spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.coefficients.toArray())], "entry INT, coefficient DOUBLE")
+    by_sql = text.vector_entries(batch, "page_id").join(weights, "entry").groupBy("page_id").agg(
+        (1 / (1 + F.exp(-(F.sum(F.col("weight") * F.col("coefficient")) + F.lit(model.intercept))))).alias("p"))
+    scored = verdict.score_model(batch, model).join(by_sql, "page_id")
+    assert scored.count() == urls.count()
+    assert scored.filter("abs(p - ml_probability) > 1e-9").count() == 0
+
+    urls.write.parquet(str(tmp_path / "in"))
+    stream = text.feat_assemble(spark.readStream.schema(urls.schema).parquet(str(tmp_path / "in")), *known[:2], 300, 60, n)
+    listed = urls.limit(3).selectExpr(
+        "url", "true AS is_known_threat", "array('urlhaus') AS sources", "'malware' AS threat_type", "'phishing' AS verdict", "0.98D AS confidence",
+        "array('known_threat:urlhaus') AS matched_rules").distinct()
+    columns = ["page_id", "url", "verdict", "confidence", "prediction_source"]
+    streams.run_available(streams.st_score(stream, model, listed).select(*columns), str(tmp_path / "out"), str(tmp_path / "check"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = verdict.analyze_urls(batch, model=model, known=listed).select(*columns)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert got.filter("prediction_source = 'threat_feed'").count() >= 3
+
+
+def test_models_of_a_data_set_are_fitted_once(spark, tables, monkeypatch):
+    from baitline.plans import queries_jobs as Q
+
+    fits = []
+
+    def small(vectors, names=None, seed=42, **sizes):
+        fits.append(1)
+        return fit(vectors, names, seed)
+
+    fit = training.train_models
+    monkeypatch.setattr(training, "train_models", small)
+    monkeypatch.setattr(training, "classifiers", _small)
+    monkeypatch.setattr(Q, "_TRAINED", {})
+    monkeypatch.setattr(Q, "CHARS", 200)
+    monkeypatch.setattr(Q, "TOKENS", 50)
+    Q.best_model(tables)
+    model, vectors = Q._scoring(tables)
+    seen = spark.read.parquet(f"{Q.trained(tables)}/trained-on")
+    assert len(fits) == 1 and vectors.join(seen, "url").count() == 0 and vectors.count() > 0
+
+
 def test_importances_are_those_of_the_last_block():
     from types import SimpleNamespace
 
