@@ -189,6 +189,7 @@ def identify(docs: DataFrame, coder: Coder | None, id_col: str = "doc_id", text_
 def keep_identified(docs: DataFrame, coder: Coder | None, text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, columns unchanged, whose text gets a language; ``und`` goes.
 
+    Where no language could be learned (no labels), rows with a letter stay.
     Decided row by row where the row lies, so nothing is shuffled and rows
     without an id, or repeating one, need no rule of their own.
     """
@@ -199,7 +200,7 @@ def keep_identified(docs: DataFrame, coder: Coder | None, text_col: str = "text"
     def choose(batches):
         for batch in batches:
             letters = batch.column(letters_col).to_numpy(zero_copy_only=False)
-            lang = np.full(len(letters), "und", object)
+            lang = np.where(letters, "", "und").astype(object)
             if coder is not None and len(lang):
                 best = decode(coder, _margins(coder, batch.column(own_col)))[0]
                 lang[letters] = np.array(coder.languages, object)[best][letters]

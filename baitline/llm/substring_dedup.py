@@ -9,13 +9,15 @@ to one shard, so every shard is searched once and for its own windows only:
    Only segments whose anchor occurs in two documents or more go on.
 2. Shards.  Equal segments are folded; the distinct ones go to shards by their
    anchor.  An anchor of over ``CROWD`` distinct segments is spread over
-   several shards, whose windows are then reconciled by their hashes.
+   several shards, whose windows are then reconciled by their digests.
 3. Search.  A shard's task builds a compressed FM-index of its segments and
    streams them through backward search; for each window the interval names
    the documents that have it, and so the least id.
 4. Removal.  Runs of matched windows return to their documents.
 
-Word identity is that of 64-bit hashes.
+Hashes only bring candidates together.  Segments and windows are the same when
+the 128-bit BLAKE2 digests of their words' bytes are, and the index of a shard
+numbers words by their bytes.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
 from .store import stored
-from .words import blocks, bounds, hashes, mix, rows_of, shingles
+from .words import blocks, bounds, hashes, rows_of, shingles
 
 WINDOW, ANCHOR = 50, 10
 #: Distinct segments of one anchor in one shard.
 CROWD = 2000
 #: Words that a shard holds on average.
 SHARD = 600_000
+#: Words below which a shard is not cut further to give every task one.
+LEAST_SHARD = 50_000
 _U = np.uint64
 _NO_ID = (1 << 63) - 1
 
@@ -49,21 +53,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _doubled(words: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of 32 words."""
-    for by, factor in ((1, 3), (2, 5), (4, 7), (8, 11), (16, 13)):
-        words = mix(words[:-by] * _U(factor) + words[by:]) if len(words) > by else words[:0]
-    return words
-
-
-def _window_hashes(words: np.ndarray) -> np.ndarray:
-    long = _doubled(words)
-    gap = WINDOW - 32
-    return mix(long[:-gap] * _U(17) + long[gap:]) if len(long) > gap else long[:0]
+def _digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
 
 
 def segments(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row, first window within it, number of windows, anchor and hash of every segment of a block."""
+    """Row, first window within it, number of windows, anchor and first word of every segment of a block."""
     n = len(words) - WINDOW + 1
     if n <= 0:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
@@ -84,13 +79,9 @@ def segments(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     starts = np.flatnonzero(fresh)
     ends = np.flatnonzero(inside & np.append(fresh[1:] | ~inside[1:], True)) + 1
     sizes = ends - starts
-    words_in = sizes + WINDOW - 1
-    long = _doubled(words)
-    last = starts + words_in - 32
-    sign = mix((mix(long[starts] * _U(19) + long[np.minimum(starts + 32, last)]) * _U(23) + long[last]) + words_in.astype(_U))
     row = rows[starts]
     anchor = grams[place[starts].astype(np.int64)] & ~_U(63)
-    return row, starts - counts[row], sizes, anchor.view(np.int64), sign.view(np.int64)
+    return row, starts - counts[row], sizes, anchor.view(np.int64), starts
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
@@ -101,14 +92,24 @@ def _occurrences(rows: DataFrame) -> DataFrame:
             order, body = (batch.column(c).to_numpy() for c in ("ord", "body"))
             for first, _, data, offsets in blocks(batch.column("text")):
                 starts, ends, counts = bounds(data, offsets)
-                row, start, n, anchor, sign = segments(hashes(data, starts, ends), counts)
+                row, start, n, anchor, word = segments(hashes(data, starts, ends), counts)
+                # where words stand one space apart, the text itself is the words joined by one space
+                odd = np.zeros(len(starts) + 1, np.int64)
+                np.cumsum((starts[1:] - ends[:-1] != 1) | (data[ends[:-1]] != 32), out=odd[2:]) if len(starts) > 1 else None
+                last = word + n + WINDOW - 2
+                plain = odd[last + 1] == odd[word + 1]
+                raw = data.tobytes()
+                sign = [
+                    _digest(raw[a:b] if same else b" ".join(raw[a:b].split()))
+                    for a, b, same in zip(starts[word].tolist(), ends[last].tolist(), plain.tolist())
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(order[first + row]), pa.array(body[first + row]), pa.array(start.astype(np.int32)),
-                     pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(sign)],
+                     pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(sign, pa.binary())],
                     ["ord", "body", "start", "n", "anchor", "segment"],
                 )
 
-    return rows.mapInArrow(cut, "ord long, body long, start int, n int, anchor long, segment long")
+    return rows.mapInArrow(cut, "ord long, body long, start int, n int, anchor long, segment binary")
 
 
 def _extracted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -130,10 +131,10 @@ def _extracted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                         text = data[starts[low] : ends[low + s["n"] + WINDOW - 2]].tobytes()
                         out.append((order[first + row], s["n"], *(s[c] for c in kept), text))
             columns = list(zip(*out)) if out else [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["first", "n", *kept, "text"])
 
-    kind = "first long, n int, anchor long, segment long, shard int, spread boolean, text binary"
+    kind = "first long, n int, anchor long, segment binary, shard int, spread boolean, text binary"
     return once.join(lists, ["ord", "body"]).select("ord", "text", "some").mapInArrow(cut, kind)
 
 
@@ -144,11 +145,11 @@ def _search(batches):
     def finish():
         table = pa.Table.from_batches(held)
         first = table.column("first").to_numpy()
-        words = []
-        for _, _, data, offsets in blocks(table.column("text").combine_chunks()):
-            starts, ends, _ = bounds(data, offsets)
-            words.append(hashes(data, starts, ends))
-        words, sizes = np.concatenate(words), table.column("n").to_numpy().astype(np.int64) + WINDOW - 1
+        number: dict[bytes, int] = {}
+        named = number.setdefault
+        texts = [text.split() for text in table.column("text").to_pylist()]
+        sizes = table.column("n").to_numpy().astype(np.int64) + WINDOW - 1
+        words = np.fromiter((named(w, len(number)) for text in texts for w in text), np.int64, int(sizes.sum()))
         index = FMIndex(words, sizes, WINDOW)
         sequence, start, found = index.windows()
         least = index.least(first)[found]
@@ -164,11 +165,12 @@ def _search(batches):
         for s, a, n in zip(sequence[heads].tolist(), start[heads].tolist(), length.tolist()):
             runs[s].append({"at": a, "n": n})
         spread = table.column("spread").to_numpy()
-        ends = np.cumsum(sizes)
-        signs = [_window_hashes(words[e - z : e]).view(np.int64).tolist() if x else [] for e, z, x in zip(ends, sizes, spread)]
+        signs = [
+            [_digest(b" ".join(text[i : i + WINDOW])) for i in range(len(text) - WINDOW + 1)] if x else [] for text, x in zip(texts, spread)
+        ]
         return pa.RecordBatch.from_arrays(
             [table.column("anchor").combine_chunks(), table.column("segment").combine_chunks(), table.column("first").combine_chunks(),
-             pa.array(runs, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))), pa.array(signs, pa.list_(pa.int64()))],
+             pa.array(runs, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))), pa.array(signs, pa.list_(pa.binary()))],
             ["anchor", "segment", "first", "runs", "windows"],
         )
 
@@ -200,14 +202,15 @@ def matches(rows: DataFrame, crowd: int = CROWD, shard_words: int = SHARD) -> Da
     ).select("anchor", "segment", "at.*")
     distinct = stored(distinct, "substring-distinct")
     words = distinct.agg(F.coalesce(F.sum(F.col("n") + WINDOW - 1), F.lit(0))).first()[0]
-    shards = max(1, -(-words // shard_words))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, -(-words // shard_words), min(parts, words // LEAST_SHARD))
     crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > crowd)
-    salt = F.when(F.col("m").isNull(), 0).otherwise(F.pmod(F.col("segment"), F.ceil(F.col("m") / crowd)))
+    salt = F.when(F.col("m").isNull(), 0).otherwise(F.pmod(F.xxhash64("segment"), F.ceil(F.col("m") / crowd)))
     placed = distinct.join(crowded, "anchor", "left").withColumns({
         "shard": F.pmod(F.xxhash64("anchor", salt), F.lit(shards)).cast("int"), "spread": F.col("m").isNotNull(),
     }).drop("m")
-    kind = "anchor long, segment long, first long, runs array<struct<at:int,n:int>>, windows array<long>"
-    dealt = _extracted(rows, placed).repartition(shards, "shard").sortWithinPartitions("shard")
+    kind = "anchor long, segment binary, first long, runs array<struct<at:int,n:int>>, windows array<binary>"
+    dealt = _extracted(rows, placed).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     found = stored(dealt.mapInArrow(_search, kind), "substring-runs")
     # windows of anchors that lie in several shards
     apart = found.where(F.size("windows") > 0).select("anchor", "segment", "first", F.posexplode("windows").alias("at", "sign"))
@@ -229,7 +232,7 @@ def remove_repeats(
 ) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256; with ``texts`` also the kept words.
 
-    A null text has no words.  A row without an id counts as later than all
+    Ids are integers.  A null text has no words.  A row without an id counts as later than all
     others: it loses what any of them has, and no other loses to it.  Rows that
     repeat an id are one document's, none earlier than the other.  Other
     columns are not read.

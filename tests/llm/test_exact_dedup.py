@@ -28,7 +28,7 @@ ROWS = [
 
 def test_against_brute_force(spark):
     df = spark.createDataFrame([(i, t, "k", 1) for i, t in ROWS], SCHEMA)
-    got = sorted(map(tuple, exact_dedup(df, capacity=2, max_depth=6).collect()), key=str)
+    got = sorted(map(tuple, exact_dedup(df, capacity=2).collect()), key=str)
     assert got == sorted(brute(ROWS), key=str)
 
 
@@ -38,7 +38,7 @@ def test_empty(spark):
 
 def test_directory_doubles_until_buckets_fit(spark):
     df = spark.range(3000).selectExpr("id AS doc_id", "concat('t', id % 1000) AS text")
-    slots, index = build_index(df, capacity=33, max_depth=8)
+    slots, index, max_depth = build_index(df, capacity=33)
     rows = index.collect()
     assert len(rows) == 1000 and sum(r["size"] for r in rows) == 3000
     loads = {}
@@ -48,7 +48,15 @@ def test_directory_doubles_until_buckets_fit(spark):
     # buckets cut the key space: none is a prefix of another
     for d, b in loads:
         assert not any((e, b >> (d - e)) in loads for e in range(d))
-    assert slots.count() <= 1 << 8
+    assert slots.count() <= 1 << max_depth and max_depth == 8
+
+
+def test_ids_need_an_order_only(spark):
+    least = -(1 << 63)
+    df = spark.createDataFrame([(5, "a"), (least, "a "), (least + 1, " a")], "doc_id long, text string")
+    assert {r.doc_id: r.keep_id for r in exact_dedup(df).collect()} == {5: least, least: least, least + 1: least}
+    df = spark.createDataFrame([("b", "x"), ("", "x"), ("c", "y"), (None, "y")], "doc_id string, text string")
+    assert {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup(df).collect()} == {("b", "", False), ("", "", True), ("c", "c", True), (None, "c", False)}
 
 
 @pytest.mark.parametrize("copies", [400])

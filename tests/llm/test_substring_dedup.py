@@ -61,6 +61,26 @@ def test_against_brute_force(spark, crowd, shard):
     assert got == want and sum(r[2] for r in want) > 2000
 
 
+def test_words_of_equal_hash_are_told_apart(spark):
+    """Thue-Morse words over two letters agree in any polynomial hash modulo a power of two."""
+    bits = [bin(k).count("1") % 2 for k in range(1 << 11)]
+    one, two = ("".join("ab"[b ^ x] for b in bits) for x in (0, 1))
+    head, tail = [f"h{k}" for k in range(30)], [f"t{k}" for k in range(30)]
+    rows = [(1, " ".join([*head, one, *tail])), (2, " ".join([*head, two, *tail])), (3, "\t".join([*head, two, *tail])), (4, "x " * 60 + one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowd in (2000, 1):
+        assert sorted(map(tuple, remove_repeats(df, crowd=crowd).collect())) == sorted(brute(rows))
+    assert {r.doc_id: r.n_removed for r in remove_repeats(df).collect()} == {1: 0, 2: 0, 3: 61, 4: 0}
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(4)
+    long = [f"w{k}" for k in rng.integers(0, 50_000, 300_000)]
+    rows = [(1, " ".join(long)), (2, "head " + " ".join(long[100_000:200_000]) + " tail"), (3, "z" * 400_000 + " " + " ".join(long[:60]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in remove_repeats(df).collect()} == {1: 0, 2: 100_000, 3: 60}
+
+
 def test_texts_and_empty(spark):
     text = " ".join(f"t{k}" for k in range(60))
     df = spark.createDataFrame([(1, text), (2, "head " + text + " tail")], "doc_id long, text string")
