@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,28 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def row_keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a private key of each row, and the key's name.
+
+    Keys order rows by id, rows without one last, so that an operator that runs
+    on the key decides as on the id, but for each row by itself.  The rest of a
+    key is the row's place in its file; a table that is not read from files is
+    stored first.
+    """
+    name = fresh("_row", docs.columns)
+    try:
+        place = docs.metadataColumn("_metadata")
+        keyed = docs.withColumn(name, _key(id_col, place["file_path"], place["row_index"]))
+    except AnalysisException:
+        keyed = stored(docs.withColumn(name, _key(id_col, F.lit(""), F.monotonically_increasing_id())), "rows")
+    return keyed, name
+
+
+def _key(id_col: str, file: Column, row: Column) -> Column:
+    known = F.col(id_col)
+    return F.struct(known.isNull().alias("unknown"), known.alias("id"), file.alias("file"), row.alias("row"))
+
+
 def fold(id_col: str, folds: int, held: int) -> Column:
     """Whether a row's id falls into the held-out fold; a null id never does."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held, F.lit(False))
