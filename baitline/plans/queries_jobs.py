@@ -246,7 +246,7 @@ def _(t):
 
 @query("st_circuit", BREAKER_SQL)
 def _(t):
-    return _landed(t, "circuit", streams.st_circuit(_stream(t, "feed_attempts"))).withColumn(
+    return _landed(t, "circuit", streams.st_circuit(_stream(t, "feed_attempts"), delay_s=0)).withColumn(
         "attempted_at", F.col("attempted_at").cast("timestamp_ntz"))
 
 
@@ -258,7 +258,7 @@ WITH RECURSIVE a AS (SELECT scan_id, url, created_at, row_number() OVER (PARTITI
    a.created_at >= b.last + INTERVAL 300 SECOND FROM b JOIN a ON a.url = b.url AND a.i = b.i + 1)
 SELECT scan_id, url, created_at FROM b WHERE passed""")
 def _(t):
-    return _landed(t, "recheck", streams.st_recheck_ttl(_stream(t, "scan_history").select("scan_id", "url", "created_at")))
+    return _landed(t, "recheck", streams.st_recheck_ttl(_stream(t, "scan_history").select("scan_id", "url", "created_at"), delay_s=0))
 
 
 def listed_urls(t: Tables) -> DataFrame:

@@ -196,7 +196,7 @@ def test_recheck_lets_through_after_the_ttl(spark, tmp_path):
     rows = [(i, "a" if i % 3 else "b", start + timedelta(seconds=40 * i)) for i in range(60)]
     spark.createDataFrame(rows, "scan_id BIGINT, url STRING, created_at TIMESTAMP_NTZ").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("scan_id BIGINT, url STRING, created_at TIMESTAMP_NTZ").parquet(f"{tmp_path}/in")
-    streams.run_available(streams.st_recheck_ttl(stream, 300), f"{tmp_path}/out", f"{tmp_path}/state")
+    streams.run_available(streams.st_recheck_ttl(stream, 300, 0), f"{tmp_path}/out", f"{tmp_path}/state")
     want, last = set(), {}
     for i, url, at in rows:
         if url not in last or at >= last[url] + timedelta(seconds=300):
