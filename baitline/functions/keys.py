@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.session import scratch_path
+
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int = 64) -> DataFrame:
     """The first ``n`` rows of each key.
@@ -72,68 +74,90 @@ def mark_smallest(
 
 def latest_before(
     left: DataFrame,
-    asked: DataFrame,
     owner: str,
     time: str,
     observations: dict[str, tuple[list[str], DataFrame]],
     slice_by: str = "HOUR",
+    per_slice: int = 500_000,
 ) -> DataFrame:
     """As-of join: per kind, the last observation at or before each row's time.
 
     ``observations`` maps an output column to (levels, table): the columns that,
     with ``owner``, an observation belongs to, and a table of (owner, levels...,
     observed_at, value struct).  An owner holds all rows of its levels, so one
-    exchange by (owner, time slice) serves every kind; each kind is then a
-    window within it.  A null owner or level has no observations.  ``asked`` has
-    at least the owners, levels and times of ``left``; only these are read of it.
-
-    Rows and observations are cut into time slices per owner; each slice starts
-    with the last values of the slices before it.  A hot owner is thus spread
-    over its slices, and no pair of rows is ever built.  Pick ``slice_by`` so
-    that the busiest owner's slice fits a task; the result does not depend on it.
-    Of observations with equal times the greatest value counts.
+    exchange by (owner, segment) serves every kind; each kind is then a window
+    within it.  A null owner or level has no observations.
+
+    A segmented scan: rows and observations of an owner are cut into segments of
+    time, each segment starts with the last values of the segments before it (a
+    running ``last`` over one row per segment), and no pair of rows is ever
+    built.  Segments are calendar slices; a slice that holds over ``per_slice``
+    rows of an owner is cut further, at quantiles of its rows' times, so a busy
+    owner is spread however its rows lie.  The result depends on neither.  Of
+    observations with equal times the greatest value counts.
+
+    ``left`` is read once and stored; counts and segments come from its keys.
     """
+    path = scratch_path(left.sparkSession, "asof-rows")
+    left.write.parquet(path)
+    left = left.sparkSession.read.schema(left.schema).parquet(path)
+
     def cut(c: str) -> Column:
         return F.date_trunc(slice_by, F.col(c)).cast("timestamp_ntz")
 
+    def micros(c: str) -> Column:
+        return F.unix_micros(F.col(c).cast("timestamp"))
+
+    keyed = left.filter(F.col(owner).isNotNull()).select(F.col(owner).alias("_key"), cut(time).alias("_slice"), F.col(time).alias("_time"))
+    cuts = _busy_cuts(keyed.withColumn("_micros", micros("_time")), per_slice)
+
+    def segmented(df: DataFrame) -> DataFrame:
+        """Add ``_sub``, the place of the row's segment within its slice."""
+        if cuts is None:
+            return df.withColumn("_sub", F.lit(0))
+        after = F.size(F.filter("_cuts", lambda c: c < micros("_time")))
+        return df.join(cuts, ["_key", "_slice"], "left").withColumn("_sub", F.when(F.col("_cuts").isNull(), 0).otherwise(after)).drop("_cuts")
+
     levels = list(dict.fromkeys(c for cols, _ in observations.values() for c in cols))
     held = {c: f"_level_{c}" for c in levels}
-    finest = (
-        asked.filter(F.col(owner).isNotNull())
-        .select(F.col(owner).alias("_key"), cut(time).alias("_slice"), *[F.col(c).alias(held[c]) for c in levels]).distinct()
+    asked = left.filter(F.col(owner).isNotNull()).select(
+        F.col(owner).alias("_key"), F.col(time).alias("_time"), cut(time).alias("_slice"), *[F.col(c).alias(held[c]) for c in levels]
     )
+    finest = segmented(asked).drop("_time").distinct()
+    segment = ["_slice", "_sub"]
     merged: DataFrame | None = None
     for out, (cols, table) in observations.items():
         own = [held[c] for c in cols]
         present = F.col("owner").isNotNull()
         for c in cols:
             present = present & F.col(c).isNotNull()
-        seen = table.filter(present).select(
+        seen = segmented(table.filter(present).select(
             F.col("owner").alias("_key"), F.col("observed_at").alias("_time"), cut("observed_at").alias("_slice"),
             F.lit(1).alias("_kind"), *[F.col(c).alias(held[c]) for c in cols], F.col("value").alias(out),
-        )
-        newest = seen.groupBy("_key", "_slice", *own).agg(F.max(F.struct("_time", F.col(out).alias("value"))).alias(out))
-        slices = finest.select("_key", "_slice", *own).distinct().withColumn("_asked", F.lit(True))
-        earlier = Window.partitionBy("_key", *own).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        ))
+        newest = seen.groupBy("_key", *segment, *own).agg(F.max(F.struct("_time", F.col(out).alias("value"))).alias(out))
+        slices = finest.select("_key", *segment, *own).distinct().withColumn("_asked", F.lit(True))
+        earlier = Window.partitionBy("_key", *own).orderBy(*segment).rowsBetween(Window.unboundedPreceding, -1)
         carried = (
-            slices.join(newest, ["_key", "_slice", *own], "full_outer")
-            .select("_key", "_slice", *own, "_asked", F.last(f"{out}.value", ignorenulls=True).over(earlier).alias(out))
+            slices.join(newest, ["_key", *segment, *own], "full_outer")
+            .select("_key", *segment, *own, "_asked", F.last(f"{out}.value", ignorenulls=True).over(earlier).alias(out))
             .filter(F.col("_asked") & F.col(out).isNotNull())
-            .select("_key", F.col("_slice").alias("_time"), "_slice", F.lit(0).alias("_kind"), *own, out)
+            .select("_key", F.col("_slice").alias("_time"), *segment, F.lit(0).alias("_kind"), *own, out)
         )
         part = seen.unionByName(carried)
         merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
     # rows without an owner meet no observation; spread them
     alone = F.concat(F.lit("\u0001"), F.xxhash64(*[F.col(c) for c in left.columns if _hashable(left, c)]).cast("string"))
-    rows = left.select(
+    rows = segmented(left.select(
         F.coalesce(F.col(owner), alone).alias("_key"), F.col(time).alias("_time"), cut(time).alias("_slice"),
         F.lit(2).alias("_kind"), *[F.col(c).alias(held[c]) for c in levels], F.struct(*left.columns).alias("_row"),
-    )
+    ))
     merged = merged.unionByName(rows, allowMissingColumns=True)
-    filled = merged.repartition("_key", "_slice")
+    filled = merged.repartition("_key", *segment)
     for out, (cols, _) in observations.items():
+        # what is carried into a segment comes before all that lies in it
         running = (
-            Window.partitionBy("_key", "_slice", *[held[c] for c in cols]).orderBy("_time", "_kind", out)
+            Window.partitionBy("_key", *segment, *[held[c] for c in cols]).orderBy(F.col("_kind") > 0, "_time", "_kind", out)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         known = F.lit(True)
@@ -141,3 +165,15 @@ def latest_before(
             known = known & F.col(held[c]).isNotNull()
         filled = filled.withColumn(f"_last_{out}", F.when(known, F.last(out, ignorenulls=True).over(running)))
     return filled.filter(F.col("_kind") == 2).select("_row.*", *[F.col(f"_last_{out}").alias(out) for out in observations])
+
+
+def _busy_cuts(keyed: DataFrame, per_slice: int) -> DataFrame | None:
+    """Times (``_cuts``) at which the slices of over ``per_slice`` rows are cut; None where there is no such slice."""
+    busy = keyed.groupBy("_key", "_slice").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > per_slice)
+    most = busy.agg(F.max("_n")).first()[0]
+    if most is None:
+        return None
+    pieces = -(-most // per_slice)
+    fractions = F.expr("array(" + ", ".join(f"{i / pieces!r}D" for i in range(1, pieces)) + ")")
+    times = keyed.join(busy, ["_key", "_slice"], "left_semi").groupBy("_key", "_slice")
+    return times.agg(F.array_distinct(F.percentile_approx("_micros", fractions, F.lit(max(10_000, 20 * pieces)))).alias("_cuts"))

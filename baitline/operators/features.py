@@ -297,6 +297,7 @@ def join_asof_enrich(
     time: str = "created_at",
     slice_by: str = "HOUR",
     suffixes: DataFrame | None = None,
+    per_slice: int = 500_000,
 ) -> DataFrame:
     """Domain age, certificate and redirects as last observed when scanned.
 
@@ -326,7 +327,7 @@ def join_asof_enrich(
         "_https_host", F.when(F.lower("url").startswith("https://"), F.col("_host"))
     ).drop("_host")
     rows = latest_before(
-        base, base, "owner", time, {"_r": ([], regs), "_c": (["_https_host"], certs), "_p": (["url"], probes)}, slice_by
+        base, "owner", time, {"_r": ([], regs), "_c": (["_https_host"], certs), "_p": (["url"], probes)}, slice_by, per_slice
     )
     age = F.datediff(F.col(time), F.col("_r.registered_at"))
     return rows.select(

@@ -23,20 +23,52 @@ def test_top_per_key_with_a_hot_key(spark):
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("slice_by", ["HOUR", "DAY", "MONTH"])
-def test_latest_before_does_not_depend_on_slices(spark, slice_by):
+@pytest.mark.parametrize("slice_by,per_slice", [("HOUR", 500_000), ("DAY", 20), ("MONTH", 7)])
+def test_latest_before_does_not_depend_on_slices(spark, slice_by, per_slice):
     rng = random.Random(5)
     moment = lambda: START + timedelta(minutes=rng.randint(0, 6000))
     left = [(i, rng.choice(["hot", "hot", "a", "b", None]), moment()) for i in range(400)]
     obs = [(rng.choice(["hot", "a", "c"]), moment(), rng.randint(0, 99)) for _ in range(150)]
     rows = spark.createDataFrame(left, "id INT, k STRING, at TIMESTAMP_NTZ")
     table = spark.createDataFrame(obs, "key STRING, observed_at TIMESTAMP_NTZ, n INT").select(F.col("key").alias("owner"), "observed_at", F.struct("n").alias("value"))
-    got = {r.id: r.last and r.last.n for r in latest_before(rows, rows, "k", "at", {"last": ([], table)}, slice_by).collect()}
+    got = {r.id: r.last and r.last.n for r in latest_before(rows, "k", "at", {"last": ([], table)}, slice_by, per_slice).collect()}
     for i, key, at in left:
         earlier = [(t, n) for k, t, n in obs if k == key and t <= at]
         assert got[i] == (max(earlier)[1] if earlier else None)
 
 
+def test_a_busy_hour_of_one_owner_is_spread(spark):
+    """Half of all rows in one hour of one owner: cut by counts, the source read once, the result that of a plain look-up."""
+    from baitline.functions.keys import _busy_cuts
+
+    rng = random.Random(9)
+    left = [(i, "hot", START + timedelta(seconds=rng.randrange(3600))) for i in range(1000)]
+    left += [(1000 + i, f"k{i % 50}", START + timedelta(minutes=rng.randrange(3000))) for i in range(1000)]
+    obs = [("hot", START + timedelta(seconds=rng.randrange(-5000, 3600)), rng.randrange(99)) for _ in range(300)]
+    obs += [(f"k{i % 50}", START + timedelta(minutes=rng.randrange(3000)), i) for i in range(300)]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    schema = "id INT, k STRING, at TIMESTAMP_NTZ"
+    rows = spark.createDataFrame(left, schema).mapInArrow(counted, schema)
+    table = spark.createDataFrame(obs, "owner STRING, observed_at TIMESTAMP_NTZ, n INT").select("owner", "observed_at", F.struct("n").alias("value"))
+    got = {r.id: r.last and r.last.n for r in latest_before(rows, "k", "at", {"last": ([], table)}, per_slice=50).collect()}
+    for i, key, at in left:
+        earlier = [(t, n) for k, t, n in obs if k == key and t <= at]
+        assert got[i] == (max(earlier)[1] if earlier else None)
+    assert reads.value == len(left)
+
+    keyed = spark.createDataFrame(left, schema).selectExpr("k AS _key", "date_trunc('HOUR', at) AS _slice", "unix_micros(CAST(at AS TIMESTAMP)) AS _micros")
+    cuts = _busy_cuts(keyed, 50)
+    assert cuts.count() == 1
+    sizes = keyed.join(cuts, ["_key", "_slice"]).groupBy(F.size(F.filter("_cuts", lambda c: c < F.col("_micros")))).count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) <= 100
+
+
 def test_mark_smallest_is_exact(spark):
     rows = [(i % 3, f"u{i}") for i in range(1000)] + [(0, f"v{i}") for i in range(500)]
     df = spark.createDataFrame(rows, "g INT, u STRING")
