@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
 from ..operators import normalize as norm
-from ..sources import readers, writers
+from ..sources import readers, upsert, writers
 from .registry import AS_OF, query
 from .session import scratch_path
 from .views import Tables
@@ -122,26 +122,28 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
+def _merged_by_halves(t, name: str, rows, time: str, keys: list[str], merge):
+    """Both halves of a table upserted, the second one twice, and the state read back."""
+    path = _path(t, name)
+    half = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    for batch, part in ((0, F.col(time) < half), (1, F.col(time) >= half), (1, F.col(time) >= half)):
+        upsert.upsert(path, rows.filter(part), keys, merge, batch)
+    return upsert.read_merged(t.spark, path, rows.schema)
+
+
 @query("snk_indicators", """
 WITH m AS (SELECT url, source, min(first_seen) AS first_seen, max(last_seen) AS last_seen,
   arg_max((id, threat_type, target_brand, confidence), (last_seen, id)) AS latest FROM threat_indicators_raw GROUP BY url, source)
 SELECT url, source, first_seen, last_seen, latest[1] AS id, latest[2] AS threat_type, latest[3] AS target_brand, latest[4] AS confidence FROM m""")
 def _(t):
-    path = _path(t, "indicators")
     rows = t.threat_indicators_raw.drop("tags_text")
-    half = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
-    writers.snk_indicators(rows.filter(F.col("last_seen") < half), rows.filter(F.col("last_seen") >= half), path)
-    return t.spark.read.parquet(path)
+    return _merged_by_halves(t, "indicators", rows, "last_seen", ["url", "source"], writers.snk_indicators)
 
 
 @query("snk_cache", """
 SELECT * FROM cache_entries QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC, entry_id DESC) = 1""")
 def _(t):
-    path = _path(t, "cache")
-    half = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
-    writers.snk_cache(
-        t.cache_entries.filter(F.col("created_at") < half), t.cache_entries.filter(F.col("created_at") >= half), path)
-    return t.spark.read.parquet(path)
+    return _merged_by_halves(t, "cache", t.cache_entries, "created_at", ["cache_key"], writers.snk_cache)
 
 
 @query("snk_export_json", "SELECT scan_id, url, verdict, confidence, severity FROM scan_history")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
 from ..operators import normalize as norm, stats, text, training, verdict
+from ..sources import upsert, writers
 from ..streaming import streams
 from . import oracle_text as O
 from .queries_scans import BREAKER_SQL
@@ -216,6 +217,16 @@ def _(t):
     return _landed(t, "ingest", streams.st_ingest(raw, norm.norm_urlhaus, AS_OF, "60 days").select("url", "source"))
 
 
+@query("st_ingest_merge", """
+SELECT url, 'urlhaus' AS source, count(*) > 0 AS listed FROM urlhaus_rows WHERE url <> '' GROUP BY url""")
+def _(t):
+    raw = _stream(t, "urlhaus_rows").withColumn("tags", F.split("tags_text", ",")).drop("tags_text")
+    rows = norm.norm_urlhaus(raw, AS_OF).select("url", "source", "first_seen", "last_seen", "confidence")
+    path = scratch_path(t.spark, "merged")
+    upsert.stream_into(rows, path, scratch_path(t.spark, "merged-checkpoint"), ["url", "source"], writers.snk_indicators)
+    return upsert.read_merged(t.spark, path, rows.schema).select("url", "source", F.lit(True).alias("listed"))
+
+
 @query("st_verdict_counts", """
 SELECT date_trunc('hour', created_at) AS window_start, verdict, count(*) AS scans FROM scan_history
 GROUP BY ALL HAVING date_trunc('hour', any_value(created_at)) + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM scan_history) - INTERVAL 1 HOUR""")
