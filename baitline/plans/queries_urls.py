@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed, urls as U
-from ..operators import explain, features as feat, match, rules, stats, suffix, text, verdict
+from ..operators import explain, features as feat, lexicon, match, rules, stats, suffix, text, verdict
 from ..sources import readers
 from . import oracle_text as O
 from .queries_scans import MENTIONS
@@ -82,6 +82,24 @@ def _(t):
     return feat.join_keyword_hits(t.url_corpus, fixed.KEYWORDS_CORE + fixed.BRANDS_CORE)
 
 
+@query("join_keyword_table", """
+WITH k AS (SELECT DISTINCT lower(word) AS keyword FROM url_words WHERE word <> '')
+SELECT keyword, count(*) AS rows, count(DISTINCT url) AS urls FROM url_corpus JOIN k ON contains(lower(url), keyword) GROUP BY keyword""")
+def _(t):
+    return lexicon.join_keyword_table(t.url_corpus, t.url_words)
+
+
+@query("join_typosquat_table", "WITH " + O.parts("url_corpus") + """,
+ names AS (SELECT lower(name) AS name, min(place) AS place FROM brand_names WHERE name <> '' GROUP BY lower(name)),
+ near AS (SELECT l.label, arg_min((n.name, levenshtein(l.label, n.name)), (levenshtein(l.label, n.name), n.place, n.name)) AS best
+  FROM (SELECT DISTINCT lower(label) AS label FROM hosts WHERE label <> '') l JOIN names n ON levenshtein(l.label, n.name) <= 2
+  WHERE l.label NOT IN (SELECT name FROM names) GROUP BY l.label)
+ SELECT page_id, url, h.label, best[1] AS typosquat_target, CAST(coalesce(best[2], 0) AS INT) AS typosquat_distance
+ FROM hosts h LEFT JOIN near n ON n.label = lower(h.label)""")
+def _(t):
+    return lexicon.join_typosquat_table(t.url_corpus, t.brand_names)
+
+
 #: A rule file in small: plain, nested, wildcard, exception and international rules; ``nolist`` and others are not in it.
 RULE_LINES = [
     "// generic", "com", "net", "org", "info", "tk", "xyz  trailing words are no part of a rule", "", "// countries", "uk", "*.uk", "de", "fr", "es",

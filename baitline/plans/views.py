@@ -228,6 +228,16 @@ SELECT url, label, min(page_id) AS page_id FROM {samples} GROUP BY url, label"""
     "ranked_domains": """
 SELECT min(page_id) + 1 AS rank, split_part(split_part(url, '://', 2), '/', 1) AS domain
 FROM {pages} WHERE contains(url, '://') GROUP BY split_part(split_part(url, '://', 2), '/', 1)""",
+    # Words to look for: the first label, the host and the start of the path of every page, in mixed case.
+    "url_words": """
+SELECT split_part(domain, '.', 1) AS word FROM {ranked_domains}
+UNION SELECT domain FROM {ranked_domains}
+UNION SELECT upper(split_part(split_part(url, '://', 2), '/', 2)) FROM {pages}
+UNION SELECT substr(url, 9, 5) FROM {pages}""",
+    "brand_names": """
+SELECT split_part(domain, '.', 2) AS name, min(rank) AS place FROM {ranked_domains} GROUP BY split_part(domain, '.', 2)
+UNION ALL SELECT split_part(domain, '.', 1), min(rank) FROM {ranked_domains} GROUP BY split_part(domain, '.', 1)
+UNION ALL SELECT 'google', 0 UNION ALL SELECT 'paypal', 1 UNION ALL SELECT 'evil', 2""",
     "pasted_lines": """
 SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat('  ', url, '  ') WHEN 1 THEN concat('site', CAST(page_id AS STRING), '.com/x')
  WHEN 2 THEN concat('10.0.0.', CAST(page_id % 256 AS STRING), '/a') WHEN 3 THEN concat('not a url ', CAST(page_id AS STRING))
