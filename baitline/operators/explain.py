@@ -36,10 +36,11 @@ EXPLAINED_FEED = "%s stands in these collections of harmful links: %s. No furthe
 EXPLAINED_RULES = "%s set off %d of the checks on its features, which rates it %s."
 
 
-def explain_rules(results: DataFrame) -> DataFrame:
+def explain_rules(results: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Explanation of each analysed URL without an outside model.
 
-    Needs the output of ``analyze_urls``.  Age 0 means unknown, not young.
+    Needs the output of ``analyze_urls``; ``keep`` names columns of it to pass
+    on as ``_{name}``.  Age 0 means unknown, not young.
     """
     known = F.size(F.coalesce("sources", F.array().cast("array<string>"))) > 0
     age = F.col("domain_age_days")
@@ -61,7 +62,7 @@ def explain_rules(results: DataFrame) -> DataFrame:
     percent = _percent(F.col("confidence"))
     key = [c for c in ("page_id", "scan_id") if c in results.columns]
     return results.select(
-        *key, "url", "verdict", "confidence",
+        *key, "url", "verdict", "confidence", *[F.col(c).alias(f"_{c}") for c in keep or ()],
         F.when(known, F.format_string(SUMMARY_FEED, _listed(F.col("sources")), percent))
         .otherwise(F.format_string(SUMMARY_RULES, verdict, percent)).alias("summary"),
         F.when(known, F.format_string(EXPLAINED_FEED, F.col("url"), _listed(F.col("sources"))))

@@ -73,45 +73,52 @@ def win_feed_status(attempts: DataFrame) -> DataFrame:
 
 
 class _Slice:
-    """Attempts of one feed in one time slice, in order."""
+    """Attempts of one feed in one time slice, in order, as a table of state before to state after."""
 
     def __init__(self, times: np.ndarray, failed: np.ndarray, max_errors: int, recovery: int):
-        self.times, self.failed = times, failed
-        self.max_errors, self.recovery = max_errors, recovery
+        self.times, self.max_errors, self.recovery = times, max_errors, recovery
         n = len(times)
-        places = np.where(failed, n, np.arange(n))
-        self.next_success = np.append(np.minimum.accumulate(places[::-1])[::-1], n)
-        # State after the slice when it is entered, closed and clean, at attempt i.
-        self.after: list[tuple[int, int]] = [(0, NONE)] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            self.after[i] = self._from(i, 0)
+        place = np.arange(n)
+        streak = place - np.maximum.accumulate(np.where(failed, -1, place))
+        # Entered closed and clean at i, the breaker opens at the first full streak from i + max_errors - 1 on ...
+        full = np.flatnonzero(failed & (streak >= max_errors))
+        which = np.searchsorted(full, place + max_errors - 1)
+        opens = which < len(full)
+        opened = times[full[np.minimum(which, len(full) - 1)]] if len(full) else np.zeros(n, np.int64)
+        # ... and lets through again, clean, at the first attempt behind the recovery time.
+        again = np.where(opens, np.searchsorted(times, opened + recovery, side="right"), n)
+        last = np.where(again < n, again, place)
+        while (last[last] != last).any():  # each step doubles the openings that are passed over
+            last = last[last]
+        trailing = np.minimum(streak[-1], n - last) if failed[-1] else np.zeros(n, np.int64)
+        self.count = np.append(np.where(opens[last], max_errors, trailing), 0)
+        self.open = np.append(np.where(opens[last], opened[last], NONE), NONE)
+        self.lead = int(np.argmin(failed)) if not failed.all() else n
 
     def resume(self, open_since: int) -> int:
         """First attempt that is let through by a breaker open since then."""
         return int(np.searchsorted(self.times, open_since + self.recovery, side="right"))
 
-    def _from(self, i: int, count: int) -> tuple[int, int]:
-        success = int(self.next_success[i])
-        if count + success - i >= self.max_errors:
-            opened = int(self.times[i + self.max_errors - count - 1])
-            again = self.resume(opened)
-            return (self.max_errors, opened) if again == len(self.times) else self.after[again]
-        return (count + success - i, NONE) if success == len(self.times) else self.after[success + 1]
+    def _entered(self, count: int) -> tuple[int, int]:
+        """State after the slice when it is entered closed with some failures in a row."""
+        need = self.max_errors - count
+        if self.lead >= need:
+            opened = int(self.times[need - 1])
+            at = self.resume(opened)
+            return (self.max_errors, opened) if at == len(self.times) else (int(self.count[at]), int(self.open[at]))
+        if self.lead == len(self.times):
+            return count + self.lead, NONE
+        return int(self.count[self.lead + 1]), int(self.open[self.lead + 1])
 
     def transitions(self) -> dict:
-        closed = [self._from(0, c) for c in range(self.max_errors)]
+        closed = [self._entered(c) for c in range(self.max_errors)]
         # A breaker that is open on entry resumes at one of the first attempts.
-        until: list[int] = []
-        result: list[tuple[int, int]] = []
-        for i in range(min(self.resume(int(self.times[0])) + 1, len(self.times))):
-            if result and result[-1] == self.after[i]:
-                until[-1] = int(self.times[i])
-            else:
-                until.append(int(self.times[i]))
-                result.append(self.after[i])
+        n = min(self.resume(int(self.times[0])) + 1, len(self.times))
+        count, opened = self.count[:n], self.open[:n]
+        ends = np.flatnonzero(np.append((count[1:] != count[:-1]) | (opened[1:] != opened[:-1]), True))
         return {
             "closed_count": [c for c, _ in closed], "closed_open": [o for _, o in closed],
-            "resume_until": until, "resume_count": [c for c, _ in result], "resume_open": [o for _, o in result],
+            "resume_until": self.times[ends], "resume_count": count[ends].astype(np.int32), "resume_open": opened[ends],
             "last_time": int(self.times[-1]),
         }
 

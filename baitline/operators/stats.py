@@ -234,6 +234,26 @@ def agg_distinct_urls(indicators: DataFrame, approximate: bool = False) -> DataF
     return indicators.select("source", "url").distinct().groupBy("source").agg(F.count("*").alias("distinct_urls"))
 
 
+def url_sketches(indicators: DataFrame, log_k: int = 14, time: str = "first_seen") -> DataFrame:
+    """One sketch of the distinct URLs per day and source: day, source, sketch.
+
+    Rows are folded into sketches of a few KB within their tasks.  Stored, the
+    sketches answer for any span and set of sources (``distinct_urls_of``)
+    without the rows; new days are appended.  Null URLs are not counted.
+    """
+    day = F.to_date(time).alias("day")
+    return indicators.filter(F.col("url").isNotNull()).groupBy(day, "source").agg(F.hll_sketch_agg("url", log_k).alias("sketch"))
+
+
+def distinct_urls_of(sketches: DataFrame, *by: str) -> DataFrame:
+    """Estimated distinct URLs per group (or in all) from stored sketches alone.
+
+    With ``log_k`` 14 the relative standard error is about 0.7 %.  A URL that
+    several days or sources have counts once.
+    """
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_urls"))
+
+
 def agg_threat_trend(indicators: DataFrame, period: str = "WEEK") -> DataFrame:
     """Indicators per period, threat type and brand."""
     when = F.to_date(F.date_trunc(period, "first_seen")).alias("period")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
 from ..operators import feeds, history, match, posts, sets, stats
+from .session import scratch_path
 from .registry import AS_OF, query
 from .views import Tables
 
@@ -188,6 +189,32 @@ def _(t):
     return stats.agg_distinct_urls(_indicators(t))
 
 
+#: Spans asked of the stored sketches.
+_SPANS = (("2024-01-01", "2024-01-31"), ("2024-01-05", "2024-01-12"), ("2024-01-20", "2024-01-20"))
+_IN_SPANS = " UNION ALL ".join(
+    f"SELECT '{a}' AS since, source, url FROM threat_indicators_raw WHERE CAST(first_seen AS DATE) BETWEEN DATE '{a}' AND DATE '{b}'" for a, b in _SPANS)
+
+
+@query("agg_distinct_urls_sketched", f"""
+SELECT since, source, count(DISTINCT url) AS distinct_urls, true AS within_3_percent FROM ({_IN_SPANS}) GROUP BY since, source
+UNION ALL SELECT since, 'all', count(DISTINCT url), true FROM ({_IN_SPANS}) GROUP BY since""")
+def _(t):
+    """Estimates from stored sketches beside exact counts; they agree within 3 %."""
+    path = scratch_path(t.spark, "sketches")
+    stats.url_sketches(t.threat_indicators_raw).write.partitionBy("day").parquet(path)
+    sketches, out = t.spark.read.parquet(path), None
+    for since, until in _SPANS:
+        span = sketches.filter(F.col("day").between(since, until))
+        estimate = stats.distinct_urls_of(span, "source").unionByName(stats.distinct_urls_of(span).filter("distinct_urls > 0").withColumn("source", F.lit("all")))
+        rows = t.threat_indicators_raw.filter(F.to_date("first_seen").between(since, until))
+        exact = stats.agg_distinct_urls(rows).unionByName(stats.agg_distinct_urls(rows.withColumn("source", F.lit("all"))))
+        near = F.abs(F.col("estimated") - F.col("distinct_urls")) <= F.greatest(F.lit(1.0), 0.03 * F.col("distinct_urls"))
+        part = exact.join(estimate.withColumnRenamed("distinct_urls", "estimated"), "source", "full").select(
+            F.lit(since).alias("since"), "source", "distinct_urls", near.alias("within_3_percent"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("agg_threat_trend", """
 SELECT CAST(date_trunc('week', first_seen) AS DATE) AS period, threat_type, target_brand, count(*) AS indicators
 FROM threat_indicators_raw GROUP BY ALL""")

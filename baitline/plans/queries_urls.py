@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed, urls as U
 from ..operators import explain, features as feat, lexicon, match, rules, stats, suffix, text, verdict
-from ..sources import readers
+from ..sources import readers, writers
 from . import oracle_text as O
 from .queries_scans import MENTIONS
 from .registry import AS_OF, query
@@ -574,10 +574,10 @@ _EXPLAIN = _ANALYZED + """,
  full_result AS (SELECT a.*, c.* EXCLUDE (scan_id, url) FROM analyzed a JOIN core c ON c.scan_id = a.scan_id)"""
 
 
-@query("explain_rules", _EXPLAIN + f""",
+_TOLD = _EXPLAIN + f""",
  p AS (SELECT *, printf('%.0f%%', confidence * 100) AS pct, sources IS NOT NULL AS known, replace(sources, ',', ', ') AS feeds,
-  CASE WHEN matched_rules = '' THEN 0 ELSE len(string_split(matched_rules, ',')) END AS n FROM full_result)
- SELECT scan_id, url, verdict, confidence,
+  CASE WHEN matched_rules = '' THEN 0 ELSE len(string_split(matched_rules, ',')) END AS n FROM full_result),
+ told AS (SELECT scan_id, url, verdict, confidence,
   CASE WHEN known THEN printf('{explain.SUMMARY_FEED}', feeds, pct) ELSE printf('{explain.SUMMARY_RULES}', verdict, pct) END AS summary,
   CASE WHEN known THEN printf('{explain.EXPLAINED_FEED}', url, feeds) ELSE printf('{explain.EXPLAINED_RULES}', url, n, verdict) END AS explanation,
   coalesce(nullif(concat_ws(';', CASE WHEN known THEN '{explain.TEXT_FEED}' || feeds END,
@@ -588,11 +588,36 @@ _EXPLAIN = _ANALYZED + """,
    CASE WHEN redirect_count > 2 THEN 'Multiple redirects (' || redirect_count || ')' END), ''), '{explain.TEXT_NONE}') AS risk_factors,
   CASE WHEN verdict = 'phishing' AND known THEN 'critical' WHEN verdict = 'phishing' THEN 'high' WHEN verdict = 'suspicious' THEN 'medium' ELSE 'low' END AS severity,
   CASE verdict WHEN 'phishing' THEN '{explain.ACTION_PHISHING}' WHEN 'suspicious' THEN '{explain.ACTION_SUSPICIOUS}' ELSE '{explain.ACTION_SAFE}' END AS recommended_action,
-  typosquat_target AS target_brand FROM p""")
+  typosquat_target AS target_brand FROM p)"""
+
+
+@query("explain_rules", _TOLD + " SELECT * FROM told")
 def _(t):
     return rounded(joined(explain.explain_rules(analyzed(t)), "risk_factors", sep=";"), "confidence")
 
 
+@query("snk_scan_records", _TOLD + """
+ SELECT t.scan_id, t.url, t.verdict, t.confidence, t.severity, t.target_brand, c.url_length, c.has_https, c.typosquat_distance, c.domain_age_days, c.ssl_issuer,
+  c.redirect_chain, a.matched_rules, a.sources, a.details, a.prediction_source, t.summary, t.explanation, t.risk_factors, t.recommended_action,
+  CAST(h.created_at AS DATE) AS scan_date, CASE WHEN a.prediction_source = 'threat_feed' THEN 1.0 ELSE round(w.weight, 6) END AS top_weight
+ FROM told t JOIN core c ON c.scan_id = t.scan_id JOIN analyzed a ON a.scan_id = t.scan_id JOIN scan_history h ON h.scan_id = t.scan_id
+ JOIN (SELECT scan_id, max(weight) AS weight FROM weighed GROUP BY scan_id) w ON w.scan_id = t.scan_id""")
+def _(t):
+    """Whole scan records written by day and read back."""
+    path = scratch_path(t.spark, "scan-records")
+    writers.snk_scans(writers.scan_records(analyzed(t)), path)
+    back = t.spark.read.parquet(path)
+    lines = F.transform("details", lambda d: F.concat(F.lit("\n- "), d["source"], F.lit(": "), d["details"]))
+    out = back.select(
+        "scan_id", "url", "verdict", "confidence", "severity", "target_brand",
+        *[F.col(f"features.{c}").alias(c) for c in ("url_length", "has_https", "typosquat_distance", "domain_age_days", "ssl_issuer", "redirect_chain")],
+        "matched_rules", "sources", F.array_join(lines, "").alias("details"), "prediction_source",
+        *[F.col(f"ai_explanation.{c}").alias(c) for c in ("summary", "explanation", "risk_factors", "recommended_action")],
+        "scan_date", F.round(F.array_max(F.map_values("feature_importance")), 6).alias("top_weight"),
+    )
+    return rounded(joined(joined(out, "redirect_chain", "matched_rules", "sources"), "risk_factors", sep=";"), "confidence")
+
+
 @query("explain_prompts", _EXPLAIN + f""",
  h AS (SELECT *, concat('URL: ', url, chr(10), 'Verdict: ', verdict, chr(10), 'Confidence: ', printf('%.2f%%', confidence * 100)) AS head FROM full_result)
  SELECT scan_id, url, verdict, CASE WHEN verdict = 'safe' THEN concat('This scanned URL looks safe. Confirm briefly.', chr(10), chr(10), head)
