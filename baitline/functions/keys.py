@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.session import scratch_path
@@ -36,40 +38,36 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 
 def mark_smallest(
-    df: DataFrame, group: str, quota: DataFrame, identity: list[str], seed: int, out: str
+    df: DataFrame, group: str, quota: Callable[[DataFrame], DataFrame], identity: list[str], seed: int, out: str
 ) -> DataFrame:
-    """Add ``out``: true for exactly ``quota`` rows of each group, by a hash of ``identity``.
+    """Add ``out``: true for exactly so many rows of each group, by a hash of ``identity``.
 
-    ``quota`` has one row per group: (group, quota).  ``identity`` is unique
-    within a group.
+    ``quota`` turns the groups' sizes (group, n) into (group, quota).
+    ``identity`` is unique within a group.
 
-    Rows are counted by a four-digit hash prefix; running totals over at most
-    65,536 prefixes per group show in which prefix the quota ends, and only the
-    rows of that one prefix are ranked to find the last hash taken.  The rows
-    are then marked by comparison, so few groups with very many rows each need
-    no group-wide sort.  Spark broadcasts the one cut-off per group by its size.
+    The table is read twice.  First rows are counted by group and four-digit
+    hash prefix, and the counts stored; sizes and running totals over at most
+    65,536 prefixes per group show in which prefix the quota ends.  Then rows
+    are marked by comparison with that prefix, and those of the prefix itself by
+    their rank in it.  Ranks are taken within (group, prefix), which is even
+    however few groups there are; no group is sorted as a whole.
     """
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), *identity))
-    hashed = df.withColumn("_place", F.struct(key.alias("hash"), *identity))
-    prefixed = hashed.withColumn("_prefix", F.substring("_place.hash", 1, 4))
-    per_prefix = prefixed.groupBy(group, "_prefix").agg(F.count("*").alias("_n"))
+    prefixed = df.withColumn("_place", F.struct(key.alias("hash"), *identity)).withColumn("_prefix", F.substring("_place.hash", 1, 4))
+    path = scratch_path(df.sparkSession, "prefixes")
+    prefixed.groupBy(group, "_prefix").agg(F.count("*").alias("_n")).write.parquet(path)
+    per_prefix = df.sparkSession.read.parquet(path)
+    sizes = quota(per_prefix.groupBy(group).agg(F.sum("_n").alias("n")))
     in_order = Window.partitionBy(group).orderBy("_prefix")
     ends = (
-        per_prefix.withColumn("_upto", F.sum("_n").over(in_order))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(group)))
-        .join(quota, group)
-        .withColumn("_need", F.least("quota", "_total") - (F.col("_upto") - F.col("_n")))
-        .filter((F.col("_need") > 0) & (F.col("_need") <= F.col("_n")))
-        .select(group, "_prefix", "_need")
-    )
-    rank = F.row_number().over(Window.partitionBy(group).orderBy("_place"))
-    last_taken = (
-        prefixed.join(ends, [group, "_prefix"])
-        .withColumn("_rank", rank).filter(F.col("_rank") == F.col("_need"))
-        .select(group, F.col("_place").alias("_last"))
+        per_prefix.withColumn("_upto", F.sum("_n").over(in_order)).join(sizes, group)
+        .withColumn("_need", F.col("quota") - (F.col("_upto") - F.col("_n")))
+        .filter("_need > 0").groupBy(group).agg(F.max(F.struct("_prefix", "_need")).alias("_end"))  # one row per group
     )
-    marked = hashed.join(last_taken, group, "left")
-    return marked.select(*df.columns, F.coalesce(F.col("_place") <= F.col("_last"), F.lit(False)).alias(out))
+    rank = F.row_number().over(Window.partitionBy(group, "_prefix").orderBy("_place"))
+    ranked = prefixed.withColumn("_rank", rank).join(ends, group, "left")
+    taken = (F.col("_prefix") < F.col("_end._prefix")) | ((F.col("_prefix") == F.col("_end._prefix")) & (F.col("_rank") <= F.col("_end._need")))
+    return ranked.select(*df.columns, F.coalesce(taken, F.lit(False)).alias(out))
 
 
 def latest_before(

@@ -73,11 +73,27 @@ def test_mark_smallest_is_exact(spark):
     rows = [(i % 3, f"u{i}") for i in range(1000)] + [(0, f"v{i}") for i in range(500)]
     df = spark.createDataFrame(rows, "g INT, u STRING")
     quota = spark.createDataFrame([(0, 37), (1, 5000), (2, 0)], "g INT, quota BIGINT")
-    marked = mark_smallest(df, "g", quota, ["u"], 42, "taken")
+    marked = mark_smallest(df, "g", lambda sizes: quota, ["u"], 42, "taken")
     got = {r.g: (r.taken, r.n) for r in marked.groupBy("g").agg(F.count_if("taken").alias("taken"), F.count("*").alias("n")).collect()}
     assert got == {0: (37, 834), 1: (333, 333), 2: (0, 333)}
 
 
+def test_split_and_balance_read_their_input_twice(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    schema = "url STRING, label INT"
+    df = spark.createDataFrame([(f"u{i}", int(i % 4 == 0)) for i in range(800)], schema).mapInArrow(counted, schema)
+    assert training.train_split(df).filter("split = 'train'").count() == 640
+    assert reads.value == 1600
+    assert training.train_balance(df).count() == 400
+    assert reads.value == 3200
+
+
 def test_balance_and_split_sizes(spark):
     df = spark.createDataFrame([(f"u{i}", int(i < 130)) for i in range(1000)], "url STRING, label INT")
     balanced = training.train_balance(df)
