@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
 from ..operators import feeds, history, match, posts, sets, stats
+from ..sources import layout
 from .session import scratch_path
 from .registry import AS_OF, query
 from .views import Tables
@@ -292,6 +293,16 @@ def _(t):
     return history.top_search_scans(_scans(t), "PayPa1_secure", limit=20)
 
 
+@query("top_search_scans_indexed", f"""
+SELECT {_SCAN} FROM scan_history WHERE lower(url) LIKE '%paypa1_secure%' ORDER BY created_at DESC, scan_id DESC LIMIT 20""")
+def _(t):
+    """The same search, opening only the files whose postings allow it."""
+    path, postings = scratch_path(t.spark, "scans"), scratch_path(t.spark, "postings")
+    _scans(t).repartitionByRange(16, "url").write.parquet(path)
+    layout.write_postings(t.spark, path, postings)
+    return history.top_search_scans(layout.read_candidates(t.spark, path, postings, "PayPa1_secure"), "PayPa1_secure", limit=20)
+
+
 @query("top_scans_filtered", f"""
 SELECT {_SCAN} FROM scan_history WHERE created_at >= TIMESTAMP '2024-01-05 00:00:00'
  AND created_at < TIMESTAMP '2024-01-25 00:00:00' AND verdict = 'suspicious' AND lower(url) LIKE '%example%'
@@ -339,6 +350,14 @@ def _(t):
     return history.get_scan(_scans(t), 123)
 
 
+@query("get_scan_keyed", f"SELECT {_SCAN} FROM scan_history WHERE scan_id = 123")
+def _(t):
+    """The same look-up in a table laid out for it."""
+    path = scratch_path(t.spark, "keyed")
+    layout.write_keyed(_scans(t), path, "scan_id")
+    return history.get_scan(t.spark.read.parquet(path), 123)
+
+
 @query("get_indicator", f"""
 SELECT {_INDICATOR} FROM threat_indicators_raw WHERE url = 'http://user@evil7.xyz/%41%42'
 ORDER BY last_seen DESC, id DESC LIMIT 1""")
