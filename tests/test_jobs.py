@@ -451,3 +451,18 @@ def test_unlimited_feed_queries_return_all(spark, tables):
     assert plans["norm_fetch_all_unlimited"](spark, folder).count() == plans["norm_all"](spark, folder).count()
     assert plans["norm_live_feed_unlimited"](spark, folder).count() == tables.threat_indicators_raw.count()
     assert {"norm_fetch_all_unlimited", "norm_live_feed_unlimited"} <= set(registry.oracle_sql())
+
+
+def test_vendor_jobs_find_all_urls_that_the_reports_name(spark):
+    import __spark_entry__ as entry
+    from baitline.operators import vendors
+    from baitline.plans.views import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    number = [r.p for r in t.corpus_urls.collect()]
+    found = {k: entry.queries()[k](spark, t.sf_dir).count() for k in ("vendor_multi_engine", "vendor_blocklist", "vendor_scan_history")}
+    assert found["vendor_multi_engine"] == sum(p % 4 > 0 or p % 3 > 0 for p in number)
+    assert found["vendor_blocklist"] == sum(p % 3 > 0 for p in number)
+    assert found["vendor_scan_history"] == len(number)
+    clean = '{"total":1,"results":[{"_id":"r","task":{"method":"manual","time":"t"},"verdicts":{"overall":{"malicious":false}},"stats":{"phishing":2}}]}'
+    assert vendors.vendor_scan_history(spark.createDataFrame([("u", clean)], "url STRING, report STRING")).count() == 0
