@@ -149,3 +149,16 @@ def test_feed_status_with_ties_and_without_success(spark):
     assert got == {
         "a": ("error", t(0), 5, 2, "y"), "b": ("error", None, 0, 1, "z"), "c": ("healthy", t(5), 9, 0, None),
     }
+
+
+def test_latest_before_sorts_as_many_rows_a_task_however_many_there_are(spark, monkeypatch):
+    from baitline.functions import keys
+
+    monkeypatch.setattr(keys, "PER_TASK", 50)
+    at = datetime(2024, 1, 1)
+    table = spark.createDataFrame([("k0", at, (1,))], "owner STRING, observed_at TIMESTAMP_NTZ, value STRUCT<n: INT>")
+    for n in (1_000, 4_000):
+        rows = spark.createDataFrame([(i, f"k{i % 200}", at + timedelta(hours=i % 50)) for i in range(n)], "id LONG, k STRING, at TIMESTAMP_NTZ")
+        found = latest_before(rows, "k", "at", {"last": ([], table)})
+        sizes = found.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+        assert sum(sizes) == n and max(sizes) <= 4 * 50
