@@ -466,3 +466,23 @@ def test_vendor_jobs_find_all_urls_that_the_reports_name(spark):
     assert found["vendor_scan_history"] == len(number)
     clean = '{"total":1,"results":[{"_id":"r","task":{"method":"manual","time":"t"},"verdicts":{"overall":{"malicious":false}},"stats":{"phishing":2}}]}'
     assert vendors.vendor_scan_history(spark.createDataFrame([("u", clean)], "url STRING, report STRING")).count() == 0
+
+
+def test_an_arrow_batch_is_looked_up_in_pieces(spark, monkeypatch):
+    """However many rows a batch has, the terms of a few are held at once, and the vectors are the same."""
+    import pandas as pd
+
+    assert text.AT_ONCE <= 1_000
+    seen, weigh = [], text._weights
+    monkeypatch.setattr(text, "_weights", lambda rows, places, n, idf, size: (seen.append(n), weigh(rows, places, n, idf, size))[1])
+    monkeypatch.setattr(text, "_checked", lambda vocabulary, size: (["a", "ab", "b/", "c"], [1, 2, 3, 4]))
+    monkeypatch.setattr(text.F, "pandas_udf", lambda kind: lambda f: f)
+    urls = pd.Series([None if i % 7 == 0 else f"ab/c{i}" for i in range(2_500)])
+    for kind in ("char", "token"):
+        build = text.vectorizer(kind, None, 4, 10)
+        seen.clear()
+        whole = build(urls)
+        assert seen == [1000, 1000, 500] and len(whole) == len(urls)
+        for i in (0, 1, 999, 1000, 2499):
+            alone = build(urls.iloc[[i]].reset_index(drop=True))
+            assert whole["indices"][i].tolist() == alone["indices"][0].tolist() and whole["values"][i].tolist() == alone["values"][0].tolist()
