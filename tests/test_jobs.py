@@ -486,3 +486,29 @@ def test_an_arrow_batch_is_looked_up_in_pieces(spark, monkeypatch):
         for i in (0, 1, 999, 1000, 2499):
             alone = build(urls.iloc[[i]].reset_index(drop=True))
             assert whole["indices"][i].tolist() == alone["indices"][0].tolist() and whole["values"][i].tolist() == alone["values"][0].tolist()
+
+
+def test_models_are_fitted_side_by_side(spark, monkeypatch):
+    """No fit waits for another one's many short jobs."""
+    import threading
+
+    together = threading.Barrier(3)
+
+    class Fit:
+        def __init__(self, rate):
+            self.rate = rate
+
+        def fit(self, train):
+            together.wait(60)
+            assert train.count() == 3
+            return self
+
+        def transform(self, rows):
+            return rows.withColumn("prediction", F.lit(self.rate))
+
+    monkeypatch.setattr(training, "classifiers", lambda rows, seed: {"c": Fit(1.0), "a": Fit(0.0), "b": Fit(1.0)})
+    rows = spark.createDataFrame([(f"u{i}", i % 2, "train" if i < 3 else "test") for i in range(5)], "url STRING, label INT, split STRING")
+    models, predictions = training.train_models(rows)
+    assert list(models) == ["c", "a", "b"]
+    assert {(r.model, r.ordinal, r.prediction) for r in predictions.collect()} == {("c", 0, 1), ("a", 1, 0), ("b", 2, 1)}
+    assert predictions.count() == 6
