@@ -126,3 +126,30 @@ def test_rows_of_a_hot_id_are_fitted_once(spark, monkeypatch):
     hot = {f"text {i}" for i in range(100)} | {f"text {i}".encode() for i in range(100)}
     assert [sum(x in hot for x in texts) for texts in seen] == [1, 1, 2]  # op3: one for each language
     assert all(len(texts) > 50 for texts in seen)
+
+
+def test_machine_of_a_table_equals_that_of_a_list(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(int(i) * 3 - 200, int(m), " ".join(f"w{k}" for k in rng.integers(0, 60, 12)) + (" Dreadful Oaf" if m else "")) for i, m in enumerate(rng.integers(0, 2, 400))]
+    rows += [(5000, 0, None), (5001, 1, ""), (5002, 1, "w1 w1 w1 " * 300), (5003, 0, "é" * 500)]
+    kinds = "id long, label int, text string"
+    spark.createDataFrame(rows, kinds).repartition(5).write.parquet(f"{tmp_path}/rows")
+    sample = T.Sample(spark.read.schema(kinds).parquet(f"{tmp_path}/rows"))
+    plain, spread = (T.fit(texts, [r[1] for r in rows], rounds=20) for texts in ([r[2] for r in rows], sample))
+    assert len(plain.terms) > 3 and list(sample) == [r[2] for r in rows]
+    assert np.array_equal(plain.terms, spread.terms) and plain.bias == spread.bias
+    assert np.array_equal(plain.linear, spread.linear) and np.array_equal(plain.factors, spread.factors)
+    # labels that no term tells apart
+    some = T.Sample(sample.rows.where("id < 0 and text is not null").selectExpr("id", "CAST(0 AS INT) AS label", "'same words' AS text"))
+    assert len(T.fit(some, [0] * some.rows.count(), rounds=2).terms) == 0
+
+
+def test_fitting_keeps_long_texts_off_the_driver(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat(IF(id % 2 = 0, 'dreadful oaf ', 'kind soul '), repeat(concat('word', id, ' '), 2000)) AS text")
+    labels = spark.range(400).selectExpr("id AS doc_id", "CAST(1 - id % 2 AS INT) AS toxic")
+    collect, seen = type(docs).collect, []
+    monkeypatch.setattr(type(docs), "collect", lambda df: [seen.append(len(str(r))) or r for r in collect(df)])
+    machine = T.train(docs, labels)
+    assert sum(seen) < 100_000  # the texts have over 4 million characters
+    got = T.scores(machine, pa.array(["a dreadful oaf", "a kind soul"]))
+    assert got[0] > 0.5 > T.CUT > got[1]
