@@ -512,3 +512,35 @@ def test_models_are_fitted_side_by_side(spark, monkeypatch):
     assert list(models) == ["c", "a", "b"]
     assert {(r.model, r.ordinal, r.prediction) for r in predictions.collect()} == {("c", 0, 1), ("a", 1, 0), ("b", 2, 1)}
     assert predictions.count() == 6
+
+
+def test_a_pass_of_a_fit_is_one_wave_of_even_tasks(spark, monkeypatch):
+    """The fits are many short jobs: a second wave or a stage that adds up many sums costs more than the rows do."""
+    dealt = {}
+
+    class Fit:
+        def __init__(self, name):
+            self.name = name
+
+        def fit(self, train):
+            dealt[self.name] = [len(part) for part in train.select("url").rdd.glom().collect()]
+            return self
+
+        def transform(self, rows):
+            return rows.withColumn("prediction", F.lit(0.0))
+
+    models = ("gradient_boosting", "random_forest", "logistic_regression")
+    monkeypatch.setattr(training, "classifiers", lambda rows, seed: {name: Fit(name) for name in models})
+
+    def fitted(n):
+        training.train_models(spark.range(n + 5).repartition(9).selectExpr(
+            "CASE WHEN id > 0 THEN concat('u', id) END AS url", "CAST(id % 2 AS INT) AS label", f"IF(id < {n}, 'train', 'test') AS split"))
+
+    cores = spark.sparkContext.defaultParallelism
+    fitted(50_000)
+    assert all(sum(parts) == 50_000 for parts in dealt.values())
+    assert len(dealt["logistic_regression"]) == 1
+    for name in models[:2]:
+        assert len(dealt[name]) == min(12, max(cores - 1, 2)) and max(dealt[name]) < 1.1 * 50_000 / len(dealt[name])
+    fitted(500)
+    assert [len(parts) for parts in dealt.values()] == [1, 1, 1] and all(sum(parts) == 500 for parts in dealt.values())
